@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substrings, suffixes
+from . import minhash, packing, substrings, suffixes
 from .common import documents
 
 
@@ -20,13 +20,17 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_passages(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_substrings, op10_suffixes)}
+    return {f.__name__: f for f in (op1_packing, op2_substrings, op6_minhash, op10_suffixes)}
 
 
 #: Words, as SQL: runs of characters other than ASCII white space.
