@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, substrings, suffixes
-from .common import documents
+from . import minhash, mixing, packing, quality, substrings, suffixes
+from .common import documents, ensure_checkpoint_dir
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,17 +20,30 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_passages(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_substrings, op6_minhash, op10_suffixes)}
+    return {f.__name__: f for f in (op1_packing, op2_substrings, op4_mixing, op6_minhash, op9_quality, op10_suffixes)}
 
 
 #: Words, as SQL: runs of characters other than ASCII white space.
@@ -51,8 +64,43 @@ WITH w AS (SELECT doc_id, text, {WORDS} AS words FROM documents),
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, {kept} FROM left_over"""
 
 
+def _position(demand: str, total: str, number: str) -> str:
+    """DuckDB SQL of mixing.position."""
+    out = "NULL"
+    knots, schedules = mixing.KNOTS, mixing.SCHEDULES
+    for k, weights in enumerate(schedules):
+        areas = [(t1 - t0) * (a + b) / 2 for t0, t1, a, b in zip(knots, knots[1:], weights, weights[1:], strict=False)]
+        asked = f"(({demand}) / {total} * {sum(areas)}::DOUBLE)"
+        inverse, before = f"{knots[-1]}::DOUBLE", sum(areas)
+        for j in range(len(areas) - 1, -1, -1):
+            before -= areas[j]
+            a, slope = weights[j], (weights[j + 1] - weights[j]) / (knots[j + 1] - knots[j])
+            inside = f"{knots[j]}::DOUBLE + 2 * ({asked} - {before}::DOUBLE) / ({a}::DOUBLE + sqrt({a * a}::DOUBLE + {2 * slope}::DOUBLE * ({asked} - {before}::DOUBLE)))"
+            inverse = f"CASE WHEN {asked} < {before + areas[j]}::DOUBLE THEN {inside} ELSE {inverse} END"
+        out = f"CASE WHEN {number} % {len(schedules)} = {k} THEN CASE WHEN {total} > 0 THEN {inverse} ELSE 0 END ELSE {out} END"
+    return out
+
+
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS turn FROM documents),
+     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+     n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM s),
+     w AS (SELECT *, [3e0, 1e0, 2e0][number % 3 + 1] AS weight FROM n),
+     f AS (SELECT *, 2e0 * source_size / weight AS "full" FROM w),
+     l AS (SELECT *, (1.5e0 * sum(source_size) OVER () - coalesce(sum(2e0 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+           FROM f WINDOW b AS (ORDER BY "full", number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+     t AS (SELECT source, source_size, number, least(2e0 * source_size, weight * (SELECT min_by(level, "full") FROM l WHERE level <= "full")) AS target FROM l),
+     p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.number,
+                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+     r AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - start)) AS one, greatest(0, least(size, floor(target)::BIGINT - start - source_size)) AS two FROM p)
+SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
+       CASE WHEN one > 0 THEN round({_position("start", "target", "number")}, 9) END AS position FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substrings": _repeats(13, "sha256(array_to_string(words, ' ')) AS kept_sha256"),
+        "op4_mixing": MIXING,
         "op10_suffixes": _repeats(50, "sha256(CASE WHEN n_removed = 0 THEN text ELSE array_to_string(words, ' ') END) AS text_sha256"),
     }
