@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality, substrings, suffixes
+from . import language, minhash, mixing, packing, quality, substrings, suffixes
 from .common import documents, ensure_checkpoint_dir
 
 
@@ -30,6 +30,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = quality.fold(F.col("doc_id")) == 0
+    model = language.fit(docs.where(~held_out))
+    found = language.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -43,7 +51,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_substrings, op4_mixing, op6_minhash, op9_quality, op10_suffixes)}
+    return {f.__name__: f for f in (op1_packing, op2_substrings, op4_mixing, op6_minhash, op8_language, op9_quality, op10_suffixes)}
 
 
 #: Words, as SQL: runs of characters other than ASCII white space.
