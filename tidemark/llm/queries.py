@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, packing, quality, substrings, suffixes
+from . import fingerprints, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes
 from .common import documents, ensure_checkpoint_dir
 
 
@@ -20,16 +20,39 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_policy(rules.ledger(documents(spark, sf_dir)))
+    base = F.col("fail_bits").bitwiseAND(F.lit(rules.mask("base"))) != 0
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = fingerprints.fingerprints(documents(spark, sf_dir))
+    return trees.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.col("root").alias("fingerprint"),
+        F.col("edited_root").alias("edited_fingerprint"),
+        fingerprints.likeness("", "edited_").alias("near_edited"),
+        fingerprints.likeness("", "next_").alias("near_next"),
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = quality.fold(F.col("doc_id")) == 0
@@ -51,7 +74,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_substrings, op4_mixing, op6_minhash, op8_language, op9_quality, op10_suffixes)}
+    return {f.__name__: f for f in (op1_packing, op2_substrings, op3_rules, op4_mixing, op5_licenses, op6_minhash, op7_fingerprints, op8_language, op9_quality, op10_suffixes)}
 
 
 #: Words, as SQL: runs of characters other than ASCII white space.
@@ -106,9 +129,71 @@ SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
        CASE WHEN one > 0 THEN round({_position("start", "target", "number")}, 9) END AS position FROM r"""
 
 
+def _rules_sql() -> str:
+    bits = " + ".join(f"CASE WHEN {fails} THEN {rules.BITS[name]} ELSE 0 END" for name, fails in rules.RULES.items())
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS words FROM documents),
+     l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+     g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w),
+     k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM g),
+     r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n > 1) GROUP BY doc_id),
+     m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                  CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+           FROM l LEFT JOIN r USING (doc_id)),
+     b AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {rules.mask("base")} <> 0 AS base_failed, fail_bits & {rules.mask(rules.CURRENT)} = 0 AS kept, fail_bits FROM b"""
+
+
+def _licenses_sql() -> str:
+    words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for label, t in licenses.TEMPLATES)
+    return rf"""
+WITH w AS (SELECT doc_id, {low} AS low, {words.format("low")} AS words FROM documents),
+     phrases(p, label) AS (VALUES {phrases}), templates(t, label) AS (VALUES {templates}),
+     at AS MATERIALIZED (SELECT doc_id, label, unnest(list_filter(range(0, len(words)), lambda i: words[i + 1:i + len(p)] = p)) AS i FROM w, phrases WHERE list_has_all(words, p)),
+     base AS (SELECT doc_id, count(*) AS n, min(i) AS low, max(i) AS high, list_sort(list_distinct(list(label))) AS labels FROM "at" GROUP BY doc_id),
+     l AS (SELECT doc_id, list_distinct({words.format("x")}) AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS x FROM w) WHERE len(words) >= 3),
+     hits AS (SELECT doc_id, label, len(list_intersect(words, t)) / len(t)::DOUBLE AS c FROM l, templates WHERE list_has_any(words, t) AND len(list_intersect(words, t)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+     more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM hits GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, base.low AS first_word, base.high AS last_word,
+       coalesce(array_to_string(base.labels, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+       CASE WHEN n > 0 THEN 1e0 ELSE coalesce(c, 0e0) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)""".replace(" at AS", ' "at" AS')
+
+
+def _tree_sql(name: str, text: str, source: str) -> str:
+    """DuckDB SQL of fingerprints.tree, as a common table expression."""
+    pieces = fingerprints.PIECES
+    fan = fingerprints.FAN
+    up = lambda x: f"list_transform(range(0, (len({x}) + {fan - 1}) // {fan}), lambda k: md5(array_to_string({x}[k * {fan} + 1:k * {fan} + {fan}], '')))"
+    return f"""{name}1 AS (SELECT doc_id, list_transform(regexp_extract_all({text}, '{pieces}'), lambda x: md5(x)) AS leaves FROM {source}),
+     {name}2 AS (SELECT *, {up("leaves")} AS paragraphs FROM {name}1),
+     {name} AS (SELECT doc_id, leaves, sha256(array_to_string({up("paragraphs")}, '')) AS root FROM {name}2)"""
+
+
+def _fingerprints_sql() -> str:
+    near = "CASE WHEN a.root = {0}.root THEN 1e0 ELSE len(list_intersect(a.leaves, {0}.leaves)) / greatest(len(list_distinct(list_concat(a.leaves, {0}.leaves))), 1)::DOUBLE END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
+     e AS (SELECT *, substring(t, 1, length(t) - length(t) // 2) || substring(nt, 1, length(t) // 2) AS ed FROM n),
+     {_tree_sql("a", "t", "e")},
+     {_tree_sql("b", "ed", "e")},
+     {_tree_sql("c", "nt", "e")}
+SELECT e.doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, a.root AS fingerprint, b.root AS edited_fingerprint,
+       {near.format("b")} AS near_edited, {near.format("c")} AS near_next
+FROM e JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substrings": _repeats(13, "sha256(array_to_string(words, ' ')) AS kept_sha256"),
+        "op3_rules": _rules_sql(),
         "op4_mixing": MIXING,
+        "op5_licenses": _licenses_sql(),
+        "op7_fingerprints": _fingerprints_sql(),
         "op10_suffixes": _repeats(50, "sha256(CASE WHEN n_removed = 0 THEN text ELSE array_to_string(words, ' ') END) AS text_sha256"),
     }
