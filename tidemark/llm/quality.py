@@ -109,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest:
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """doc_id, score (0 to 1) of each row's whole text, and a struct ``carry``; null texts count as empty. Order and repeats don't matter."""
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")] if carry else []
+    carried = bool(carry)
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     schema = "doc_id long, score double" + "".join(f", carry {f.dataType.simpleString()}" for f in asked.schema.fields if f.name == "carry")
 
@@ -120,6 +121,6 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
             x = features(texts, compressors) if compressors else np.eye(1, len(weights)).repeat(len(texts), 0)
             found = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             columns = [batch["doc_id"], pa.array(found, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns + ([batch["carry"]] if rest else []), names=["doc_id", "score"] + ["carry"] * bool(rest))
+            yield pa.RecordBatch.from_arrays(columns + ([batch["carry"]] if carried else []), names=["doc_id", "score"] + ["carry"] * carried)
 
     return asked.mapInArrow(run, schema)

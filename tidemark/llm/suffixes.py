@@ -86,9 +86,9 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     runs = passages.groupBy("batch").cogroup(neighbours.groupBy("batch")).applyInArrow(extensions, RUNS)
     repeats = runs.groupBy("bucket").applyInArrow(answer(bits, elsewhere=False), ANSWERS)
     answers = neighbours.withColumn("extended", F.lit(False)).unionByName(repeats.withColumn("extended", F.lit(True)))
-    carried = [f for f in blocks.schema.fields if f.name == "carry"]
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,stop:long>>, text string" + "".join(f", carry {f.dataType.simpleString()}" for f in carried)
-    names = ["doc_id", "n_words", "n_removed", "spans", "text"] + ["carry"] * bool(carried)
+    carried = bool(carry)
+    schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,stop:long>>, text string" + (f", carry {blocks.schema['carry'].dataType.simpleString()}" if carried else "")
+    names = ["doc_id", "n_words", "n_removed", "spans", "text"] + ["carry"] * carried
     types = [pa.int64(), pa.int64(), pa.int64(), spans_type := pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])), pa.string()]
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
