@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes
+from .common import gram_hashes, mix
 from .substrings import ANSWERS, BATCH, RUNS, Windows, answer, batched, bits_of, bucket_bits, covered, kept_texts, run_rows
 
 #: Words of a passage, and of the gram that a retained suffix starts with.
@@ -38,7 +38,7 @@ class Suffixes(Windows):
         while span * 2 <= reach:  # smallest of the next ``span`` grams
             grams = np.minimum(grams[: len(grams) - span], grams[span:])
             span *= 2
-        self.starts_with = np.minimum(grams[self.at], grams[self.at + reach - span]) if len(self.at) else np.zeros(0, np.uint64)
+        self.starts_with = mix(np.minimum(grams[self.at], grams[self.at + reach - span])) if len(self.at) else np.zeros(0, np.uint64)  # smallest hashes, spread over all buckets again
         order = np.argsort(self.starts_with, kind="stable")
         ranked = self.starts_with[order]
         new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
