@@ -19,11 +19,12 @@ def query(sql: str | None = None, views: str = "") -> Callable:
         name = f.__name__
         _queries[name] = f
         if sql:
-            named = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views.split())
             body = sql.strip()
-            if named:
-                body = f"WITH RECURSIVE {named},\n{body[4:].strip()}" if body[:5].upper() == "WITH " else f"WITH {named}\n{body}"
-            _sql[name] = body.replace("WITH RECURSIVE ", "WITH ", 1)
+            recursive = body.startswith("WITH RECURSIVE ")
+            rest = body.removeprefix("WITH RECURSIVE " if recursive else "WITH ")
+            named = [f"{v} AS ({VIEWS[v]})" for v in views.split()] + ([rest] if rest != body else [])
+            own = ",\n".join(named)
+            _sql[name] = f"WITH {'RECURSIVE ' if recursive else ''}{own}\n{body if rest == body else ''}" if named else body
         return f
 
     return register
