@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, each with its DuckDB SQL where SQL can express it."""
 
-from . import evaluation, graphs, market, portfolios  # noqa: F401
+from . import evaluation, graphs, market, memories, news, portfolios  # noqa: F401
 from .registry import oracle_sql, queries  # noqa: F401
