@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PRICES = T.StructType.fromDDL("symbol string, date date, open double, high double, low double, close double, adj_close double, volume bigint, source string")
-NEWS = T.StructType.fromDDL("event_id string, symbol string, published_at timestamp_ntz, available_at timestamp_ntz, title string, text string, source string, url string, metadata_json string")
-FILINGS = T.StructType.fromDDL("filing_id string, symbol string, filing_type string, filing_date date, accepted_at timestamp_ntz, available_at timestamp_ntz, text string, source string, url string, metadata_json string")
+PRICES = "symbol string, date date, open double, high double, low double, close double, adj_close double, volume bigint, source string"
+NEWS = "event_id string, symbol string, published_at timestamp_ntz, available_at timestamp_ntz, title string, text string, source string, url string, metadata_json string"
+FILINGS = "filing_id string, symbol string, filing_type string, filing_date date, accepted_at timestamp_ntz, available_at timestamp_ntz, text string, source string, url string, metadata_json string"
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table, or no rows of ``schema`` where there is none."""
     try:
         return spark.read.parquet(path)
