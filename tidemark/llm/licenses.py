@@ -4,7 +4,8 @@ A line matches a template if it contains at least ``THRESHOLD`` of the template'
 by how many documents have them, rarest first. A line that matches must have one of the first |T| - need + 1 words of
 that order (prefix filter), at least ``need`` words (length filter), and from the first prefix word it has enough words
 of the order left to reach ``need`` (positional filter); what passes is compared word by word. So of all lines only
-those with a rare license word are ever split, and no match is missed. All is DataFrame functions.
+those with a rare license word are ever split, and no match is missed. All is DataFrame functions on rows, without a
+shuffle but for the count of the templates' words.
 """
 
 from __future__ import annotations
@@ -79,33 +80,51 @@ def phrase_places(norm: Column) -> dict[str, Column]:
 def word_order(docs: DataFrame) -> list[str]:
     """The templates' words by the number of documents that have them, rarest first."""
     every = sorted({w for _, text in TEMPLATES for w in text.split()})
-    found = docs.select(F.explode(F.array_intersect(F.split(spaced(F.col("text").cast("string")), "  | "), F.array(*map(F.lit, every)))).alias("word"))
+    found = docs.select(F.explode(F.array_intersect(F.split(spaced(F.col("text").cast("string")), " +"), F.array(*map(F.lit, every)))).alias("word"))
     counts = {row["word"]: row["n"] for row in found.groupBy("word").agg(F.count("*").alias("n")).collect()}  # no more rows than template words
     return sorted(every, key=lambda w: (counts.get(w, 0), w))
 
 
-def template_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row (a hash of the text), line (from 0), template number, label and containment of every match of a line with a template."""
-    rank = {w: k for k, w in enumerate(word_order(docs))}
+def prefixes(order: list[str], threshold: float) -> list[tuple[list[str], int]]:
+    """Each template's words, rarest first, and how many of them a line must have."""
+    rank = {w: k for k, w in enumerate(order)}
     sets = [sorted(set(text.split()), key=rank.get) for _, text in TEMPLATES]
-    needs = [math.ceil(threshold * len(words) - 1e-9) for words in sets]
-    prefixes = sorted({w for words, need in zip(sets, needs, strict=True) for w in words[: len(words) - need + 1]})
-    text = F.col("text").cast("string")
-    some = reduce(Column.__or__, (F.contains(F.col("low"), F.lit(w)) for w in prefixes))
-    hits = docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text"), lowered(text).alias("low")).where(some)
-    lines = hits.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    words = F.array_distinct(F.filter(F.split(spaced(F.col("block")), "  | "), lambda x: x != ""))
-    near = lines.where(reduce(Column.__or__, (F.contains(lowered(F.col("block")), F.lit(w)) for w in prefixes))).select("doc_id", "row", "line", words.alias("words"))
-    options = []
-    for k, (own, need) in enumerate(zip(sets, needs, strict=True)):
-        prefix = own[: len(own) - need + 1]
-        there = [F.array_contains("words", w) for w in prefix]
-        left = F.coalesce(*(F.when(has, F.lit(len(own) - at)) for at, has in enumerate(there)), F.lit(0))
-        passes = (F.size("words") >= need) & (left >= need)
-        common = F.size(F.array_intersect("words", F.array(*map(F.lit, own))))
-        options.append(F.when(passes, F.when(common >= need, F.struct(F.lit(k).alias("template"), F.lit(TEMPLATES[k][0]).alias("label"), (common / len(own)).alias("containment")))))
-    found = near.select("doc_id", "row", "line", F.explode(F.array_compact(F.array(*options))).alias("match"))
-    return found.select("doc_id", "row", "line", "match.*")
+    return [(words, math.ceil(threshold * len(words) - 1e-9)) for words in sets]
+
+
+def matches(text: Column, norm: Column, order: list[str], threshold: float) -> Column:
+    """An array of (line from 0, template, label, containment) for every match of a line of ``text`` with a template.
+
+    norm: the spaced text, where the prefix words are looked for before any line is split.
+    """
+    sets = prefixes(order, threshold)
+    rare = sorted({w for words, need in sets for w in words[: len(words) - need + 1]})
+    some = lambda spaces: reduce(Column.__or__, (F.contains(spaces, F.lit(f" {w} ")) for w in rare))
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), spaced(x).alias("norm")))
+    near = F.filter(lines, lambda x: some(x["norm"]))
+    worded = F.transform(near, lambda x: F.struct(x["line"].alias("line"), F.array_distinct(F.filter(F.split(x["norm"], " +"), lambda w: w != "")).alias("words")))
+
+    def of_line(x: Column) -> Column:
+        options = []
+        for k, (own, need) in enumerate(sets):
+            there = [F.array_contains(x["words"], w) for w in own[: len(own) - need + 1]]
+            left = F.coalesce(*(F.when(has, F.lit(len(own) - at)) for at, has in enumerate(there)), F.lit(0))
+            common = F.size(F.array_intersect(x["words"], F.array(*map(F.lit, own))))
+            found = F.struct(x["line"].alias("line"), F.lit(k).alias("template"), F.lit(TEMPLATES[k][0]).alias("label"), (common / len(own)).alias("containment"))
+            options.append(F.when((F.size(x["words"]) >= need) & (left >= need), F.when(common >= need, found)))
+        return F.array_compact(F.array(*options))
+
+    none = F.array().cast("array<struct<line:int,template:int,label:string,containment:double>>")
+    return F.when(some(norm), F.flatten(F.transform(worded, of_line))).otherwise(none)
+
+
+def template_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, line (from 0), template number, label and containment of every match of a line with a template."""
+    order = word_order(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), spaced(text).alias("norm"))
+    found = rows.select("doc_id", matches(F.col("text"), F.col("norm"), order, threshold).alias("matches"))
+    return found.select("doc_id", F.explode("matches").alias("match")).select("doc_id", "match.*")
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,13 +134,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows with one doc_id are judged by their own texts; only doc_id and text are read. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    norm = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("row"), spaced(text).alias("norm"))
-    places = phrase_places(F.col("norm"))
-    n_words = F.floor((F.length("norm") - F.length(F.translate("norm", " ", ""))) / 2).cast("long")
-    based = norm.select("doc_id", "row", n_words.alias("n_words"), "norm").select("doc_id", "row", "n_words", *(v.alias(k) for k, v in places.items()))
-    matched = template_matches(docs, threshold).groupBy("doc_id", "row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    left, right = based.alias("b"), matched.alias("m")
-    joined = left.join(right, F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.row") == F.col("m.row")), "left")
-    labels = F.array_sort(F.array_union("labels", F.coalesce("found", F.array().cast("array<string>"))))
-    score = F.when(F.size("labels") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0)))
-    return joined.select("b.doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+    order = word_order(docs)
+    rows = docs.select("doc_id", text.alias("text"), spaced(text).alias("norm"))
+    n_words = F.floor((F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))) / 2).cast("long")
+    found = matches(F.col("text"), F.col("norm"), order, threshold).alias("matches")
+    seen = rows.select("doc_id", n_words.alias("n_words"), *(v.alias(k) for k, v in phrase_places(F.col("norm")).items()), found)
+    labels = F.array_sort(F.array_union("labels", F.transform("matches", lambda x: x["label"])))
+    score = F.when(F.size("labels") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda x: x["containment"])), F.lit(0.0)))
+    return seen.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
