@@ -24,8 +24,8 @@ def leaves(text: Column) -> Column:
 
 
 def parents(nodes: str) -> Column:
-    """Digests of each ``FAN`` nodes of an array column."""
-    return F.expr(f"case when size({nodes}) = 0 then cast(array() as array<string>) else transform(sequence(0, (size({nodes}) - 1) div {FAN}), k -> md5(cast(array_join(slice({nodes}, k * {FAN} + 1, {FAN}), '') as binary))) end")
+    """Digests of each ``FAN`` nodes of an array column, which is bound as a lambda variable and so made once a row."""
+    return F.expr(f"transform(array({nodes}), ns -> case when size(ns) = 0 then cast(array() as array<string>) else transform(sequence(0, (size(ns) - 1) div {FAN}), k -> md5(cast(array_join(slice(ns, k * {FAN} + 1, {FAN}), '') as binary))) end)[0]")
 
 
 def tree(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:

@@ -7,7 +7,7 @@ integer arithmetic on the ledger and never reads texts again. Everything is Data
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS
@@ -38,20 +38,22 @@ def mask(version: str) -> int:
     return sum(BITS[name] for name in POLICIES[version])
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in three-word windows that stand at two or more places of ``words``, a column that isn't computed in the same projection.
+#: (hash of three words, place) pairs of ``words``, sorted. Arrays are bound as lambda variables, so that they are made once a row
+#: even where the optimizer moves the expression into a filter.
+GRAMS = """
+    transform(array(words), ws -> sort_array(slice(
+        transform(ws, (w, i) -> named_struct('h', xxhash64(w, get(ws, i + 1), get(ws, i + 2)), 'i', i)), 1, greatest(0, size(ws) - 2))))[0]"""
 
-    Windows are compared by a 64-bit hash: (hash, place) pairs are sorted, neighbours with equal hashes are repeats, and
-    the places that they cover are summed in order, so the work is that of sorting the words.
-    """
-    return F.expr("""
-        aggregate(
-            sort_array(transform(
-                filter(grams, (g, k) -> coalesce(g.h = get(grams, k - 1).h, false) or coalesce(g.h = get(grams, k + 1).h, false)),
-                g -> g.i)),
-            named_struct('n', 0L, 'to', 0),
-            (a, i) -> named_struct('n', a.n + i + 3 - greatest(i, a.to), 'to', i + 3),
-            a -> a.n)""")
+#: Words in three-word windows that stand at two or more places: neighbours with equal hashes are repeats, and the places that they
+#: cover are summed in order, so the work is that of sorting the words.
+REPEATED = """
+    transform(array(grams), gs -> aggregate(
+        sort_array(transform(
+            filter(gs, (g, k) -> coalesce(g.h = get(gs, k - 1).h, false) or coalesce(g.h = get(gs, k + 1).h, false)),
+            g -> g.i)),
+        named_struct('n', 0L, 'to', 0),
+        (a, i) -> named_struct('n', a.n + i + 3 - greatest(i, a.to), 'to', i + 3),
+        a -> a.n))[0]"""
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -79,9 +81,9 @@ def ledger(docs: DataFrame) -> DataFrame:
         "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("sort_array(slice(transform(words, (w, i) -> named_struct('h', xxhash64(w, get(words, i + 1), get(words, i + 2)), 'i', i)), 1, greatest(0, size(words) - 2)))").alias("grams"),
+        F.expr(GRAMS).alias("grams"),
     )
-    measured = counted.withColumn("n_repeat_words", repeated_words(F.col("grams"))).drop("grams")
+    measured = counted.withColumn("n_repeat_words", F.expr(REPEATED)).drop("grams")
     bits = F.lit(0).cast("long")
     for name, fails in RULES.items():
         bits = bits + F.when(F.expr(fails), F.lit(BITS[name])).otherwise(F.lit(0))
