@@ -2,16 +2,14 @@ from __future__ import annotations
 
 import os
 import sys
-from collections import Counter
 from pathlib import Path
 
 import pytest
+from compare import DATA, TABLES
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
@@ -19,7 +17,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[2]").appName("tests").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -36,31 +34,3 @@ def duck():
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return con
-
-
-def plain(value):
-    """Values as both engines' results can be compared."""
-    import datetime
-    import math
-
-    if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9)
-    if isinstance(value, datetime.datetime):
-        return value.replace(tzinfo=None).isoformat()
-    if isinstance(value, (list, tuple)):
-        return tuple(map(plain, value))
-    return value
-
-
-def rows_of(columns, rows) -> Counter:
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return Counter(tuple(plain(row[i]) for i in order) for row in rows)
-
-
-def assert_same(df, con, sql: str) -> None:
-    """Equal columns and equal rows, in any order."""
-    found = con.execute(sql)
-    columns = [c[0] for c in found.description]
-    assert sorted(df.columns) == sorted(columns)
-    spark_rows, sql_rows = rows_of(df.columns, df.collect()), rows_of(columns, found.fetchall())
-    assert spark_rows == sql_rows, (list((spark_rows - sql_rows).items())[:3], list((sql_rows - spark_rows).items())[:3])
