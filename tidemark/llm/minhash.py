@@ -6,8 +6,8 @@ short texts compare too. Bands of six registers are the candidate keys: document
 42 bands about three times in a million. The estimate from equal registers is corrected for chance collisions, and
 drops a pair only where it is six standard errors below the threshold; pairs that are left are verified on full sets.
 
-Texts with equal sets are one class from the start. In a band, members are compared with one centre, then components
-are formed; pairs within a component need no further look. Bands that still hold several components are dealt with
+Texts with equal sets are one class from the start. In a band, members are compared with one centre (at first the one
+whose bands are the fullest, as those of an original are among its copies), then components are formed; pairs within a component need no further look. Bands that still hold several components are dealt with
 again, with other centres while there are many such pairs, then pair by pair across components, so no link is lost.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, gram_hashes, mix, slices, word_hashes, word_lists
+from .common import ensure_checkpoint_dir, gram_hashes, mix, slices, word_hashes, word_lists, written
 
 REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 42, 6
 #: Share of registers that agree by chance, times 2**(mantissa bits) (a constant of the HyperMinHash paper).
@@ -73,19 +73,21 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, cid (a hash of the whole set) and registers; the last two are null for an empty set."""
+    """doc_id, n_shingles, cid (a hash of the whole set), registers, and ``bits``: the lowest bit of each register as four longs. The last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part["text"], shingle)
                 full = [x for x in sets if len(x)]
-                rows = iter(registers(full)) if full else iter(())
+                table = registers(full) if full else np.zeros((0, REGISTERS), np.uint16)
+                rows, low = iter(table), iter(np.packbits(table & 1, axis=1).view("<i8").tolist())
                 blobs = [next(rows).tobytes() if len(x) else None for x in sets]
-                columns = [part["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cid", "registers"])
+                bits = [next(low) if len(x) else None for x in sets]
+                columns = [part["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()), pa.array(blobs, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cid", "registers", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, registers binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, registers binary, bits array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -100,16 +102,30 @@ def estimate(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have 100 * intersection >= percent * union."""
-    a = classes.select(F.col("cid").alias("a"), F.col("rep").alias("doc_a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a"))
-    b = classes.select(F.col("cid").alias("b"), F.col("rep").alias("doc_b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b"))
+def full_registers(n: Column) -> Column:
+    """Registers that a set of ``n`` shingles fills, as expected: the sample that an estimate rests on."""
+    return REGISTERS * (1 - F.exp(-n / REGISTERS))
+
+
+def possible(percent: int, n_a: Column, n_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """Whether sets may reach the threshold, by their sizes and by the registers' lowest bits; 4.5 standard errors lose a link as rarely as the bands do."""
+    least, most = F.least(n_a, n_b), F.greatest(n_a, n_b)
+    apart = sum((F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k)))) for k in range(1, 4)), F.bit_count(F.get(bits_a, F.lit(0)).bitwiseXOR(F.get(bits_b, F.lit(0)))))
+    share = (1 - percent / 100) / 2
+    error = F.sqrt(share * (1 - share) / full_registers(least))
+    return (100 * least >= percent * most) & (apart <= REGISTERS * (share + 4.5 * error))
+
+
+def verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets have 100 * intersection >= percent * union. facts: (cid, n, registers), texts: (cid, text)."""
+    a = facts.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a"))
+    b = facts.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b"))
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     known = pairs.join(a, "a").join(b, "b").where(100 * least >= percent * most)
-    error = F.sqrt(F.lit(0.25) / F.least(least, F.lit(REGISTERS)))
-    near = known.where(estimate(F.col("registers_a"), F.col("registers_b")) >= percent / 100 - 6 * error).select("a", "b", "doc_a", "doc_b")
-    with_a = near.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b").select("a", "b", "text_a", "text_b")
+    error = F.sqrt(percent / 100 * (1 - percent / 100) / full_registers(least))
+    near = known.where(estimate(F.col("registers_a"), F.col("registers_b")) >= percent / 100 - 6 * error).select("a", "b")
+    with_a = near.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -118,7 +134,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
                 found = []
                 sets = shingle_sets(part["text_a"], shingle)
                 for i, (x, y) in enumerate(zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True)):
-                    if y != last:  # rows come by doc_b
+                    if y != last:  # rows come by b
                         last, last_set = y, shingle_sets(part["text_b"].slice(i, 1), shingle)[0]
                     if set_hash(sets[i]) != x or set_hash(last_set) != y:  # another text with that doc_id
                         last = None
@@ -131,16 +147,23 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def narrow(df: DataFrame, rows: int, per: int = 200_000) -> DataFrame:
+    """A table of about so many rows in no more partitions than it needs, so that small tables don't write many small files."""
+    return df.coalesce(max(2, rows // per))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """cid and comp (the smallest cid reachable) of every end of an edge; each round's labels are checkpointed."""
+    size = edges.count()
+    edges = narrow(edges, size)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("cid"), F.least("a", "low").alias("comp")).checkpoint()
+    labels = narrow(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("cid"), F.least("a", "low").alias("comp")), size).checkpoint()
     while True:
         ends = labels.select(F.col("cid").alias("b"), "comp")
-        low = both.join(ends, "b").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("low"))
-        nearer = labels.join(low, "cid").select("cid", F.least("comp", "low").alias("next"), F.col("comp").alias("was"))
+        low = narrow(both.join(ends, "b").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("low")), size)
+        nearer = narrow(labels.join(low, "cid").select("cid", F.least("comp", "low").alias("next"), F.col("comp").alias("was")), size)
         jump = labels.select(F.col("cid").alias("next"), F.col("comp").alias("far"))
-        after = nearer.join(jump, "next").select("cid", F.least("next", "far").alias("comp"), "was").checkpoint()
+        after = narrow(nearer.join(jump, "next").select("cid", F.least("next", "far").alias("comp"), "was"), size).checkpoint()
         labels = after.drop("was")
         if after.where("comp != was").isEmpty():
             return labels
@@ -159,34 +182,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, cross_
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = sketch(texts, shingle).checkpoint()
     known = sketches.where("cid is not null and doc_id is not null")
-    classes = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).checkpoint()
+    classes = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bits").alias("bits")).checkpoint()
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = classes.select("cid", "registers", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "cid")
-    several = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    members = bands.join(several, "key").checkpoint()  # (key, cid), a few per document that has a near copy
+    several = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = bands.join(several, "key").checkpoint()  # (key, cid, members), a few per document that has a near copy
+    size = members.count()
+    members = narrow(members, size)
+    weight = narrow(members.groupBy("cid").agg(F.sum("members").alias("weight")), size)
+    members = narrow(members.join(weight, "cid").select("key", "cid", "weight"), size).checkpoint()
+    near = narrow(members.select("cid").distinct(), size).join(classes, "cid")
+    facts = written(narrow(near.select("cid", "n", "registers", "bits"), size, 50_000))  # of candidates only, as their texts
+    texts = written(narrow(texts.join(near.select("cid", F.col("rep").alias("doc_id")), "doc_id").select("cid", "text"), size, 50_000))
 
     edges, labels, salt = None, None, 0
     while True:
         if labels is None:
             now = members.withColumn("comp", F.col("cid"))
         else:
-            joined = members.join(labels, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+            joined = narrow(members.join(labels, "cid", "left").select("key", "cid", "weight", F.coalesce("comp", "cid").alias("comp")), size).checkpoint()
             open_keys = joined.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-            now = joined.join(open_keys, "key").checkpoint()
-            sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            total = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+            by_class = narrow(joined.join(open_keys, "key"), size).groupBy("cid").agg(F.first("comp").alias("comp"), F.first("weight").alias("weight"), F.collect_list("key").alias("keys"))  # a key for each band at most
+            now = narrow(by_class.join(facts.select("cid", "n", "bits"), "cid"), size).select("*", F.explode("keys").alias("key")).checkpoint()
+            each = now.groupBy("key", "comp").agg(F.count("*").cast("double").alias("size"))
+            sizes = each.groupBy("key").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("own"))
+            total = sizes.agg(F.sum("size").alias("rows"), F.sum((F.col("size") * F.col("size") - F.col("own")) / 2).alias("pairs")).first()
             if not total["rows"]:
                 break
-        last = labels is not None and (total["pairs"] <= cross_factor * total["rows"] or salt > 8)
+        last = labels is not None and (total["pairs"] <= cross_factor * total["rows"] or salt > 1)
         if last:  # every pair across components
-            other = now.select("key", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = now.join(other, "key").where("comp < comp_b").select(F.col("cid").alias("a"), "b")
+            other = now.select(F.col("key").alias("key_b"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("keys").alias("keys_b"))
+            once = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")  # a pair is made in one of its common bands
+            fits = (F.col("key") == F.col("key_b")) & (F.col("comp") < F.col("comp_b")) & possible(percent, F.col("n"), F.col("n_b"), F.col("bits"), F.col("bits_b")) & once
+            pairs = narrow(now.join(other, fits).select(F.col("cid").alias("a"), "b"), size, 50_000)
         else:
-            rank = F.struct(F.xxhash64(F.lit(salt), "cid").alias("rank"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
+            first = -F.col("weight") if labels is None else F.xxhash64(F.lit(salt), "cid")
+            rank = F.struct(first.alias("rank"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
             centre = now.groupBy("key").agg(F.min(rank).alias("centre")).select("key", "centre.b", "centre.comp_b")
-            pairs = now.join(centre, "key").where("comp != comp_b").select(F.col("cid").alias("a"), "b")
-        found = verified(pairs.distinct(), classes, texts, shingle, percent).checkpoint()
+            pairs = narrow(now.join(centre, "key").where("comp != comp_b").select(F.col("cid").alias("a"), "b"), size, 50_000)
+        pairs = narrow(pairs.distinct(), size, 50_000)
+        found = narrow(verified(pairs, facts, texts, shingle, percent), size).checkpoint()
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
         salt += 1
