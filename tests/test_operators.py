@@ -142,6 +142,16 @@ def test_nearest_in_blocks_is_the_same(spark, monkeypatch):
     assert sorted(memory.nearest(queries, vectors, 4).collect()) == whole
 
 
+def test_prefiltered_search_answers_every_block(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, embedding array<float>")
+    metadata = vectors.select("id", F.when(F.col("id") % 2 == 0, D1).otherwise(D3).alias("available_at"))
+    queries = vectors.where("id % 6 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"), F.when(F.col("id") % 4 == 0, D1).otherwise(D3).alias("as_of"))
+    whole = sorted(memory.search_as_of(queries, vectors, metadata, 4, prefilter=True).collect())
+    assert len(whole) == 40 and all(r["id"] % 2 == 0 for r in whole if r["query_id"] % 4 == 0)
+    monkeypatch.setattr(memory, "QUERY_BLOCK", 3)
+    assert sorted(memory.search_as_of(queries, vectors, metadata, 4, prefilter=True).collect()) == whole
+
+
 def test_quotes_are_data(spark):
     bars = spark.createDataFrame([("BRK'B;DROP", D1), ("A", D1)], "symbol string, date date")
     asked = spark.createDataFrame([("BRK'B;DROP",)], "symbol string")

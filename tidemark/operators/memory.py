@@ -94,10 +94,11 @@ def feedback(memories: DataFrame, given: DataFrame, gone: DataFrame) -> DataFram
     return out.withColumn("compound", F.when(F.col("n") > 0, compound(F.col("recency"), F.col("importance"))).otherwise(F.col("compound"))).drop("n", "total", "weighted")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", same: tuple[str, ...] = ()) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", same: tuple[str, ...] = (), fence: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest vectors of every query, exactly.
 
-    queries: query_id, query, and the columns of ``same``; vectors: id, embedding, and those. Queries go to the tasks
+    queries: query_id, query, and the columns of ``same``; vectors: id, embedding, and those. With ``fence``, a
+    condition on columns of both, only pairs that meet it count. Queries go to the tasks
     in blocks of at most ``QUERY_BLOCK`` rows; vectors stay where they are, and each task keeps k rows per query before
     the ranks are merged.
     """
@@ -107,7 +108,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     found = None
     for part in range(blocks):
         some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part) if blocks > 1 else queries
-        match = [some[c] == vectors[c] for c in same] or [F.lit(True)]
+        match = [some[c] == vectors[c] for c in same] + ([] if fence is None else [fence]) or [F.lit(True)]
         pairs = vectors.join(F.broadcast(some), match).select("query_id", "id", score.alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))
         top = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -134,9 +135,7 @@ def hybrid_query(memories: DataFrame, queries: DataFrame, k: int, keys: tuple[st
 def search_as_of(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, k: int, prefilter: bool = False) -> DataFrame:
     """Vector search behind a time fence (queries: query_id, query, as_of): the first k available of the 2k nearest; ``prefilter`` fences first."""
     if prefilter:
-        rows = vectors.join(metadata, "id").join(F.broadcast(queries.limit(QUERY_BLOCK)), F.col("available_at") <= F.col("as_of"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-        return rows.withColumn("score", V.cosine(F.col("query"), F.col("embedding"))).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+        return nearest(queries, vectors.join(metadata, "id"), k, fence=F.col("available_at") <= F.col("as_of"))
     hits = nearest(queries.select("query_id", "query"), vectors, 2 * k).join(metadata, "id").join(queries.select("query_id", "as_of"), "query_id")
     open_hits = hits.where(F.col("available_at") <= F.col("as_of"))
     again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
