@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -287,6 +288,27 @@ def test_language_edges(spark, edge, none):
     assert language.predict(none, model).count() == 0
 
 
+def test_language_tables_keep_every_gram(spark):
+    """More grams than a task holds: each text's score is that of the whole tables in memory."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    letters = {"aa": "abcdefghijklmnopqrst", "bb": "jklmnopqrstuvwxyzäß\U0001d11e"}
+    rows = [(i, " ".join("".join(rng.choices(letters[x], k=6)) for _ in range(60)), x) for i, x in enumerate(["aa", "bb"] * 60)]
+    rows += [(1000, None, "aa"), (1001, "Zebra zzzz qqq \U0001d11e", None), (1001, "other words", None), (1002, "...", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = {x: Counter("".join(map(chr, g)) for _, t, lang in rows if lang == x and t for g in language.positions(t.split())[0].tolist()) for x in letters}
+    assert min(map(len, counts.values())) > 10_000
+    tables = [language.kneser_ney(pd.DataFrame({"gram": list(c), "n": list(c.values())})) for c in counts.values()]
+    whole = language.Model(list(letters), [g for g, _ in tables], [c for _, c in tables])
+    want = Counter((i, round(float(e), 9)) for (i, t, _), e in zip(rows, language.entropies(pa.array([t for _, t, _ in rows]), whole, {}).min(1), strict=True) if t and any(map(str.isalpha, t)))
+    for held in (100, 2_000, 10**6):
+        found = language.predict(docs, language.fit(docs, held)).collect()
+        assert len(found) == len(rows) and Counter((r.doc_id, round(r.entropy, 9)) for r in found if r.lang != "und") == want
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = quality.fold(F.col("doc_id")) == 0

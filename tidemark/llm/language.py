@@ -8,8 +8,10 @@ the order of a 64-bit hash of the gram. A text's cross-entropy is its words' sum
 characters; the language with the lowest one wins. A temperature, fitted on training texts, turns the differences to
 a score, and a text whose best cross-entropy is above what training texts of that language reach is rejected.
 
-The model keeps each language's ``MOST_GRAMS`` most frequent grams of the highest order, and is fitted to
-``CALIBRATION`` training texts at most; counting covers all training text and scoring every text whole.
+All grams of the training text count: the tables of each order are DataFrames in the shared folder. Tasks get the
+log-probabilities of the ``HOT_GRAMS`` most frequent grams and sum those natively in numpy; a text's other grams are
+joined with the tables, so what is kept in memory is bounded and no gram is left out. The calibration reads
+``CALIBRATION`` training texts of each language at most; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, slices, word_lists
+from .common import mix, slices, word_lists, written
 
-ORDER, MOST_GRAMS, CALIBRATION, DISCOUNT = 4, 25_000, 500, 0.75
+ORDER, HOT_GRAMS, CALIBRATION, DISCOUNT = 4, 50_000, 500, 0.75
 START, END = "\x02", "\x03"
 #: A model array's largest log-probability that stands for "never seen": a uniform share of this many characters.
 ALPHABET = 10_000
@@ -79,6 +81,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
+    """The tables in memory, for a few texts; ``Tables`` is the same for any number of grams."""
+
     langs: list[str]
     #: For each language and order: (hashes in order, log-probabilities), and (hashes of contexts, log back-off weights).
     grams: list[list[tuple[np.ndarray, np.ndarray]]]
@@ -163,19 +167,79 @@ def entropies(texts: pa.Array, model: Model, known: dict) -> np.ndarray:
     return -(sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, chars[first[1:]] - chars[first[:-1]])[:, None]
 
 
-def fit(docs: DataFrame, most_grams: int = MOST_GRAMS, calibration: int = CALIBRATION) -> Model:
+@dataclass
+class Tables:
+    langs: list[str]
+    #: For each order: (lang, gram, value) with log-probabilities, and (lang, context, value) with log back-off weights.
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    #: Hashes, in order, and log-probabilities in each language of the grams that every task gets.
+    hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros((0, 0)))
+    temperature: float = 1.0
+    ceilings: list[float] = field(default_factory=list)
+
+    def by_lang(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias(name))
+
+    def log_probabilities(self, grams: DataFrame) -> DataFrame:
+        """gram, values (an array by language) of distinct grams of the highest order.
+
+        Shorter grams are made distinct first, so no key of a join has more rows than there are characters.
+        """
+        parts = [grams]
+        for k in range(ORDER - 1, 0, -1):
+            parts.insert(0, parts[0].select(F.substring("gram", 2, k).alias("gram")).distinct())
+        lower = None
+        for k, part in enumerate(parts):
+            rows = part.select("gram", F.substring("gram", 1, k).alias("context"), F.substring("gram", 2, k).alias("shorter"))
+            rows = rows.join(self.by_lang(self.grams[k], "gram", "seen"), "gram", "left").join(self.by_lang(self.contexts[k], "context", "back"), "context", "left")
+            if lower is not None:
+                rows = rows.join(lower, "shorter")
+            below = lambda i: F.lit(-float(np.log(ALPHABET))) if lower is None else F.get("below", i)  # noqa: E731, B023
+            each = [F.coalesce(F.try_element_at("seen", F.lit(x)), below(i) + F.coalesce(F.try_element_at("back", F.lit(x)), F.lit(0.0))) for i, x in enumerate(self.langs)]
+            found = rows.select("gram", F.array(*each).alias("values"))
+            lower = found.select(F.col("gram").alias("shorter"), F.col("values").alias("below"))
+        return found
+
+
+def kneser_ney_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The tables of ``kneser_ney`` for all languages at once, from lang, gram, n of the highest order."""
+    orders = [counts]
+    for k in range(ORDER - 1, 0, -1):  # types that continue each shorter gram
+        orders.insert(0, orders[0].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
+    grams, contexts = [], []
+    for k, counted in enumerate(orders):
+        rows = counted.withColumn("context", F.substring("gram", 1, k))
+        weights = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (DISCOUNT * F.count("*") / F.sum("n")).alias("back"))
+        rows = rows.join(weights, ["lang", "context"])
+        below = F.lit(1 / ALPHABET)
+        if k:
+            rows = rows.withColumn("shorter", F.substring("gram", 2, k)).join(grams[-1].select("lang", F.col("gram").alias("shorter"), F.exp("value").alias("below")), ["lang", "shorter"])
+            below = F.col("below")
+        p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("back") * below
+        grams.append(written(rows.select("lang", "gram", F.log(p).alias("value"))))
+        contexts.append(written(weights.select("lang", "context", F.log("back").alias("value"))))
+    return grams, contexts
+
+
+def fit(docs: DataFrame, hot_grams: int = HOT_GRAMS, calibration: int = CALIBRATION) -> Tables:
     """A model of the languages in ``docs`` (doc_id, text, lang); rows without text or lang don't count. No rows: no languages."""
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    counts = gram_counts(usable).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most_grams).select("lang", "gram", "n").toPandas()
-    langs = sorted(counts["lang"].unique())
-    tables = [kneser_ney(counts[counts["lang"] == x].sort_values("gram")) for x in langs]
-    model = Model(langs, [g for g, _ in tables], [c for _, c in tables], ceilings=[np.inf] * len(langs))
+    counts = written(gram_counts(usable))
+    langs = sorted(row["lang"] for row in counts.select("lang").distinct().collect())
+    model = Tables(langs, *kneser_ney_tables(counts), ceilings=[np.inf] * len(langs))
     if not langs:
         return model
-    sample = usable.where(F.length("text").between(1, LONGEST)).orderBy(F.xxhash64("doc_id", "text")).limit(calibration).toPandas()
-    found = entropies(pa.array(sample["text"], pa.string()), model, {})
-    truth = sample["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
+    often = counts.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "gram").limit(hot_grams).select("gram")
+    hot = model.log_probabilities(often).toPandas()
+    hashes = gram_hash(np.frombuffer("".join(hot["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, ORDER))
+    order = np.argsort(hashes)
+    model.hot = hashes[order], np.array(hot["values"].tolist(), np.float64).reshape(-1, len(langs))[order]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
+    sample = usable.where(F.length("text").between(1, LONGEST)).withColumn("rank", rank).where(F.col("rank") <= calibration)
+    known = cross_entropies(written(sample.select(F.struct("lang").alias("carry"), "text")), model).select("carry.lang", "entropies").toPandas()
+    found = np.array(known["entropies"].tolist(), np.float64).reshape(-1, len(langs))
+    truth = known["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
     best, fits = -np.inf, found.argmin(1) == truth
     for t in (0.5, 1, 2, 4, 8, 16, 32):
         logits = -found * t
@@ -188,31 +252,73 @@ def fit(docs: DataFrame, most_grams: int = MOST_GRAMS, calibration: int = CALIBR
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def hot_sums(texts: pa.Array, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each text: characters (with a word's end), summed log-probabilities of grams in ``hot``, and the other grams with their numbers."""
+    keys, values = hot
+    first, number, words = distinct_words(texts)
+    grams, word = positions(words)
+    hashes, at, inverse = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
+    place = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+    there = keys[place] == hashes if len(keys) else np.zeros(len(hashes), bool)
+    weights = np.zeros((len(hashes), values.shape[1]))
+    weights[there] = values[place[there]]
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    per_word = np.add.reduceat(weights[inverse], starts) if len(starts) else np.zeros((0, values.shape[1]))
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    sums = np.stack([np.bincount(text, weights=per_word[number, i], minlength=len(texts)) for i in range(values.shape[1])], axis=1)
+    length = np.diff(np.append(starts, len(word)))
+    chars = np.bincount(text, weights=length[number], minlength=len(texts)).astype(np.int64)
+    # grams that are not hot: those of each such word, for each text that has the word
+    cold = np.flatnonzero(~there[inverse])
+    begin = np.searchsorted(word[cold], np.arange(len(words) + 1))
+    many = np.diff(begin)[number]
+    which = np.repeat(begin[:-1][number], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    pairs, n = np.unique(np.repeat(text, many) * len(hashes) + inverse[cold[which]], return_counts=True)
+    used, code = np.unique(pairs % max(1, len(hashes)), return_inverse=True)
+    names = pa.array(["".join(map(chr, g)) for g in grams[at[used]].tolist()], pa.string()).take(pa.array(code))
+    ends = np.searchsorted(pairs // max(1, len(hashes)), np.arange(len(texts) + 1))
+    others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, pa.array(n, pa.int64())], names=["gram", "n"]))
+    return chars, sums, others
+
+
+def cross_entropies(docs: DataFrame, model: Tables) -> DataFrame:
+    """carry and entropies, per character in each language, of each row of ``docs`` (carry, text)."""
+    langs, broadcast = len(model.langs), docs.sparkSession.sparkContext.broadcast(model.hot)  # at most HOT_GRAMS rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                chars, sums, others = hot_sums(part["text"], broadcast.value)
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * langs, pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([part["carry"], part["row"], pa.array(chars), sums, others], names=["carry", "row", "chars", "sums", "others"])
+
+    carry = docs.schema["carry"].dataType.simpleString()
+    rows = docs.select("carry", "text", F.monotonically_increasing_id().alias("row"))
+    # numbers of rows hold only within one run, so its result is kept
+    rows = written(rows.mapInArrow(run, f"carry {carry}, row long, chars long, sums array<double>, others array<struct<gram:string,n:long>>"))
+    cold = rows.where(F.size("others") > 0).select("row", F.inline("others"))
+    values = model.log_probabilities(cold.select("gram").distinct())
+    added = cold.join(values, "gram").groupBy("row").agg(F.array(*(F.sum(F.col("n") * F.get("values", F.lit(i))) for i in range(langs))).alias("added"))
+    entropies = lambda sums: F.transform(sums, lambda x: -x / F.greatest(F.lit(1), F.col("chars")))
+    warm = rows.where(F.size("others") == 0).select("carry", entropies(F.col("sums")).alias("entropies"))
+    both = rows.where(F.size("others") > 0).join(added, "row")
+    return warm.unionByName(both.select("carry", entropies(F.zip_with("sums", "added", lambda a, b: a + b)).alias("entropies")))
+
+
+def predict(docs: DataFrame, model: Tables) -> DataFrame:
     """doc_id, lang (the most likely), score (0 to 1), entropy and rejected of each row's whole text.
 
     Texts that are null or have no letter, and all texts of a model without languages, are ``und`` with score 0, and
     rejected. Only doc_id and text are read. Repeated rows give repeated results; an empty table gives none.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_GRAMS grams of each order and language
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = broadcast.value, {}
-        for batch in batches:
-            for part in slices(batch, "text"):
-                usable = part["letters"].to_numpy(zero_copy_only=False) & bool(m.langs)
-                lang, score, entropy, rejected = ["und"] * len(part), np.zeros(len(part)), np.zeros(len(part)), ~usable
-                if usable.any():
-                    found = entropies(part["text"], m, known)
-                    logits = -found * m.temperature
-                    odds = np.exp(logits - logits.max(1, keepdims=True))
-                    which = found.argmin(1)
-                    entropy = np.where(usable, found.min(1), 0)
-                    score = np.where(usable, odds.max(1) / odds.sum(1), 0)
-                    rejected = rejected | (entropy > np.array(m.ceilings)[which])
-                    lang = [m.langs[i] if u else "und" for i, u in zip(which.tolist(), usable.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=["doc_id", "lang", "score", "entropy", "rejected"])
-
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return asked.withColumn("letters", letters).mapInArrow(run, "doc_id long, lang string, score double, entropy double, rejected boolean")
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")
+    nothing = [F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected")]
+    if not model.langs:
+        return docs.select(doc_id, *nothing)
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    found = cross_entropies(docs.select(F.struct(doc_id, letters.alias("letters")).alias("carry"), F.when(letters, text).alias("text")), model)
+    best = found.select("carry.*", "entropies", F.array_min("entropies").alias("best")).withColumn("which", F.array_position("entropies", F.col("best")).cast("int"))
+    odds = F.aggregate("entropies", F.lit(0.0), lambda a, x: a + F.exp((F.col("best") - x) * model.temperature))
+    of_lang = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("which"))
+    known: list[Column] = [of_lang(model.langs), 1 / odds, F.col("best"), F.col("best") > of_lang(model.ceilings)]
+    return best.select("doc_id", *(F.when(F.col("letters"), value).otherwise(F.lit(default)).alias(name) for value, default, name in zip(known, ("und", 0.0, 0.0, True), ("lang", "score", "entropy", "rejected"), strict=True)))
