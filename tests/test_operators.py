@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from compare import DATA
 from pyspark.sql import functions as F
 
 from tidemark.functions import decisions, text
@@ -232,3 +233,12 @@ def test_stream_marks_repeated_routes(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     found = sinks.drain(feeds.first_shares(feeds.stream_table(spark, f"{tmp_path}/in"), ("source", "target"))).collect()
     assert {r.route_id: r.deduped for r in found} == {"r1": False, "r2": True, "r3": False}
+
+
+def test_event_log_has_bars_of_every_day(spark):
+    from tidemark import plans
+    from tidemark.plans.views import view
+
+    found = {str(r["date"]): (r["n"], r["ids"]) for r in plans.queries()["event_log_write"](spark, DATA).where("artifact_type = 'price_bar'").collect()}
+    bars = {str(r["date"]): (r["count"], r["count"]) for r in view(spark, DATA, "bars").groupBy("date").count().collect()}
+    assert found == bars and max(bars) > "2024-01-05"

@@ -60,11 +60,11 @@ def distinct_on(spark, sf_dir):
 
 
 def _log(spark, sf_dir) -> str:
-    """Writes decisions and bars of some days as artifacts and returns the log's path."""
+    """Writes decisions and bars as artifacts and returns the log's path."""
     path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     decisions = view(spark, sf_dir, "decisions").withColumn("key", F.concat_ws("|", "agent_id", "symbol", "date"))
     event_log.append(event_log.artifacts(decisions, "agent_output", "date", "agent_id", "symbol", "decision", id_from="key"), path)
-    bars = view(spark, sf_dir, "bars").where("date <= date'2024-01-05'").withColumn("key", F.concat_ws("|", "symbol", "date"))
+    bars = view(spark, sf_dir, "bars").withColumn("key", F.concat_ws("|", "symbol", "date"))
     event_log.append(event_log.artifacts(bars, "price_bar", "date", "symbol", "close", "volume", id_from="key"), path)
     return path
 

@@ -17,7 +17,9 @@ def events_of(spark, sf_dir):
 @query("SELECT artifact_type, date, count(*) AS n FROM (SELECT 'price_bar' AS artifact_type, CAST(date AS STRING) AS date FROM bars WHERE date <= DATE '2024-01-05') GROUP BY 1, 2", "bars")
 def stream_event_log(spark, sf_dir):
     lines = feeds.tail_log(spark, _log(spark, sf_dir), event_log.SCHEMA, "price_bar")
-    return sinks.drain(lines.select("event_id", "artifact_type", "date")).groupBy("artifact_type", "date").agg(F.count("*").alias("n"))
+    # all days are tailed; the bound is the SQL's, on what is read of them
+    tailed = sinks.drain(lines.select("event_id", "artifact_type", "date")).where(F.col("date") <= "2024-01-05")
+    return tailed.groupBy("artifact_type", "date").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS date FROM events")
