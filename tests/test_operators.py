@@ -242,3 +242,24 @@ def test_event_log_has_bars_of_every_day(spark):
     found = {str(r["date"]): (r["n"], r["ids"]) for r in plans.queries()["event_log_write"](spark, DATA).where("artifact_type = 'price_bar'").collect()}
     bars = {str(r["date"]): (r["count"], r["count"]) for r in view(spark, DATA, "bars").groupBy("date").count().collect()}
     assert found == bars and max(bars) > "2024-01-05"
+
+
+def test_expiring_context_has_live_windows(spark, tmp_path):
+    from tidemark import plans
+
+    events = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = events.groupBy(F.window("ts", "2 days").alias("w"), "user_id").agg(F.count("*").alias("n_items"), F.max("event_id").alias("latest")).select("w.start", "user_id", "n_items", "latest")
+    found = plans.queries()["stream_context_ttl"](spark, DATA)
+    assert sorted(found.select("start", "user_id", "n_items", "latest").collect()) == sorted(want.collect())
+    # the same over several batches, with late items
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = feeds.expiring_context(rows, f"{tmp_path}/out")
+    run.awaitTermination()
+    last = run.lastProgress["batchId"]
+    got = spark.read.parquet(f"{tmp_path}/out/{last}")
+    assert last >= 2 and sorted(got.select("start", "user_id", "n_items", "latest").collect()) == sorted(want.collect())
+    newest = events.agg(F.max("ts")).first()[0]
+    live = feeds.live_windows(got, F.lit(newest)).collect()
+    assert live and all(r.expires > newest for r in live)

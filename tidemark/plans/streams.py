@@ -50,5 +50,7 @@ def stream_shadow(spark, sf_dir):
 
 @query()
 def stream_context_ttl(spark, sf_dir):
-    found = sinks.drain(feeds.expiring_context(events_of(spark, sf_dir)))
-    return found.select(F.col("window.start").alias("start"), "user_id", "n_items", "latest")
+    path = feeds.store_path(spark)
+    run = feeds.expiring_context(events_of(spark, sf_dir), path)
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/{run.lastProgress['batchId']}").select("start", "expires", "user_id", "n_items", "latest")

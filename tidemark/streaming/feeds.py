@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sinks import shared_folder
@@ -75,9 +75,26 @@ def running_shadow(steps: DataFrame, initial: float = 100.0) -> DataFrame:
     return steps.groupBy("agent_id", "symbol").applyInPandasWithState(update, SHADOW, STATE, "append", "NoTimeout")
 
 
-def expiring_context(rows: DataFrame, ttl: str = "2 days") -> DataFrame:
-    """Shared context per target in windows of its time to live; late and expired items never show again."""
-    return rows.withWatermark("ts", ttl).groupBy(F.window("ts", ttl), "user_id").agg(F.count("*").alias("n_items"), F.max("event_id").alias("latest"))
+def expiring_context(rows: DataFrame, path: str, ttl: str = "2 days"):
+    """Starts a stream that keeps shared context per target in windows of its time to live, in snapshots under ``path``, one for each batch.
+
+    Every window is there with its expiry time, live ones too; readers leave out what has expired (``live_windows``).
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.groupBy(F.window("ts", ttl).alias("window"), "user_id").agg(F.count("*").alias("n_items"), F.max("event_id").alias("latest"))
+        new = new.select(F.col("window.start").alias("start"), F.col("window.end").alias("expires"), "user_id", "n_items", "latest")
+        both = spark.read.parquet(f"{path}/{number - 1}").unionByName(new) if number else new
+        merged = both.groupBy("start", "expires", "user_id").agg(F.sum("n_items").alias("n_items"), F.max("latest").alias("latest"))
+        merged.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+
+
+def live_windows(context: DataFrame, now: Column) -> DataFrame:
+    """Windows that haven't expired."""
+    return context.where(F.col("expires") > now)
 
 
 def first_shares(routes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
