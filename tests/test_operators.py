@@ -263,3 +263,35 @@ def test_expiring_context_has_live_windows(spark, tmp_path):
     newest = events.agg(F.max("ts")).first()[0]
     live = feeds.live_windows(got, F.lit(newest)).collect()
     assert live and all(r.expires > newest for r in live)
+
+
+def test_text_queries_over_all_rows(spark):
+    """The queries without SQL have every row, and agree with brute force beyond ASCII."""
+    from tidemark import plans
+
+    texts = ["plain", "Äé ß\nπ", "\U0001d11e a\U0001f600", "漢字\n\n", ""]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", text.text_embedding3(F.col("t")).alias("v")).collect()
+    assert {r.id: r.v for r in got} == {i: pytest.approx([len(t) / 1000, sum(map(ord, t)) % 997 / 997, t.count("\n") / 100]) for i, t in enumerate(texts)}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = {r.doc_id: (r.x, r.y, r.z) for r in plans.queries()["text_embedding3_all"](spark, DATA).collect()}
+    assert found == {r.doc_id: tuple(round(x, 6) for x in (len(r.text) / 1000, sum(map(ord, r.text)) % 997 / 997, r.text.count("\n") / 100)) for r in docs.collect()}
+
+    from tidemark.plans.views import view
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    before, want = {}, set()
+    rows = sorted(view(spark, DATA, "news").select("published_at", "event_id", "symbol", "lang", "headline").collect())
+    assert any(not r.headline.isascii() for r in rows)
+    for r in rows:
+        a, b = r.headline, before.get(r.lang)
+        before[r.lang] = a
+        if b is None or not (2 * min(len(a), len(b)) > 0.3 * (len(a) + len(b)) and 1 - edits(a, b) / max(len(a), len(b), 1) > 0.3):
+            want.add((r.event_id, r.symbol))
+    assert {tuple(r) for r in plans.queries()["news_near_dup_levenshtein_all"](spark, DATA).select("event_id", "symbol").collect()} == want

@@ -60,7 +60,15 @@ SELECT event_id, symbol FROM w WHERE NOT coalesce(2 * least(length(headline), le
     "news",
 )
 def news_near_dup_levenshtein(spark, sf_dir):
-    items = view(spark, sf_dir, "news").where("octet_length(headline) = length(headline)")
+    return _near_dup_levenshtein(view(spark, sf_dir, "news").where("octet_length(headline) = length(headline)"))
+
+
+@query()
+def news_near_dup_levenshtein_all(spark, sf_dir):
+    return _near_dup_levenshtein(view(spark, sf_dir, "news"))
+
+
+def _near_dup_levenshtein(items):
     kept = news.drop_near_previous(items, "headline", 0.3, ("lang",), news.levenshtein_similarity("headline"))
     return kept.select("event_id", "symbol")
 
@@ -123,7 +131,16 @@ def summary_prefix(spark, sf_dir):
 
 @query("SELECT doc_id, round(length(text) / 1000e0, 6) AS x, round((list_sum(list_transform(string_split(text, ''), lambda c: ascii(c))) % 997) / 997e0, 6) AS y, round((length(text) - length(replace(text, chr(10), ''))) / 100e0, 6) AS z FROM documents WHERE strlen(text) = length(text)")
 def text_embedding3(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("octet_length(text) = length(text)").select("doc_id", T.text_embedding3(F.col("text")).alias("v"))
+    return _text_embedding3(table(spark, sf_dir, "documents").where("octet_length(text) = length(text)"))
+
+
+@query()
+def text_embedding3_all(spark, sf_dir):
+    return _text_embedding3(table(spark, sf_dir, "documents"))
+
+
+def _text_embedding3(rows):
+    docs = rows.select("doc_id", T.text_embedding3(F.col("text")).alias("v"))
     return docs.select("doc_id", *(F.round(F.col("v")[k], 6).alias(c) for k, c in enumerate("xyz")))
 
 
