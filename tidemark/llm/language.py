@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, slices, word_lists, written
 
-ORDER, HOT_GRAMS, CALIBRATION, DISCOUNT = 4, 50_000, 500, 0.75
+ORDER, HOT_GRAMS, CALIBRATION, DISCOUNT = 4, 20_000, 500, 0.75
 START, END = "\x02", "\x03"
 #: A model array's largest log-probability that stands for "never seen": a uniform share of this many characters.
 ALPHABET = 10_000
@@ -287,7 +287,7 @@ def cross_entropies(docs: DataFrame, model: Tables) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 chars, sums, others = hot_sums(part["text"], broadcast.value)
                 sums = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * langs, pa.int32()), pa.array(sums.ravel()))
                 yield pa.RecordBatch.from_arrays([part["carry"], part["row"], pa.array(chars), sums, others], names=["carry", "row", "chars", "sums", "others"])
