@@ -1,16 +1,18 @@
 """Quality scores from compression with dictionaries of good and of bad text.
 
-Two zstandard dictionaries are built from labelled texts, one from each class. A text, in blocks, is compressed with
-both; a text like the good ones gets smaller with the good dictionary. The difference of the two sizes, normalised by
-their sum, and how well the text compresses at all are calibrated to a probability, at equal odds of the two labels,
-on labelled texts that the dictionaries were not built from.
-
-The classifier is fitted on a bounded sample: ``PER_CLASS`` rows of each class, the first in the order of a hash of
-their ids, among labelled texts of at most ``LONGEST`` characters. Scoring reads every text whole.
+Two zstandard dictionaries are built from labelled texts, one from each class. A text's pieces (sentences and lines, the
+longer ones every ``PIECE`` bytes) are compressed one by one with both; a text like the good ones gets smaller with the
+good dictionary. Pieces are short, so that what a text repeats within itself doesn't hide what it shares with a class.
+The difference of the two sizes, normalised by their sum, is the score: it is calibrated to a probability by a logistic
+curve, at equal odds of the two labels. For that, each half of the sample is scored with dictionaries of the other half.
+
+The classifier is fitted on a bounded sample: ``PER_CLASS`` ids of each class, the first in the order of a hash of
+the ids, among labelled texts of at most ``LONGEST`` characters. Scoring reads every text whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS, LONGEST, DICTIONARY, BLOCK, LEVEL = 1200, 30_000, 65_536, 4096, 3
-THRESHOLD = 0.3
-#: Columns of ``features``.
-FEATURES = 10
+from .common import slices
 
+PER_CLASS, LONGEST, DICTIONARY, PIECE, LEVEL = 1200, 30_000, 65_536, 256, 3
+PIECES = re.compile(rb"[^.!?\n]{1,%d}[.!?\n]*|[.!?\n]{1,%d}" % (PIECE, PIECE))
+THRESHOLD = 0.3
 
 def fold(doc_id: Column) -> Column:
     """0 for held-out documents, from the id alone."""
@@ -41,27 +43,24 @@ class Model:
 
         out = []
         for raw in (self.good, self.bad):
-            parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, write_content_size=False, write_checksum=False, write_dict_id=False)
+            parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
             dictionary = zstandard.ZstdCompressionDict(raw)
             dictionary.precompute_compress(compression_params=parameters)
             out.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters))
         return out
 
 
-def features(texts: list[bytes], compressors: list) -> np.ndarray:
-    """For each text: 1, normalised size difference, compressed share, their products, and the worst block's difference."""
-    good, bad = compressors
-    sizes, worst = np.zeros((len(texts), 3)), np.zeros(len(texts))
+def difference(texts: list[bytes], compressors: list) -> np.ndarray:
+    """For each text, how much smaller the good dictionary makes it than the bad one, in hundredths of both sizes; 0 for an empty text."""
+    good, bad = (c.compress for c in compressors)
+    out = np.zeros(len(texts))
     for i, text in enumerate(texts):
-        blocks = [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
-        pairs = [(len(good.compress(x)), len(bad.compress(x))) for x in blocks]
-        sizes[i] = sum(a for a, _ in pairs), sum(b for _, b in pairs), len(text)
-        worst[i] = min((10 * (b - a) / (a + b) for a, b in pairs), default=0.0)
-    total = np.maximum(1, sizes[:, 0] + sizes[:, 1])
-    difference, share = 10 * (sizes[:, 1] - sizes[:, 0]) / total, total / 2 / np.maximum(1, sizes[:, 2])
-    share = np.where(sizes[:, 2] > 0, np.minimum(share, 2), 0.5)
-    short = 1 / np.sqrt(1 + sizes[:, 2] / 100)
-    return np.stack([np.ones(len(texts)), difference, share, difference * share, share**2, difference**2 * np.sign(difference), short, short * difference, worst, np.maximum(0, 0.3 - share)], 1)
+        a = b = 0
+        for piece in PIECES.finditer(text):
+            a += len(good(piece[0]))
+            b += len(bad(piece[0]))
+        out[i] = 100 * (b - a) / max(1, a + b)
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -77,7 +76,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Model:
-    """Fits on labelled documents whose fold isn't 0. With fewer than 20 usable texts of a class, every score is 0.5."""
+    """Fits on labelled documents whose fold isn't 0. With fewer than 20 usable texts of a class, every score is 0.5.
+
+    Null and empty texts, longer ones and labels other than 0 and 1 don't count. An id with both labels counts as good,
+    and of a repeated doc_id one text is taken (the first in code point order), so the sample is bounded in rows.
+    """
     import zstandard
 
     turn = F.xxhash64("doc_id")
@@ -87,27 +90,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest:
         some = usable.where(F.col("quality") == value).orderBy(turn, "doc_id").limit(per_class)
         ids = some if ids is None else ids.unionByName(some)
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, longest))
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").collect()  # at most 2 * per_class ids
-    rows = sorted({(r["doc_id"], r["quality"], r["text"].encode()) for r in rows})
+    sample = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most 2 * per_class
+    rows = sorted((r["doc_id"], r["quality"], r["text"].encode()) for r in sample.collect())
     classes = [[t for _, q, t in rows if q == value] for value in (0, 1)]
     if min(map(len, classes)) < 20:
-        return Model(b"", b"", [0.0] * FEATURES)
+        return Model(b"", b"", [0.0, 0.0])
 
     def dictionary(texts: list[bytes]) -> bytes:
-        blocks = [t[at : at + BLOCK] for t in texts for at in range(0, len(t), BLOCK)]
-        return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, blocks)) // 4), blocks, level=LEVEL).as_bytes()
+        pieces = [piece for t in texts for piece in PIECES.findall(t)]
+        return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, pieces)) // 4), pieces, level=LEVEL).as_bytes()
 
-    model = Model(dictionary(classes[1][::2]), dictionary(classes[0][::2]), [])
-    held = [t[1::2] for t in classes]
-    x = features(held[0] + held[1], model.compressors())
-    y = np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])
-    model.weights = logistic(x, y).tolist()
-    model.weights[0] -= float(np.log(len(held[1]) / len(held[0])))  # calibrated at equal odds of the two labels
-    return model
+    found, truth = [], []
+    for k in (0, 1):  # each half is scored with dictionaries of the other one
+        bad, good = ([t for i, t in enumerate(texts) if i % 2 == k] for texts in classes)
+        other = [t for texts in classes for i, t in enumerate(texts) if i % 2 != k]
+        found.append(difference(other, Model(dictionary(good), dictionary(bad), []).compressors()))
+        truth.append(np.repeat([0.0, 1.0], [len(classes[0]) - len(bad), len(classes[1]) - len(good)]))
+    x, y = np.concatenate(found), np.concatenate(truth)
+    weights = logistic(np.stack([np.ones(len(x)), x], 1), y)
+    weights[0] -= np.log(y.sum() / (len(y) - y.sum()))  # calibrated at equal odds of the two labels
+    return Model(dictionary(classes[1]), dictionary(classes[0]), weights.tolist())
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, score (0 to 1) of each row's whole text, and a struct ``carry``; null texts count as empty. Order and repeats don't matter."""
+    """doc_id, score (0 to 1) of each row's whole text, and a struct ``carry`` of those columns, whatever their names.
+
+    Null texts count as empty ones, which get the calibration's own odds. A very long text is scored whole. Order and
+    repeated rows or ids don't matter: each row is judged by its text alone. An empty table gives no rows.
+    """
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")] if carry else []
     carried = bool(carry)
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
@@ -115,12 +125,12 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if model.good else None
-        weights = np.array(model.weights)
         for batch in batches:
-            texts = [x or b"" for x in batch["text"].cast(pa.binary()).to_pylist()]
-            x = features(texts, compressors) if compressors else np.eye(1, len(weights)).repeat(len(texts), 0)
-            found = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            columns = [batch["doc_id"], pa.array(found, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns + ([batch["carry"]] if carried else []), names=["doc_id", "score"] + ["carry"] * carried)
+            for part in slices(batch, "text", 4 << 20):
+                texts = (x or b"" for x in part["text"].cast(pa.binary()).to_pylist())
+                found = difference(list(texts), compressors) if compressors else np.zeros(len(part))
+                found = 1 / (1 + np.exp(-np.clip(model.weights[0] + model.weights[1] * found, -30, 30)))
+                columns = [part["doc_id"], pa.array(found, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns + ([part["carry"]] if carried else []), names=["doc_id", "score"] + ["carry"] * carried)
 
     return asked.mapInArrow(run, schema)
