@@ -8,10 +8,11 @@ the order of a 64-bit hash of the gram. A text's cross-entropy is its words' sum
 characters; the language with the lowest one wins. A temperature, fitted on training texts, turns the differences to
 a score, and a text whose best cross-entropy is above what training texts of that language reach is rejected.
 
-All grams of the training text count: the tables of each order are DataFrames in the shared folder. Tasks get the
-log-probabilities of the ``HOT_GRAMS`` most frequent grams and sum those natively in numpy; a text's other grams are
-joined with the tables, so what is kept in memory is bounded and no gram is left out. The calibration reads
-``CALIBRATION`` training texts of each language at most; scoring reads every text whole.
+All grams of the training text count: the tables of each order are DataFrames in the shared folder. While they have at
+most ``MEMORY_ROWS`` rows together, tasks get them as sorted hash arrays. Beyond that, tasks get the log-probabilities
+of the ``HOT_GRAMS`` most frequent grams, and a text's other grams are joined with the tables; results are the same. So
+what is kept in memory is bounded and no gram is left out. The calibration reads about ``CALIBRATION`` training texts of
+each language, a tenth at most, which are chosen by a hash of their rows and not counted; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices, word_lists, written
 
-ORDER, HOT_GRAMS, CALIBRATION, DISCOUNT = 4, 20_000, 500, 0.75
+ORDER, MEMORY_ROWS, HOT_GRAMS, CALIBRATION, DISCOUNT = 4, 2_000_000, 20_000, 500, 0.75
 START, END = "\x02", "\x03"
 #: A model array's largest log-probability that stands for "never seen": a uniform share of this many characters.
 ALPHABET = 10_000
@@ -67,7 +67,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 for lang in part["lang"].unique().to_pylist():
                     _, number, words = distinct_words(part.filter(pc.equal(part["lang"], lang))["text"])
                     grams, word = positions(words)
@@ -81,14 +81,12 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """The tables in memory, for a few texts; ``Tables`` is the same for any number of grams."""
+    """The tables in memory; ``Tables`` is the same for any number of grams."""
 
     langs: list[str]
     #: For each language and order: (hashes in order, log-probabilities), and (hashes of contexts, log back-off weights).
     grams: list[list[tuple[np.ndarray, np.ndarray]]]
     contexts: list[list[tuple[np.ndarray, np.ndarray]]]
-    temperature: float = 1.0
-    ceilings: list[float] = field(default_factory=list)
 
     def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
         """Log-probability of each gram's last character after the others, for each language."""
@@ -114,31 +112,6 @@ def _find(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, missing: flo
     return np.where(keys[at] == hashes, values[at], missing)
 
 
-def kneser_ney(counts: pd.DataFrame) -> tuple[list, list]:
-    """Tables of one language from its grams of the highest order (gram, n)."""
-    points = np.frombuffer("".join(counts["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-    orders = [(points, counts["n"].to_numpy(np.float64))]
-    for _ in range(ORDER - 1):  # types that continue each shorter gram
-        shorter = np.ascontiguousarray(orders[0][0][:, 1:])
-        _, first, inverse = np.unique(gram_hash(shorter), return_index=True, return_inverse=True)
-        orders.insert(0, (shorter[first], np.bincount(inverse).astype(np.float64)))
-    grams, contexts = [], []
-    lower = None
-    for k, (rows, n) in enumerate(orders):
-        before = gram_hash(np.ascontiguousarray(rows[:, :-1]))
-        keys, inverse = np.unique(before, return_inverse=True)
-        total, types = np.bincount(inverse, weights=n), np.bincount(inverse)
-        back = DISCOUNT * types / total
-        below = np.full(len(rows), 1 / ALPHABET) if not k else np.exp(_find(lower, gram_hash(np.ascontiguousarray(rows[:, 1:])), -np.log(ALPHABET)))
-        p = np.maximum(n - DISCOUNT, 0) / total[inverse] + back[inverse] * below
-        hashes = gram_hash(rows)
-        order = np.argsort(hashes)
-        lower = hashes[order], np.log(p[order])
-        grams.append(lower)
-        contexts.append((keys, np.log(back)))
-    return grams, contexts
-
-
 def entropies(texts: pa.Array, model: Model, known: dict) -> np.ndarray:
     """Cross-entropy per character of each text in each language; 0 without words. known: log-probabilities of grams seen before."""
     first, number, words = distinct_words(texts)
@@ -146,7 +119,7 @@ def entropies(texts: pa.Array, model: Model, known: dict) -> np.ndarray:
         return np.zeros((len(texts), len(model.langs)))
     grams, word = positions(words)
     hashes, at, inverse = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
-    if len(known.get("hashes", ())) > 1_000_000:
+    if len(known.get("hashes", ())) > 300_000:
         known.clear()
     if known:
         place = np.minimum(np.searchsorted(known["hashes"], hashes), len(known["hashes"]) - 1)
@@ -175,6 +148,8 @@ class Tables:
     contexts: list[DataFrame]
     #: Hashes, in order, and log-probabilities in each language of the grams that every task gets.
     hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros((0, 0)))
+    #: All tables, where they are small enough.
+    memory: Model | None = None
     temperature: float = 1.0
     ceilings: list[float] = field(default_factory=list)
 
@@ -203,7 +178,7 @@ class Tables:
 
 
 def kneser_ney_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The tables of ``kneser_ney`` for all languages at once, from lang, gram, n of the highest order."""
+    """grams and contexts of ``Tables``, of all languages at once, from lang, gram, n of the highest order."""
     orders = [counts]
     for k in range(ORDER - 1, 0, -1):  # types that continue each shorter gram
         orders.insert(0, orders[0].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")))
@@ -222,22 +197,56 @@ def kneser_ney_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFram
     return grams, contexts
 
 
-def fit(docs: DataFrame, hot_grams: int = HOT_GRAMS, calibration: int = CALIBRATION) -> Tables:
-    """A model of the languages in ``docs`` (doc_id, text, lang); rows without text or lang don't count. No rows: no languages."""
+def in_memory(model: Tables) -> Model:
+    """The tables as hash arrays."""
+
+    def arrays(table: DataFrame, key: str, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        rows = table.toPandas()
+        points = np.frombuffer("".join(rows[key]).encode("utf-32-le"), np.uint32).reshape(len(rows), width) if width and len(rows) else np.zeros((len(rows), width), np.uint32)
+        hashes, values, out = gram_hash(points), rows["value"].to_numpy(np.float64), []
+        for lang in model.langs:
+            own = np.flatnonzero((rows["lang"] == lang).to_numpy())
+            own = own[np.argsort(hashes[own])]
+            out.append((hashes[own], values[own]))
+        return out
+
+    grams = [arrays(t, "gram", k + 1) for k, t in enumerate(model.grams)]
+    contexts = [arrays(t, "context", k) for k, t in enumerate(model.contexts)]
+    return Model(model.langs, *([[order[i] for order in orders] for i in range(len(model.langs))] for orders in (grams, contexts)))
+
+
+def hottest(counts: DataFrame, model: Tables, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and log-probabilities of the ``most`` most frequent grams."""
+    often = counts.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "gram").limit(most).select("gram")
+    hot = model.log_probabilities(often).toPandas()
+    hashes = gram_hash(np.frombuffer("".join(hot["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, ORDER))
+    order = np.argsort(hashes)
+    return hashes[order], np.array(hot["values"].tolist(), np.float64).reshape(-1, len(model.langs))[order]
+
+
+def fit(docs: DataFrame, calibration: int = CALIBRATION, memory_rows: int = MEMORY_ROWS, hot_grams: int = HOT_GRAMS) -> Tables:
+    """A model of the languages in ``docs`` (doc_id, text, lang); rows without text or lang don't count. No rows: no languages.
+
+    A language's calibration texts have at most ``LONGEST`` characters; longer ones are counted. With fewer than 20 of
+    them, nothing of that language is rejected. Repeated rows are counted, or used to calibrate, together.
+    """
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = written(gram_counts(usable))
-    langs = sorted(row["lang"] for row in counts.select("lang").distinct().collect())
+    sizes = {row["lang"]: row["n"] for row in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    langs = sorted(sizes)
+    shares = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(0.1, calibration / sizes[lang])))) if langs else F.create_map()
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    chosen = (turn < F.try_element_at(shares, F.col("lang"))) & F.length("text").between(1, LONGEST) if langs else F.lit(False)
+    counts = written(gram_counts(usable.where(~chosen)))
     model = Tables(langs, *kneser_ney_tables(counts), ceilings=[np.inf] * len(langs))
     if not langs:
         return model
-    often = counts.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "gram").limit(hot_grams).select("gram")
-    hot = model.log_probabilities(often).toPandas()
-    hashes = gram_hash(np.frombuffer("".join(hot["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, ORDER))
-    order = np.argsort(hashes)
-    model.hot = hashes[order], np.array(hot["values"].tolist(), np.float64).reshape(-1, len(langs))[order]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
-    sample = usable.where(F.length("text").between(1, LONGEST)).withColumn("rank", rank).where(F.col("rank") <= calibration)
-    known = cross_entropies(written(sample.select(F.struct("lang").alias("carry"), "text")), model).select("carry.lang", "entropies").toPandas()
+    if sum(t.count() for t in model.grams + model.contexts) <= memory_rows:
+        model.memory = in_memory(model)
+    else:
+        model.hot = hottest(counts, model, hot_grams)
+    known = cross_entropies(usable.where(chosen).select(F.struct("lang").alias("carry"), "text"), model).select("carry.lang", "entropies").toPandas()
+    if not len(known):
+        return model
     found = np.array(known["entropies"].tolist(), np.float64).reshape(-1, len(langs))
     truth = known["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
     best, fits = -np.inf, found.argmin(1) == truth
@@ -283,33 +292,44 @@ def hot_sums(texts: pa.Array, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
 
 def cross_entropies(docs: DataFrame, model: Tables) -> DataFrame:
     """carry and entropies, per character in each language, of each row of ``docs`` (carry, text)."""
-    langs, broadcast = len(model.langs), docs.sparkSession.sparkContext.broadcast(model.hot)  # at most HOT_GRAMS rows
+    langs, carry = len(model.langs), docs.schema["carry"].dataType.simpleString()
+    broadcast = docs.sparkSession.sparkContext.broadcast(model.memory or model.hot)  # at most MEMORY_ROWS or HOT_GRAMS rows
+
+    def run_in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                found = entropies(part["text"], broadcast.value, known)
+                yield pa.RecordBatch.from_arrays([part["carry"], pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * langs, pa.int32()), pa.array(found.ravel()))], names=["carry", "entropies"])
+
+    if model.memory:
+        return docs.select("carry", "text").mapInArrow(run_in_memory, f"carry {carry}, entropies array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 chars, sums, others = hot_sums(part["text"], broadcast.value)
                 sums = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * langs, pa.int32()), pa.array(sums.ravel()))
                 yield pa.RecordBatch.from_arrays([part["carry"], part["row"], pa.array(chars), sums, others], names=["carry", "row", "chars", "sums", "others"])
 
-    carry = docs.schema["carry"].dataType.simpleString()
     rows = docs.select("carry", "text", F.monotonically_increasing_id().alias("row"))
     # numbers of rows hold only within one run, so its result is kept
     rows = written(rows.mapInArrow(run, f"carry {carry}, row long, chars long, sums array<double>, others array<struct<gram:string,n:long>>"))
     cold = rows.where(F.size("others") > 0).select("row", F.inline("others"))
     values = model.log_probabilities(cold.select("gram").distinct())
     added = cold.join(values, "gram").groupBy("row").agg(F.array(*(F.sum(F.col("n") * F.get("values", F.lit(i))) for i in range(langs))).alias("added"))
-    entropies = lambda sums: F.transform(sums, lambda x: -x / F.greatest(F.lit(1), F.col("chars")))
-    warm = rows.where(F.size("others") == 0).select("carry", entropies(F.col("sums")).alias("entropies"))
+    per_char = lambda sums: F.transform(sums, lambda x: -x / F.greatest(F.lit(1), F.col("chars")))
+    warm = rows.where(F.size("others") == 0).select("carry", per_char(F.col("sums")).alias("entropies"))
     both = rows.where(F.size("others") > 0).join(added, "row")
-    return warm.unionByName(both.select("carry", entropies(F.zip_with("sums", "added", lambda a, b: a + b)).alias("entropies")))
+    return warm.unionByName(both.select("carry", per_char(F.zip_with("sums", "added", lambda a, b: a + b)).alias("entropies")))
 
 
 def predict(docs: DataFrame, model: Tables) -> DataFrame:
     """doc_id, lang (the most likely), score (0 to 1), entropy and rejected of each row's whole text.
 
     Texts that are null or have no letter, and all texts of a model without languages, are ``und`` with score 0, and
-    rejected. Only doc_id and text are read. Repeated rows give repeated results; an empty table gives none.
+    rejected. Ties go to the first language by name. A very long text is scored whole. Only doc_id and text are read.
+    Repeated rows give repeated results; an empty table gives none.
     """
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")
     nothing = [F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected")]
