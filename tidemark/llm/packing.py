@@ -18,14 +18,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import slices, word_lists
 
 WINDOW = 2048
-#: Ids that may wait in a task's pool, and ids that stay in it for a later choice.
-POOL_HIGH, POOL_LOW = 4_000_000, 1_000_000
+#: Ids that may wait in a task's pool, ids that stay in it for a later choice, and ids in a batch of results.
+POOL_HIGH, POOL_LOW, OUTPUT = 4_000_000, 1_000_000, 500_000
+
+#: Words that the tokenizer takes as one run (of letters), and as two (letters, then punctuation but the apostrophe).
+LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+RUNS_OF = (f"^[{LETTERS}]+$", rf"^[{LETTERS}]+[!-&(-/:-@\[-`{{-~]+$")
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -38,7 +43,7 @@ class Encoder:
     A word with ``<|`` might hold a special token and is passed on unchanged.
     """
 
-    def __init__(self, path: str, most_words: int = 1_500_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,38 +56,56 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: list[pa.Array] = []
-        self.ids: list[np.ndarray] = list(self.tails)
-        self.count, self.flat = len(self.tails), np.zeros(0, np.uint32)
-        self.lengths = np.array([len(x) for x in self.tails], np.int64)
+        """Forgets all words. A word is known by 128 bits of a hash: ``keys`` in order, ``checks`` and ``numbers`` beside them."""
+        self.keys, self.checks, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.lengths = np.concatenate(self.tails), np.array([len(x) for x in self.tails], np.int32)
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
-        """Number of each word in the table of ids; new words are encoded."""
-        if self.count > self.most_words:
+        """Number of each of the distinct ``words`` in the table of ids; new words are encoded."""
+        if len(self.keys) > self.most_words:
             self.clear()
-        known = pa.concat_arrays(self.known) if self.known else pa.array([], pa.string())
-        self.known = [known]
-        at = pc.index_in(words, value_set=known)
-        new = words.filter(pc.is_null(at)).unique()
+        raw = words.cast(pa.binary())
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw.to_pylist())), "<u8").reshape(-1, 2)
+        at = np.minimum(np.searchsorted(self.keys, digests[:, 0]), max(0, len(self.keys) - 1))
+        known = (self.keys[at] == digests[:, 0]) & (self.checks[at] == digests[:, 1]) if len(self.keys) else np.zeros(len(words), bool)
+        new = np.flatnonzero(~known)
+        out = np.empty(len(words), np.int32)
+        out[known] = self.numbers[at[known]]
         if len(new):
-            plain = pc.match_substring_regex(new, "^[a-z]+$")
-            new = pa.concat_arrays([new.filter(plain), new.filter(pc.invert(plain))])
-            joined = self._plain(new.slice(0, pc.sum(plain).as_py() or 0).to_pylist())
-            coded = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(new.slice(len(joined[1])).to_pylist(), add_special_tokens=False)]
-            self.lengths = np.concatenate([self.lengths, joined[1], np.fromiter(map(len, coded), np.int64, len(coded))])
-            self.ids = [np.concatenate([*self.ids, joined[0], *coded])]
-            self.known.append(new)
-            self.count += len(new)
-            at = pc.index_in(words, value_set=pa.concat_arrays(self.known))
-        return at.to_numpy(zero_copy_only=False).astype(np.int64) + len(self.tails)
-
-    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of a-z, and how many each has; a word of letters ends where a token ends a word, so many go in one text."""
+            fresh = words.take(pa.array(new))
+            kinds = np.zeros(len(new), np.int64)
+            for kind, pattern in enumerate(RUNS_OF, 1):
+                kinds[pc.match_substring_regex(fresh, pattern).to_numpy(zero_copy_only=False)] = kind
+            kinds[pc.match_substring(fresh, "<|").to_numpy(zero_copy_only=False)] = 0
+            ids, lengths, places = [self.flat], [self.lengths], []
+            for kind in range(len(RUNS_OF) + 1):
+                places.append(np.flatnonzero(kinds == kind))
+                group = fresh.take(pa.array(places[-1]))
+                for k in range(0, len(group), 4000):  # the tokenizer's results are many times larger than their ids
+                    flat, count = self._in_rows(group.slice(k, 4000).to_pylist(), kind) if kind else self._one_by_one(group.slice(k, 4000).to_pylist())
+                    ids.append(flat)
+                    lengths.append(count)
+            new = new[np.concatenate(places)]
+            out[new] = np.arange(len(self.lengths), len(self.lengths) + len(new))
+            self.flat, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+            places = np.searchsorted(self.keys, digests[new, 0])
+            order = np.argsort(digests[new, 0], kind="stable")
+            self.checks = np.insert(self.checks, places[order], digests[new, 1][order])
+            self.numbers = np.insert(self.numbers, places[order], out[new][order])
+            self.keys = np.insert(self.keys, places[order], digests[new, 0][order])
+        return out
+
+    def _in_rows(self, words: list[str], runs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of so many runs, and how many each has; a run ends where a token ends a word, so many words go in one text."""
         lines = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))])
-        ends = np.flatnonzero(self.final[ids])
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(self.final[ids])[runs - 1 :: runs]
         assert len(ends) == len(words)
-        return ids, np.diff(ends, prepend=-1)
+        return ids, np.diff(ends, prepend=-1).astype(np.int32)
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int32, len(ids))
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""
@@ -93,15 +116,16 @@ class Encoder:
         stem = pc.ascii_rtrim(plain, characters=".,")
         single = pc.equal(pc.subtract(pc.binary_length(plain), pc.binary_length(stem)), 1)
         cut = pc.and_(pc.and_(single, pc.invert(special)), pc.match_substring_regex(stem, "[0-9a-z]$"))
-        stem = pc.if_else(cut, stem, plain)
+        stem = pc.if_else(cut, stem, plain).dictionary_encode()
         tail = pc.if_else(cut, pc.if_else(pc.ends_with(plain, "."), 1, 2), 0).to_numpy(zero_copy_only=False)
-        pair = np.stack([self._numbers(stem), tail.astype(np.int64)], 1)[coded.indices.to_numpy()].ravel() if len(words) else np.zeros(0, np.int64)
-        begin = np.cumsum(self.lengths) - self.lengths
-        table = self.ids[0] if len(self.ids) == 1 else np.concatenate(self.ids)
+        number = self._numbers(stem.dictionary)[stem.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
+        pair = np.stack([number, tail.astype(np.int32)], 1)[coded.indices.to_numpy()].ravel()
+        begin = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
         lengths = self.lengths[pair]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return table[np.repeat(begin[pair] - (ends - lengths), lengths) + np.arange(total)], lengths.reshape(-1, 2).sum(1)
+        ends = np.cumsum(lengths, dtype=np.int32)
+        places = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        places += np.repeat(begin[pair] - (ends - lengths), lengths)
+        return self.flat[places], lengths.reshape(-1, 2).sum(1)
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -193,7 +217,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1)
     """Pieces of ``docs`` (doc_id, text) in sequences of at most ``window`` ids, with ``ids`` as little-endian unsigned 32-bit values.
 
     tokenizer: path of a word-level BPE file that all executors can read (it comes with the public tokenizers' package).
-    Null and empty texts are the end id alone. Rows that repeat a doc_id, or have none, are documents of their own.
+    Null and empty texts are the end id alone. Rows that repeat a doc_id, or have none, are documents of their own, and
+    equal rows or lengths may be placed in any order. A text of any length is cut into as many windows as it fills.
     An empty table gives no rows. Only doc_id and text are read, so other columns don't matter.
     Sequence ids hold the number of the task's partition in their upper bits; a task that is run again gives the same rows.
     """
@@ -204,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1)
 
         def texts() -> Iterator[tuple]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", 4 << 20):
                     first, words = word_lists(part["text"])
                     ids, lengths = encoder.encode(words)
                     ends = np.concatenate([[0], np.cumsum(lengths)])[first]
@@ -216,16 +241,19 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1)
             columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(total, pa.int64()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        found: list[tuple] = []
+        found, held = [], 0
         for number, sequence in enumerate(_sequences(texts(), window)):
             offset = 0
             for doc, start, ids, total in sequence:
                 found.append((doc, start, ids, total, base + number, offset))
                 offset += len(ids)
-            if len(found) >= 2000:
+            held += offset
+            if held >= OUTPUT:
                 yield rows(found)
-                found = []
+                found, held = [], 0
         if found:
             yield rows(found)
+        del encoder
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
