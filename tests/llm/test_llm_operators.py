@@ -209,11 +209,36 @@ def test_chains_and_crowds(spark):
     for k in range(30):  # a shared core of too small a share
         rows.append((100 + k, " ".join([f"k{i}" for i in range(55)] + [f"own{k}x{i}" for i in range(20)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for factor in (1, 20):
-        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 2, cross_factor=factor).collect())
+    for rounds in (1, 2, 3):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 2, rounds=rounds).collect())
         assert got == brute_components(rows, 2, 80)
 
 
+def test_links_beside_the_centre(spark):
+    """Texts that are too far from a crowd's centre and linked with others of it, cut ones, and crowds within a crowd, with any number of rounds."""
+    rng = random.Random(11)
+    core = [f"k{i}" for i in range(90)]
+    rows = [(1000, " ".join(core))]
+    for k in range(160):
+        own = list(core)
+        for i in rng.sample(range(90), rng.randrange(1, 9)):
+            own[i] = rng.choice((f"own{k}x{i}", f"common{i}", own[i - 1]))
+        start = rng.choice((0, 0, 0, 6, 12))
+        rows.append((k, " ".join(own[start : 90 - rng.choice((0, 0, 7))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (1, 2, 3):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 2, rounds=rounds).collect())
+        assert got == brute_components(rows, 2, 80)
+
+
+def test_near_duplicates_of_all_documents(spark):
+    """The registered query's recall and precision over whole tables, against all pairs."""
+    for folder, shingle in (("sf0.001", 2), ("sf0.001", 5), ("sf0.01", 2)):
+        docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, shingle).collect())
+        assert got == brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()], shingle, 80)
+
+
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).count() == 0
 
@@ -259,21 +284,55 @@ def test_next_document_wraps(spark):
 # languages
 
 
-def test_kneser_ney_sums_to_one():
-    """Over all characters, the probabilities after a seen context sum to almost one."""
-    import numpy as np
-    import pandas as pd
-    import pyarrow as pa
-
-    grams, word = language.positions(["banana", "bandana", "cabana", "nab"])
-    counts = Counter("".join(map(chr, g)) for g in grams.tolist())
-    tables = language.kneser_ney(pd.DataFrame({"gram": list(counts), "n": list(counts.values())}))
-    model = language.Model(["x"], [tables[0]], [tables[1]])
-    for context in ("\x02\x02\x02", "ban", "ana", "zzz"):
-        every = np.array([[*map(ord, context), c] for c in range(1, language.ALPHABET + 1)], np.uint32)
-        assert np.exp(model.log_probabilities(every)).sum() == pytest.approx(1, abs=0.01)
-    seen = language.entropies(pa.array(["banana", "qqqq", None, ""]), model, {})
-    assert seen[0, 0] < seen[1, 0] and seen[2, 0] == seen[3, 0] == 0
+def plain_kneser_ney(texts):
+    """log2 probabilities by Kneser-Ney of one language's texts, straight from the definition: a function of (context, character)."""
+    import math
+
+    order, discount = 4, 0.75
+    grams = [Counter() for _ in range(order + 1)]
+    for word in (w for t in texts for w in words(t.lower())):
+        marked = "\x02" * 3 + word + "\x03"
+        for i in range(len(marked) - 3):
+            grams[4][marked[i : i + 4]] += 1
+    for k in (3, 2, 1):  # continuation counts
+        for gram in grams[k + 1]:
+            grams[k][gram[1:]] += 1
+
+    def p(context, char):
+        k = len(context) + 1
+        below = p(context[1:], char) if context else 1 / 10_000
+        after = {g: n for g, n in grams[k].items() if g[:-1] == context}
+        if not after:
+            return below
+        total = sum(after.values())
+        return max(after.get(context + char, 0) - discount, 0) / total + discount * len(after) / total * below
+
+    def entropy(text):
+        out, n = 0.0, 0
+        for word in words(text.lower()):
+            marked = "\x02" * 3 + word + "\x03"
+            for i in range(len(marked) - 3):
+                out, n = out - math.log(p(marked[i : i + 3], marked[i + 3])), n + 1
+        return out / max(1, n)
+
+    return p, entropy
+
+
+def test_kneser_ney_by_definition(spark):
+    """All three ways to score (arrays, tables with hot grams, tables alone) equal the plain-Python model, whose probabilities sum to one."""
+    texts = {"aa": ["banana bandana cabana", "nab a Cab.", "a a a"], "bb": ["straße über alles", "äß \U0001d11e\U0001d11e über", "banane"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang in texts for t in texts[lang])]
+    asked = [(100, "bandana über"), (101, "zzz"), (102, "\U0001d11ea Straße cabana nab"), (103, "banana")]
+    models = {lang: plain_kneser_ney(texts[lang]) for lang in texts}
+    for p, _ in models.values():
+        for context in ("\x02\x02\x02", "ban", "zzz"):
+            assert sum(p(context, chr(c)) for c in [*range(1, 600), 0x1D11E]) + (10_000 - 600) * p(context, "\uffff") == pytest.approx(1, abs=0.03)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    queries = spark.createDataFrame(asked, "doc_id long, text string")
+    for memory, hot in ((10**6, 0), (0, 5), (0, 10**6)):
+        for r in language.predict(queries, language.fit(docs, 0, memory, hot)).collect():
+            want = {lang: entropy(dict(asked)[r.doc_id]) for lang, (_, entropy) in models.items()}
+            assert r.entropy == pytest.approx(min(want.values()), abs=1e-9) and r.lang == min(want, key=want.get)
 
 
 def test_language_edges(spark, edge, none):
@@ -289,24 +348,18 @@ def test_language_edges(spark, edge, none):
 
 
 def test_language_tables_keep_every_gram(spark):
-    """More grams than a task holds: each text's score is that of the whole tables in memory."""
-    import numpy as np
-    import pandas as pd
-    import pyarrow as pa
-
+    """More grams than a task holds: each text's result is that of the whole tables in memory."""
     rng = random.Random(3)
     letters = {"aa": "abcdefghijklmnopqrst", "bb": "jklmnopqrstuvwxyzäß\U0001d11e"}
     rows = [(i, " ".join("".join(rng.choices(letters[x], k=6)) for _ in range(60)), x) for i, x in enumerate(["aa", "bb"] * 60)]
     rows += [(1000, None, "aa"), (1001, "Zebra zzzz qqq \U0001d11e", None), (1001, "other words", None), (1002, "...", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    counts = {x: Counter("".join(map(chr, g)) for _, t, lang in rows if lang == x and t for g in language.positions(t.split())[0].tolist()) for x in letters}
-    assert min(map(len, counts.values())) > 10_000
-    tables = [language.kneser_ney(pd.DataFrame({"gram": list(c), "n": list(c.values())})) for c in counts.values()]
-    whole = language.Model(list(letters), [g for g, _ in tables], [c for _, c in tables])
-    want = Counter((i, round(float(e), 9)) for (i, t, _), e in zip(rows, language.entropies(pa.array([t for _, t, _ in rows]), whole, {}).min(1), strict=True) if t and any(map(str.isalpha, t)))
-    for held in (100, 2_000, 10**6):
-        found = language.predict(docs, language.fit(docs, held)).collect()
-        assert len(found) == len(rows) and Counter((r.doc_id, round(r.entropy, 9)) for r in found if r.lang != "und") == want
+    results = []
+    for memory, hot in ((10**6, 0), (0, 100), (0, 2_000)):
+        model = language.fit(docs, memory_rows=memory, hot_grams=hot)
+        assert (model.memory is None) == (memory == 0) and model.grams[-1].count() > 20_000
+        results.append(Counter((r.doc_id, r.lang, r.rejected, round(r.entropy, 9), round(r.score, 9)) for r in language.predict(docs, model).collect()))
+    assert results[0].total() == len(rows) and results[0] == results[1] == results[2]
 
 
 def test_language_accuracy(spark):
@@ -346,5 +399,33 @@ def test_quality_ranks_held_out(spark):
     assert 0 <= empty.score <= 1
 
 
+def test_quality_is_the_size_difference(spark):
+    """Scores from zstandard called directly, piece by piece, in plain Python; repeated ids and both labels of one id."""
+    import math
+
+    import zstandard
+
+    rng = random.Random(4)
+    good, bad = [f"g{i}x" for i in range(90)], [f"b{i}y" for i in range(90)]
+    rows = [(i, " ".join(rng.choices((bad, good)[i % 2], k=80)) + rng.choice((".", "! So?\n\n", "")) + "z" * (i % 7) * 60) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)] + [(0, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([*rows, (4, "a repeat of an id"), (500, None), (501, ""), (None, "text " * 9000)], "doc_id long, text string")
+    model = quality.fit(docs, labels)
+    sides = []
+    for raw in (model.good, model.bad):
+        parameters = zstandard.ZstdCompressionParameters.from_level(3, source_size=256, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sides.append(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw), compression_params=parameters))
+    want = Counter()
+    for doc, text in [tuple(r) for r in docs.collect()]:
+        pieces = re.findall(rb"[^.!?\n]{1,256}[.!?\n]*|[.!?\n]{1,256}", (text or "").encode())
+        assert b"".join(pieces) == (text or "").encode()
+        a, b = (sum(len(c.compress(x)) for x in pieces) for c in sides)
+        want[doc, round(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * 100 * (b - a) / max(1, a + b)))), 6)] += 1
+    got = quality.score(docs, model).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == want and model.weights[1] > 0
+    held = [r for r in got if r.doc_id is not None and r.doc_id < 240 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in held)
+
+
 def test_hash_of_words_is_stable():
     assert hashlib.sha256(" ".join(words("a\tb\x0bc  d")).encode()).hexdigest() == hashlib.sha256(b"a b c d").hexdigest()

@@ -6,9 +6,20 @@ short texts compare too. Bands of six registers are the candidate keys: document
 42 bands about three times in a million. The estimate from equal registers is corrected for chance collisions, and
 drops a pair only where it is six standard errors below the threshold; pairs that are left are verified on full sets.
 
-Texts with equal sets are one class from the start. In a band, members are compared with one centre (at first the one
-whose bands are the fullest, as those of an original are among its copies), then components are formed; pairs within a component need no further look. Bands that still hold several components are dealt with
-again, with other centres while there are many such pairs, then pair by pair across components, so no link is lost.
+Texts with equal sets are one class from the start. In a band, members are compared with one centre (the one whose
+bands are the fullest, as those of an original are among its copies; it may be one that another band of a member has,
+so that a crowd has few centres). With |C| shingles in the centre, and a member
+that lacks R of them and adds A others, the member's cost is 100 R + percent A, and two members x and y of which s
+differences are common have the similarity asked for exactly if
+
+    (100 + percent) s >= cost(x) + cost(y) - (100 - percent) |C|.
+
+A member is linked with the centre if its cost is at most (100 - percent) |C|. So a member that isn't must share
+differences with every text that it is linked with, and since differences are few and mostly a text's own, an exact
+prefix-filter join on them (rarest first, with a positional filter) finds its links without pairs within the crowd:
+see ``met``. By the triangle inequality, members of a similarity under ``reach`` to the centre have no link with those
+that are linked with it. So the latter leave the band; where what is left has several components, the next round takes
+another centre, and the last one has no reach and compares all that is left, so no link is lost.
 """
 
 from __future__ import annotations
@@ -73,21 +84,19 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, cid (a hash of the whole set), registers, and ``bits``: the lowest bit of each register as four longs. The last three are null for an empty set."""
+    """doc_id, text_hash, n_shingles, cid (a hash of the whole set) and registers of each row; the last two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 sets = shingle_sets(part["text"], shingle)
                 full = [x for x in sets if len(x)]
-                table = registers(full) if full else np.zeros((0, REGISTERS), np.uint16)
-                rows, low = iter(table), iter(np.packbits(table & 1, axis=1).view("<i8").tolist())
+                rows = iter(registers(full) if full else ())
                 blobs = [next(rows).tobytes() if len(x) else None for x in sets]
-                bits = [next(low) if len(x) else None for x in sets]
-                columns = [part["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()), pa.array(blobs, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cid", "registers", "bits"])
+                columns = [part["doc_id"], part["text_hash"], pa.array([len(x) for x in sets], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "cid", "registers"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cid long, registers binary, bits array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cid long, registers binary")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -107,30 +116,27 @@ def full_registers(n: Column) -> Column:
     return REGISTERS * (1 - F.exp(-n / REGISTERS))
 
 
-def possible(percent: int, n_a: Column, n_b: Column, bits_a: Column, bits_b: Column) -> Column:
-    """Whether sets may reach the threshold, by their sizes and by the registers' lowest bits; 4.5 standard errors lose a link as rarely as the bands do."""
-    least, most = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    apart = sum((F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k)))) for k in range(1, 4)), F.bit_count(F.get(bits_a, F.lit(0)).bitwiseXOR(F.get(bits_b, F.lit(0)))))
-    share = (1 - percent / 100) / 2
-    error = F.sqrt(share * (1 - share) / full_registers(least))
-    return (100 * least >= percent * most) & (apart <= REGISTERS * (share + 4.5 * error))
+def compared(pairs: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, percent: int, reach: int) -> DataFrame:
+    """a, b, cost, slack and diff (the shingles that one of both has) of pairs of a class and its centre with a similarity of ``reach`` percent or more.
 
-
-def verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have 100 * intersection >= percent * union. facts: (cid, n, registers), texts: (cid, text)."""
-    a = facts.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a"))
-    b = facts.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b"))
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    known = pairs.join(a, "a").join(b, "b").where(100 * least >= percent * most)
-    error = F.sqrt(percent / 100 * (1 - percent / 100) / full_registers(least))
-    near = known.where(estimate(F.col("registers_a"), F.col("registers_b")) >= percent / 100 - 6 * error).select("a", "b")
+    slack: the largest cost of a link with the centre. facts: (cid, n, registers), texts: (cid, text). Pairs go by the
+    registers first, unless all are in reach.
+    """
+    near = pairs
+    if reach:
+        a = facts.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("registers_a"))
+        b = facts.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("registers_b"))
+        least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+        known = pairs.join(a, "a").join(b, "b").where(100 * least >= reach * most)
+        error = F.sqrt(reach / 100 * (1 - reach / 100) / full_registers(least))
+        near = known.where(estimate(F.col("registers_a"), F.col("registers_b")) >= reach / 100 - 6 * error).select("a", "b")
     with_a = near.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for batch in batches:
-            for part in slices(batch, "text_b", 4 << 20):
+            for part in slices(batch, "text_b", 2 << 20):
                 found = []
                 sets = shingle_sets(part["text_a"], shingle)
                 for i, (x, y) in enumerate(zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True)):
@@ -139,12 +145,42 @@ def verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int,
                     if set_hash(sets[i]) != x or set_hash(last_set) != y:  # another text with that doc_id
                         last = None
                         continue
-                    common = len(np.intersect1d(sets[i], last_set, assume_unique=True))
-                    if 100 * common >= percent * (len(sets[i]) + len(last_set) - common):
-                        found.append((x, y))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                    diff = np.setxor1d(sets[i], last_set, assume_unique=True)
+                    common = (len(sets[i]) + len(last_set) - len(diff)) // 2
+                    if 100 * common >= reach * (common + len(diff)):
+                        found.append((x, y, 100 * (len(last_set) - common) + percent * (len(sets[i]) - common), (100 - percent) * len(last_set), diff))
+                a, b, cost, slack, diffs = zip(*found, strict=True) if found else ((), (), (), (), ())
+                ends = np.cumsum([0, *map(len, diffs)])
+                flat = np.concatenate([np.zeros(0, np.uint64), *diffs]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, cost, slack)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["a", "b", "cost", "slack", "diff"])
+
+    return both.mapInArrow(run, "a long, b long, cost long, slack long, diff array<long>").dropDuplicates(["a", "b"])
+
+
+def met(found: DataFrame, percent: int, among: bool) -> DataFrame:
+    """Links (a, b) that members which aren't linked with their centre have with members that are (b: the centre), and with ``among`` also among each other.
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    found: as of ``compared``. Of each member, only the first differences by (members that have it, hash) are looked
+    up: as many as leave too few for a link. Of a member's links with the centre's own, one is enough.
+    """
+    over = F.col("cost") > F.col("slack")
+    least = found.groupBy("b").agg(F.min(F.when(over, F.col("cost"))).alias("least_over"), F.min("cost").alias("least")).where("least_over is not null")
+    need = F.ceil((F.col("cost") + F.when(over, F.col("least")).otherwise(F.col("least_over")) - F.col("slack")) / (100 + percent))
+    mixed = found.join(least, "b").withColumn("first", F.size("diff") - F.greatest(need, F.lit(1)) + 1).where("first > 0")
+    items = mixed.select("a", "b", F.explode("diff").alias("item"))
+    counts = items.groupBy("b", "item").agg(F.count("*").alias("n")).where("n > 1")
+    shared = items.join(counts, ["b", "item"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("shared"))
+    known = shared.join(mixed.select("a", "b", "cost", "slack", "first", F.size("diff").alias("size")), ["a", "b"])
+    held = known.select("a", "b", "cost", "slack", F.transform("shared", lambda x: x["item"]).alias("shared"), (F.col("first") - F.col("size") + F.size("shared")).cast("int").alias("first")).where("first > 0").checkpoint()
+    keys = held.select("*", F.posexplode(F.slice("shared", F.lit(1), F.col("first"))).alias("at", "item"))
+    other = keys.select(*(F.col(c).alias(f"{c}_2") for c in ("a", "b", "cost", "shared", "at", "item")), over.alias("over_2"))
+    asked = F.col("cost") + F.col("cost_2") - F.col("slack")
+    left = F.least(F.size("shared") - F.col("at"), F.size("shared_2") - F.col("at_2"))
+    fits = (F.col("b") == F.col("b_2")) & (F.col("item") == F.col("item_2")) & ((100 + percent) * left >= asked) & ((100 + percent) * F.size(F.array_intersect("shared", "shared_2")) >= asked)
+    links = keys.where(over).join(other.where("not over_2"), fits, "left_semi").select("a", "b")
+    if among:
+        links = links.unionByName(keys.where(over).join(other.where("over_2"), fits & (F.col("a") < F.col("a_2"))).select("a", F.col("a_2").alias("b")))
+    return links.distinct()
 
 
 def narrow(df: DataFrame, rows: int, per: int = 200_000) -> DataFrame:
@@ -169,20 +205,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, cross_factor: int = 20) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id) of each row.
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id) of each row.
 
     Words are lower-cased in A-Z. Fewer words than a shingle are one shingle; texts without words (null, empty, blank)
-    link with nothing. Rows with one doc_id are judged each by its own text. A row without a doc_id links with nothing,
-    has no component_id and is kept. An empty table gives no rows. Only doc_id and text are read, so other columns
-    don't matter. Further rounds of centres run while the pairs across components are over ``cross_factor`` times the
-    rows that would make them.
+    link with nothing. Rows with one doc_id are judged each by its own text; text_hash (xxhash64) tells them apart. A row
+    without a doc_id links with nothing, has no component_id and is kept. Equal rows have equal results. Texts are read
+    whole, however long. An empty table gives no rows. Only doc_id and text are read, so other columns don't matter.
+    Hot labels and centres are keys of joins that adaptive execution can split. ``rounds`` of centres are taken at most, whatever is left in the last one.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = sketch(texts, shingle).checkpoint()
+    sketches = sketch(texts.withColumn("text_hash", F.xxhash64("text")), shingle).checkpoint()
     known = sketches.where("cid is not null and doc_id is not null")
-    classes = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bits").alias("bits")).checkpoint()
+    classes = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).checkpoint()
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = classes.select("cid", "registers", band.alias("band")).select(F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "cid")
@@ -193,44 +229,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, cross_
     weight = narrow(members.groupBy("cid").agg(F.sum("members").alias("weight")), size)
     members = narrow(members.join(weight, "cid").select("key", "cid", "weight"), size).checkpoint()
     near = narrow(members.select("cid").distinct(), size).join(classes, "cid")
-    facts = written(narrow(near.select("cid", "n", "registers", "bits"), size, 50_000))  # of candidates only, as their texts
+    facts = written(narrow(near.select("cid", "n", "registers"), size, 50_000))  # of candidates only, as their texts
     texts = written(narrow(texts.join(near.select("cid", F.col("rep").alias("doc_id")), "doc_id").select("cid", "text"), size, 50_000))
 
-    edges, labels, salt = None, None, 0
-    while True:
-        if labels is None:
-            now = members.withColumn("comp", F.col("cid"))
-        else:
-            joined = narrow(members.join(labels, "cid", "left").select("key", "cid", "weight", F.coalesce("comp", "cid").alias("comp")), size).checkpoint()
-            open_keys = joined.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-            by_class = narrow(joined.join(open_keys, "key"), size).groupBy("cid").agg(F.first("comp").alias("comp"), F.first("weight").alias("weight"), F.collect_list("key").alias("keys"))  # a key for each band at most
-            now = narrow(by_class.join(facts.select("cid", "n", "bits"), "cid"), size).select("*", F.explode("keys").alias("key")).checkpoint()
-            each = now.groupBy("key", "comp").agg(F.count("*").cast("double").alias("size"))
-            sizes = each.groupBy("key").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("own"))
-            total = sizes.agg(F.sum("size").alias("rows"), F.sum((F.col("size") * F.col("size") - F.col("own")) / 2).alias("pairs")).first()
-            if not total["rows"]:
-                break
-        last = labels is not None and (total["pairs"] <= cross_factor * total["rows"] or salt > 1)
-        if last:  # every pair across components
-            other = now.select(F.col("key").alias("key_b"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("keys").alias("keys_b"))
-            once = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")  # a pair is made in one of its common bands
-            fits = (F.col("key") == F.col("key_b")) & (F.col("comp") < F.col("comp_b")) & possible(percent, F.col("n"), F.col("n_b"), F.col("bits"), F.col("bits_b")) & once
-            pairs = narrow(now.join(other, fits).select(F.col("cid").alias("a"), "b"), size, 50_000)
-        else:
-            first = -F.col("weight") if labels is None else F.xxhash64(F.lit(salt), "cid")
-            rank = F.struct(first.alias("rank"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-            centre = now.groupBy("key").agg(F.min(rank).alias("centre")).select("key", "centre.b", "centre.comp_b")
-            pairs = narrow(now.join(centre, "key").where("comp != comp_b").select(F.col("cid").alias("a"), "b"), size, 50_000)
-        pairs = narrow(pairs.distinct(), size, 50_000)
-        found = narrow(verified(pairs, facts, texts, shingle, percent), size).checkpoint()
-        edges = found if edges is None else edges.union(found)
+    edges, labels, now = None, None, members
+    for k in range(rounds):
+        last = k == rounds - 1
+        best = lambda x: F.max(x).alias("centre")
+        named = F.struct("weight", F.col("cid").alias("b"))
+        seated = narrow(now.join(now.groupBy("key").agg(best(named)), "key"), size)
+        chosen = seated.groupBy("cid").agg(best("centre"))  # bands of one crowd, and so each of its members, mostly share one
+        shared = narrow(seated.select("key", "cid", "weight").join(chosen, "cid"), size).checkpoint()
+        seated = narrow(shared.drop("centre").join(shared.groupBy("key").agg(best("centre")), "key"), size)
+        seated = seated.select("key", "cid", "weight", "centre.b").where("cid != b").checkpoint()
+        pairs = seated.select(F.col("cid").alias("a"), "b").distinct().checkpoint()
+        n_pairs = pairs.count()
+        if not n_pairs:
+            break
+        reach = 0 if last else max(0, 2 * percent - 100)
+        found = narrow(compared(narrow(pairs, n_pairs, 5_000), facts, texts, shingle, percent, reach), n_pairs, 5_000).checkpoint()
+        linked = found.where("cost <= slack").select("a", "b")
+        own = narrow(linked.unionByName(narrow(met(found, percent, last), n_pairs, 50_000)), n_pairs).checkpoint()
+        edges = own if edges is None else edges.unionByName(own)
         labels = components(edges)
-        salt += 1
         if last:
             break
+        left = narrow(seated.join(linked.withColumnRenamed("a", "cid"), ["cid", "b"], "left_anti").select("key", "cid", "weight"), size)
+        named = narrow(left.join(labels, "cid", "left").select("key", "cid", "weight", F.coalesce("comp", "cid").alias("comp")), size).checkpoint()
+        open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        now = narrow(named.join(open_keys, "key").select("key", "cid", "weight"), size).checkpoint()
 
+    if labels is None:
+        labels = classes.select("cid", F.col("cid").alias("comp")).limit(0)
     low = classes.join(labels, "cid", "left").select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     reached = low.join(low.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("cid", "component_id")
-    every = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("cid")).join(reached, "cid", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    own = F.col("doc_id").isNotNull()
+    every = sketches.select("doc_id", "text_hash", "n_shingles", "cid").join(reached, "cid", "left")
+    component = F.when(own, F.coalesce("component_id", "doc_id"))
+    return every.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -37,7 +37,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
+    found = minhash.near_duplicates(documents(spark, sf_dir), shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
