@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 
 import pytest
 from compare import DATA
@@ -244,25 +245,41 @@ def test_event_log_has_bars_of_every_day(spark):
     assert found == bars and max(bars) > "2024-01-05"
 
 
-def test_expiring_context_has_live_windows(spark, tmp_path):
-    from tidemark import plans
-
-    events = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    want = events.groupBy(F.window("ts", "2 days").alias("w"), "user_id").agg(F.count("*").alias("n_items"), F.max("event_id").alias("latest")).select("w.start", "user_id", "n_items", "latest")
-    found = plans.queries()["stream_context_ttl"](spark, DATA)
-    assert sorted(found.select("start", "user_id", "n_items", "latest").collect()) == sorted(want.collect())
-    # the same over several batches, with late items
+def test_context_feed_over_batches(spark, tmp_path):
+    """Items keep their own time to live; a feed that is started again with its checkpoint adds only what is new."""
+    schema = "item_id long, created_at date, ttl_days int"
+    rows = [(i, dt.date(2026, 1, 1 + i) if i % 4 else None, i % 3 or None) for i in range(12)]
     for k in range(3):
-        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    run = feeds.expiring_context(rows, f"{tmp_path}/out")
-    run.awaitTermination()
-    last = run.lastProgress["batchId"]
-    got = spark.read.parquet(f"{tmp_path}/out/{last}")
-    assert last >= 2 and sorted(got.select("start", "user_id", "n_items", "latest").collect()) == sorted(want.collect())
-    newest = events.agg(F.max("ts")).first()[0]
-    live = feeds.live_windows(got, F.lit(newest)).collect()
-    assert live and all(r.expires > newest for r in live)
+        spark.createDataFrame(rows[4 * k : 4 * k + 4], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        items = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        feeds.context_feed(items, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    live = memory.live_context(spark.read.schema(schema).parquet(f"{tmp_path}/out"), F.lit("2026-01-09").cast("date"))
+    want = {i for i, day, ttl in rows if day is None or ttl is None or dt.date(2026, 1, 9) <= day + dt.timedelta(ttl)}
+    assert sorted(r.item_id for r in live.collect()) == sorted(want)
+
+
+def test_running_shadow_counts_equal_timestamps(spark, tmp_path):
+    day = lambda d: dt.datetime(2026, 1, d)
+    schema = "agent_id string, symbol string, ts timestamp, step double"
+    for batch in ([("a", "S", day(1), 0.5), ("a", "S", day(1), -0.5), ("a", "S", day(2), 1.0)], [("a", "S", day(2), 9.0), ("a", "S", day(3), 1.0)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are read in the order of their times
+    steps = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = sinks.drain(feeds.running_shadow(steps)).orderBy("n").collect()
+    assert [r.value for r in found] == pytest.approx([50.0, 75.0, 150.0, 300.0]) and [(r.n, r.late) for r in found] == [(1, 0), (2, 0), (3, 0), (4, 1)]
+    assert [r.drawdown for r in found] == pytest.approx([0.0, 0.0, 0.0, 0.0])
+
+
+def test_context_sections(spark):
+    """Sections in their order; what is null is left out; empty lists say so."""
+    agents = spark.createDataFrame([("x", "S", "2026-01-01", 'said "no"', "10"), ("y", "T", "2026-01-02", None, None)], "agent_id string, symbol string, date string, latest_reason string, v string")
+    agents = agents.withColumn("shadow_state", memory.structured("Shadow state", {"value": F.col("v"), "name": memory.quoted(F.col("latest_reason"))})).drop("v")
+    memories = spark.createDataFrame([(1, "S", "short", 5.0, "one"), (2, "S", "short", 9.0, "two"), (3, "S", "long", 1.0, "three")], "id long, symbol string, layer string, importance double, text string")
+    shared = spark.createDataFrame([("x", 1, "z", "Z", "0.5", "hello")], "target_agent_id string, position int, source_agent_id string, source_symbol string, alpha string, text string")
+    got = {r.agent_id: r.context for r in memory.context(agents, memories, 2, shared).collect()}
+    tail = '\n\nShadow state:\n{\n  "name": "said \\"no\\"",\n  "value": 10\n}'
+    assert got["x"] == 'Agent: x\n\nSymbol: S\n\nDate: 2026-01-01\n\nLatest decision reason:\nsaid "no"\n\nShort memory:\n- two\n- one\n\nMid memory:\nNone.\n\nLong memory:\n- three\n\nReflection memory:\nNone.\n\nShared context:\n- From z (Z) alpha=0.5: hello' + tail
+    assert got["y"] == "Agent: y\n\nSymbol: T\n\nDate: 2026-01-02\n\nShort memory:\nNone.\n\nMid memory:\nNone.\n\nLong memory:\nNone.\n\nReflection memory:\nNone.\n\nShared context:\nNone."
 
 
 def test_text_queries_over_all_rows(spark):

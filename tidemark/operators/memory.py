@@ -162,17 +162,60 @@ def section(title: str, items: Column) -> Column:
     return F.concat(F.lit(f"{title}:\n"), body)
 
 
-def context(agents: DataFrame, memories: DataFrame, per_layer: int) -> DataFrame:
-    """Context text of each agent (agent_id, symbol, date): the top memories of the four layers in fixed sections."""
+#: The sentences of the sign of the last days' cumulative return.
+MOMENTUM = {-1: "The cumulative return of past 3 days for this stock is negative.", 0: "The cumulative return of past 3 days for this stock is zero.", 1: "The cumulative return of past 3 days for this stock is positive."}
+
+
+def momentum_sentence(momentum: Column) -> Column:
+    """What is said of a momentum; nothing where there is none."""
+    return F.coalesce(*(F.when(momentum == sign, F.lit(text)) for sign, text in MOMENTUM.items()), F.lit(""))
+
+
+def with_placeholders(groups: DataFrame, memories: DataFrame) -> DataFrame:
+    """symbol, layer, ids and texts of each symbol in ``groups`` and layer, by importance: two placeholders (id -1) of an empty layer, a single memory twice."""
+    layers = groups.select("symbol").distinct().withColumn("layer", F.explode(F.array(*map(F.lit, LAYERS))))
+    found = memories.groupBy("symbol", "layer").agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("rank"), "id", "text"))).alias("items"))
+    rows = layers.join(found, ["symbol", "layer"], "left")
+    out = []
+    for column, missing in (("id", F.lit(-1).cast("long")), ("text", F.concat(F.lit("No "), "layer", F.lit("-term information.")))):
+        items = F.col(f"items.{column}")
+        out.append(F.when(F.coalesce(F.size("items"), F.lit(0)) <= 0, F.array(missing, missing)).when(F.size("items") == 1, F.concat(items, items)).otherwise(items).alias(f"{column}s"))
+    return rows.select("symbol", "layer", *out)
+
+
+def structured(title: str, fields: dict[str, Column]) -> Column:
+    """A section of named values as indented JSON, names in order; texts are given quoted. Null if any value is."""
+    lines = [F.concat(F.lit(f'  "{name}": '), value) for name, value in sorted(fields.items())]
+    return F.concat(F.lit(f"{title}:\n{{\n"), F.concat(*(x for line in lines[:-1] for x in (line, F.lit(",\n"))), lines[-1]), F.lit("\n}"))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def context(agents: DataFrame, memories: DataFrame, per_layer: int, shared: DataFrame | None = None) -> DataFrame:
+    """Context text of each agent (agent_id, symbol, date): the top memories of the four layers and shared items in fixed sections.
+
+    agents may have columns ``latest_reason`` and sections ``shadow_state`` and ``psychology_state`` (see ``structured``);
+    what is null is left out. shared: (target_agent_id, position, source_agent_id, source_symbol, alpha as text, text).
+    """
     rank = F.row_number().over(Window.partitionBy("symbol", "layer").orderBy(F.col("importance").desc(), "id"))
     top = memories.withColumn("rank", rank).where(F.col("rank") <= per_layer)
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == name, F.struct("rank", "text")))), lambda x: x["text"]).alias(name) for name in LAYERS]
-    by_symbol = top.groupBy("symbol").agg(*lists)
-    rows = agents.join(by_symbol, "symbol", "left")
+    rows = agents.join(top.groupBy("symbol").agg(*lists), "symbol", "left")
     empty = F.array().cast("array<string>")
-    sections = [section(f"{name.capitalize()} memory", F.coalesce(name, empty)) for name in LAYERS]
+    items = empty
+    if shared is not None:
+        line = F.concat(F.lit("From "), "source_agent_id", F.lit(" ("), "source_symbol", F.lit(") alpha="), "alpha", F.lit(": "), "text").alias("line")
+        sent = shared.groupBy(F.col("target_agent_id").alias("agent_id")).agg(F.array_sort(F.collect_list(F.struct("position", line))).alias("sent"))
+        rows, items = rows.join(sent, "agent_id", "left"), F.coalesce(F.transform("sent", lambda x: x["line"]), empty)
+    has = lambda name: [F.col(name)] if name in agents.columns else []
     heads = [F.concat(F.lit("Agent: "), "agent_id"), F.concat(F.lit("Symbol: "), "symbol"), F.concat(F.lit("Date: "), F.col("date").cast("string"))]
-    return rows.select("agent_id", "symbol", "date", F.concat_ws("\n\n", *heads, *sections, F.lit("Shared context:\nNone.")).alias("context"))
+    heads += [F.concat(F.lit("Latest decision reason:\n"), x) for x in has("latest_reason")]
+    sections = [section(f"{name.capitalize()} memory", F.coalesce(name, empty)) for name in LAYERS]
+    text = F.concat_ws("\n\n", *heads, *sections, section("Shared context", items), *has("shadow_state"), *has("psychology_state"))
+    return rows.select("agent_id", "symbol", "date", text.alias("context"))
 
 
 def live_context(shared: DataFrame, today: Column) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import memory
+from ..operators import memory, returns
 from ..sources import store
 from .registry import query
 from .views import table, view
@@ -178,15 +179,54 @@ _SECTION = "concat('{0} memory:', chr(10), coalesce((SELECT string_agg('- memory
 
 
 @query(
-    f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY symbol, layer ORDER BY importance DESC, id) AS k FROM memories),
-a AS (SELECT DISTINCT agent_id, replace(symbol, 'U', 'L') AS symbol, DATE '2024-01-30' AS date FROM decisions)
-SELECT agent_id, symbol, date, concat_ws(chr(10) || chr(10), 'Agent: ' || agent_id, 'Symbol: ' || symbol, 'Date: ' || CAST(date AS STRING), {", ".join(_SECTION.format(x.capitalize(), x) for x in memory.LAYERS)}, 'Shared context:' || chr(10) || 'None.') AS context FROM a""",
-    "memories decisions",
+    """WITH last_ AS (SELECT agent_id, symbol, max_by(decision, date) AS decision, max(date) AS date, count(*) AS n FROM decisions GROUP BY agent_id, symbol),
+a AS (SELECT agent_id, replace(symbol, 'U', 'L') AS symbol, decision, date, n, row_number() OVER (PARTITION BY agent_id, replace(symbol, 'U', 'L') ORDER BY date DESC) AS k FROM last_),
+m AS (SELECT id, symbol, layer, row_number() OVER (PARTITION BY symbol, layer ORDER BY importance DESC, id) AS k FROM memories),
+t AS (SELECT symbol, layer, string_agg(concat('- memory ', id), chr(10) ORDER BY k) AS body FROM m WHERE k <= 2 GROUP BY symbol, layer),
+s AS (SELECT agent_id, string_agg(concat('- From ', source, ' (', symbol, ') alpha=0.', lpad(CAST(id % 1000 AS STRING), 3, '0'), ': memory ', id), chr(10) ORDER BY id) AS body
+      FROM (SELECT concat('agent_', event_type) AS agent_id, concat('agent_', lag(event_type) OVER (ORDER BY event_type)) AS source FROM (SELECT DISTINCT event_type FROM events)) r JOIN memories ON id % 50 = length(source) AND layer = 'reflection' GROUP BY agent_id)
+SELECT a.agent_id, a.symbol, a.date, concat('Agent: ', a.agent_id, chr(10), chr(10), 'Symbol: ', a.symbol, chr(10), chr(10), 'Date: ', CAST(a.date AS STRING), chr(10), chr(10),
+       CASE WHEN a.decision <> 'hold' THEN concat('Latest decision reason:', chr(10), 'last was ', a.decision, chr(10), chr(10)) ELSE '' END,
+       'Short memory:', chr(10), coalesce(t1.body, 'None.'), chr(10), chr(10), 'Mid memory:', chr(10), coalesce(t2.body, 'None.'), chr(10), chr(10),
+       'Long memory:', chr(10), coalesce(t3.body, 'None.'), chr(10), chr(10), 'Reflection memory:', chr(10), coalesce(t4.body, 'None.'), chr(10), chr(10),
+       'Shared context:', chr(10), coalesce(s.body, 'None.'), chr(10), chr(10), 'Shadow state:', chr(10), '{', chr(10), '  "n_updates": ', a.n, ',', chr(10), '  "symbol": "', a.symbol, '"', chr(10), '}',
+       CASE WHEN a.n % 2 = 0 THEN concat(chr(10), chr(10), 'Psychology state:', chr(10), '{', chr(10), '  "last_decision": "', a.decision, '"', chr(10), '}') ELSE '' END) AS context
+FROM a LEFT JOIN t t1 ON t1.symbol = a.symbol AND t1.layer = 'short' LEFT JOIN t t2 ON t2.symbol = a.symbol AND t2.layer = 'mid'
+LEFT JOIN t t3 ON t3.symbol = a.symbol AND t3.layer = 'long' LEFT JOIN t t4 ON t4.symbol = a.symbol AND t4.layer = 'reflection' LEFT JOIN s ON s.agent_id = a.agent_id WHERE a.k = 1""",
+    "decisions memories",
 )
 def agent_context(spark, sf_dir):
     rows = view(spark, sf_dir, "memories").withColumn("text", F.concat(F.lit("memory "), F.col("id").cast("string")))
-    agents = view(spark, sf_dir, "decisions").select("agent_id", F.replace("symbol", F.lit("U"), F.lit("L")).alias("symbol")).distinct().withColumn("date", F.lit("2024-01-30").cast("date"))
-    return memory.context(agents, rows, 2)
+    decided = view(spark, sf_dir, "decisions").withColumn("symbol", F.replace("symbol", F.lit("U"), F.lit("L")))
+    agents = decided.groupBy("agent_id", "symbol").agg(F.max_by("decision", "date").alias("decision"), F.max("date").alias("date"), F.count("*").cast("string").alias("n"))
+    agents = agents.select(
+        "agent_id", "symbol", "date",
+        F.when(F.col("decision") != "hold", F.concat(F.lit("last was "), "decision")).alias("latest_reason"),
+        memory.structured("Shadow state", {"symbol": memory.quoted(F.col("symbol")), "n_updates": F.col("n")}).alias("shadow_state"),
+        F.when(F.col("n").cast("int") % 2 == 0, memory.structured("Psychology state", {"last_decision": memory.quoted(F.col("decision"))})).alias("psychology_state"),
+    )
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    routes = kinds.select(F.concat(F.lit("agent_"), "event_type").alias("target_agent_id"), F.concat(F.lit("agent_"), F.lag("event_type").over(Window.orderBy("event_type"))).alias("source_agent_id"))  # one row per kind of event
+    alpha = F.concat(F.lit("0."), F.lpad((F.col("id") % 1000).cast("string"), 3, "0")).alias("alpha")
+    shared = routes.join(rows.where("layer = 'reflection'"), F.col("id") % 50 == F.length("source_agent_id")).select("target_agent_id", F.col("id").alias("position"), "source_agent_id", F.col("symbol").alias("source_symbol"), alpha, "text")
+    return memory.context(agents, rows, 2, shared)
+
+
+@query("SELECT symbol, seen_at, momentum, CASE momentum WHEN -1 THEN 'The cumulative return of past 3 days for this stock is negative.' WHEN 0 THEN 'The cumulative return of past 3 days for this stock is zero.' WHEN 1 THEN 'The cumulative return of past 3 days for this stock is positive.' ELSE '' END AS note FROM (SELECT symbol, date AS seen_at, CAST(sign(close - lag(close, 3) OVER (PARTITION BY symbol ORDER BY date)) AS INTEGER) AS momentum FROM bars)", "bars")
+def momentum_note(spark, sf_dir):
+    return returns.momentum(view(spark, sf_dir, "bars")).select("symbol", "seen_at", "momentum", memory.momentum_sentence(F.col("momentum")).alias("note"))
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT symbol FROM memories), l AS (SELECT symbol, unnest(['short', 'mid', 'long', 'reflection']) AS layer FROM g),
+m AS (SELECT symbol, layer, list(id ORDER BY importance DESC, id) AS ids FROM memories WHERE importance >= 93 GROUP BY symbol, layer),
+p AS (SELECT l.symbol, l.layer, CASE WHEN ids IS NULL THEN [-1, -1] WHEN len(ids) = 1 THEN [ids[1], ids[1]] ELSE ids END AS ids FROM l LEFT JOIN m ON l.symbol = m.symbol AND l.layer = m.layer)
+SELECT symbol, layer, array_to_string(ids, ',') AS ids, array_to_string(list_transform(ids, lambda x: CASE WHEN x = -1 THEN concat('No ', layer, '-term information.') ELSE concat('memory ', x) END), '|') AS texts FROM p""",
+    "memories",
+)
+def memory_placeholders(spark, sf_dir):
+    rows = view(spark, sf_dir, "memories").withColumn("text", F.concat(F.lit("memory "), F.col("id").cast("string")))
+    return memory.with_placeholders(rows, rows.where("importance >= 93")).select("symbol", "layer", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join("texts", "|").alias("texts"))
 
 
 @query("SELECT event_id, created_at, ttl_days FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS created_at, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 7 AS INTEGER) END AS ttl_days FROM events) WHERE ttl_days IS NULL OR created_at IS NULL OR DATE '2024-01-15' <= created_at + ttl_days")

@@ -53,6 +53,33 @@ def upsert_filings(spark, sf_dir):
     return store.upsert(rows, rows.where("filing_type = '10-K'").withColumn("filing_type", F.lit("10-K/A")), store.KEYS["filings"])
 
 
+@query("""SELECT concat('M', CAST(id AS STRING)) AS memory_id, symbol, CASE WHEN id % 3 = 0 THEN 'long' ELSE layer END AS layer, CASE WHEN id % 3 = 0 THEN concat('{"importance":', CAST(CAST(importance AS BIGINT) AS STRING), '}') ELSE '{}' END AS metadata_json FROM memories""", "memories")
+def upsert_memories(spark, sf_dir):
+    rows = view(spark, sf_dir, "memories").withColumn("memory_id", F.concat(F.lit("M"), F.col("id").cast("string")))
+    kind = "struct<importance:bigint>"
+    old = store.with_metadata_json(rows.select("memory_id", "symbol", "layer", F.lit(None).cast(kind).alias("metadata")))
+    new = store.with_metadata_json(rows.where("id % 3 = 0").select("memory_id", "symbol", F.lit("long").alias("layer"), F.struct(F.col("importance").cast("long").alias("importance")).alias("metadata")))
+    return store.upsert(old, new, store.KEYS["memories"])
+
+
+@query("SELECT 'prices' AS name, symbol, count(*) AS n FROM bars GROUP BY symbol UNION ALL SELECT 'news', symbol, count(*) FROM news GROUP BY symbol UNION ALL SELECT 'filings', symbol, count(*) FROM filings GROUP BY symbol", "bars news filings")
+def market_folder(spark, sf_dir):
+    """The three tables by their standard file names, written and loaded again."""
+    folder = f"{shared_folder(spark)}/market-{uuid.uuid4().hex}"
+    for file, name in (("prices", "bars"), ("news", "news"), ("filings", "filings")):
+        view(spark, sf_dir, name).write.parquet(f"{folder}/{file}.parquet")
+    counts = [df.groupBy(F.lit(name).alias("name"), "symbol").agg(F.count("*").alias("n")) for name, df in tables.market_tables(spark, folder).items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT symbol, date, agent_id, decision AS action FROM decisions", "decisions")
+def export_actions(spark, sf_dir):
+    """Each symbol's action table as CSV, read again."""
+    path = f"{shared_folder(spark)}/actions-{uuid.uuid4().hex}"
+    tables.write_csv(view(spark, sf_dir, "decisions").select("symbol", "date", "agent_id", F.col("decision").alias("action")), path, ("symbol",))
+    return tables.read_csv(spark, path, "date date, agent_id string, action string, symbol string").select("symbol", "date", "agent_id", "action")
+
+
 @query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
 def distinct_on(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
@@ -69,7 +96,7 @@ def _log(spark, sf_dir) -> str:
     return path
 
 
-@query()
+@query("SELECT 'agent_output' AS artifact_type, CAST(date AS STRING) AS date, count(*) AS n, count(*) AS ids FROM decisions GROUP BY 2 UNION ALL SELECT 'price_bar', CAST(date AS STRING), count(*), count(*) FROM bars GROUP BY 2", "decisions bars")
 def event_log_write(spark, sf_dir):
     return event_log.read(spark, _log(spark, sf_dir)).groupBy("artifact_type", "date").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 

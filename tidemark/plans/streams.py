@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import memory
 from ..sources import event_log
 from ..streaming import feeds, sinks
 from .registry import query
@@ -38,9 +39,9 @@ def stream_replace(spark, sf_dir):
 
 @query(
     """WITH s AS (SELECT concat('agent_', event_type) AS agent_id, concat('U', CAST(user_id AS STRING)) AS symbol, ts, event_id, (value - 50) / 1000 AS step FROM events),
-v AS (SELECT *, 100 * product(1 + step) OVER w AS value, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY agent_id, symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-p AS (SELECT *, max(value) OVER (PARTITION BY agent_id, symbol ORDER BY ts) AS peak FROM v)
-SELECT agent_id, symbol, n, round(value, 4) AS value, round(least(0, min(value / peak - 1) OVER (PARTITION BY agent_id, symbol ORDER BY ts)), 6) AS drawdown FROM p"""
+v AS (SELECT *, 100 * product(1 + step) OVER w AS value, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY agent_id, symbol ORDER BY ts, step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, max(value) OVER (PARTITION BY agent_id, symbol ORDER BY ts, step ROWS UNBOUNDED PRECEDING) AS peak FROM v)
+SELECT agent_id, symbol, n, round(value, 4) AS value, round(least(0, min(value / peak - 1) OVER (PARTITION BY agent_id, symbol ORDER BY ts, step ROWS UNBOUNDED PRECEDING)), 6) AS drawdown FROM p"""
 )
 def stream_shadow(spark, sf_dir):
     steps = events_of(spark, sf_dir).select(F.concat(F.lit("agent_"), "event_type").alias("agent_id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), "ts", ((F.col("value") - 50) / 1000).alias("step"))
@@ -48,9 +49,9 @@ def stream_shadow(spark, sf_dir):
     return rows.select("agent_id", "symbol", "n", F.round("value", 4).alias("value"), F.round("drawdown", 6).alias("drawdown"))
 
 
-@query()
+@query("SELECT event_id, user_id, created_at, ttl_days FROM (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS created_at, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 7 AS INTEGER) END AS ttl_days FROM events) WHERE ttl_days IS NULL OR created_at IS NULL OR DATE '2024-01-28' <= created_at + ttl_days")
 def stream_context_ttl(spark, sf_dir):
     path = feeds.store_path(spark)
-    run = feeds.expiring_context(events_of(spark, sf_dir), path)
-    run.awaitTermination()
-    return spark.read.parquet(f"{path}/{run.lastProgress['batchId']}").select("start", "expires", "user_id", "n_items", "latest")
+    items = events_of(spark, sf_dir).selectExpr("event_id", "user_id", "case when event_id % 11 = 0 then null else cast(ts as date) end as created_at", "case when event_id % 7 = 0 then null else cast(event_id % 7 as int) end as ttl_days")
+    feeds.context_feed(items, path).awaitTermination()
+    return memory.live_context(spark.read.schema(items.schema).parquet(path), F.lit("2024-01-28").cast("date")).select("event_id", "user_id", "created_at", "ttl_days")

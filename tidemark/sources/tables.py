@@ -97,8 +97,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    df.write.mode("overwrite").partitionBy(*partition_by).csv(path, header=True, escape='"')
 
 
 def write_feed(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

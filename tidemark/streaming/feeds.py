@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sinks import shared_folder
@@ -53,48 +54,37 @@ SHADOW = "agent_id string, symbol string, ts timestamp, value double, drawdown d
 def running_shadow(steps: DataFrame, initial: float = 100.0) -> DataFrame:
     """Running shadow portfolios: after each (agent_id, symbol, ts, step), value, drawdown and count.
 
-    Rows of a batch are taken in the order of ts; a row older than the state is dropped and counted in ``late``.
+    Rows of a batch are taken in the order of (ts, step), so rows of one ts all count. A row that isn't newer than
+    what earlier batches had is dropped and counted in ``late``.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        value, peak, fall, n, total, squares, wins, last = state.get if state.exists else (initial, None, 0.0, 0, 0.0, 0.0, 0, None)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        late = 0 if last is None else int((rows["ts"] <= last).sum())
-        out = []
-        for row in rows.itertuples():
-            if last is not None and row.ts <= last:
-                continue
-            value *= 1 + row.step
-            peak = value if peak is None else max(peak, value)
-            fall = min(fall, value / peak - 1 if peak > 0 else 0.0)
-            n, total, squares, wins, last = n + 1, total + row.step, squares + row.step**2, wins + (row.step > 0), row.ts
-            out.append((*key, row.ts, value, fall, n, late))
-        state.update((value, peak, fall, n, total, squares, wins, last))
-        yield pd.DataFrame(out, columns=["agent_id", "symbol", "ts", "value", "drawdown", "n", "late"])
+        value, peak, fall, n, total, squares, wins, last = state.get if state.exists else (initial, 0.0, 0.0, 0, 0.0, 0.0, 0, None)
+        rows = pd.concat(list(batches)).sort_values(["ts", "step"])
+        fresh = rows if last is None else rows[rows["ts"] > last]
+        if not len(fresh):
+            return
+        step = fresh["step"].to_numpy(float)
+        values = value * np.cumprod(1 + step)
+        peaks = np.maximum(np.maximum.accumulate(values), peak)
+        falls = np.minimum(np.minimum.accumulate(np.where(peaks > 0, values / np.where(peaks > 0, peaks, 1.0) - 1, 0.0)), fall)
+        state.update((float(values[-1]), float(peaks[-1]), float(falls[-1]), n + len(step), total + float(step.sum()), squares + float((step**2).sum()), wins + int((step > 0).sum()), fresh["ts"].iloc[-1].to_pydatetime()))
+        yield pd.DataFrame({"agent_id": key[0], "symbol": key[1], "ts": fresh["ts"].to_numpy(), "value": values, "drawdown": falls, "n": np.arange(n + 1, n + 1 + len(step)), "late": len(rows) - len(fresh)})
 
     return steps.groupBy("agent_id", "symbol").applyInPandasWithState(update, SHADOW, STATE, "append", "NoTimeout")
 
 
-def expiring_context(rows: DataFrame, path: str, ttl: str = "2 days"):
-    """Starts a stream that keeps shared context per target in windows of its time to live, in snapshots under ``path``, one for each batch.
+def context_feed(items: DataFrame, path: str, checkpoint: str | None = None):
+    """Starts a stream that adds shared items to the table ``path``, one folder for each batch; a batch that is run again replaces its own.
 
-    Every window is there with its expiry time, live ones too; readers leave out what has expired (``live_windows``).
+    Every item keeps its own time to live, so expiry is a filter of reads (``memory.live_context``) and the feed has no
+    state and drops nothing. With a ``checkpoint`` folder of its own, a stream goes on where it ended.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(F.window("ts", ttl).alias("window"), "user_id").agg(F.count("*").alias("n_items"), F.max("event_id").alias("latest"))
-        new = new.select(F.col("window.start").alias("start"), F.col("window.end").alias("expires"), "user_id", "n_items", "latest")
-        both = spark.read.parquet(f"{path}/{number - 1}").unionByName(new) if number else new
-        merged = both.groupBy("start", "expires", "user_id").agg(F.sum("n_items").alias("n_items"), F.max("latest").alias("latest"))
-        merged.write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def live_windows(context: DataFrame, now: Column) -> DataFrame:
-    """Windows that haven't expired."""
-    return context.where(F.col("expires") > now)
+    return items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint or f"{path}-state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
 
 
 def first_shares(routes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
