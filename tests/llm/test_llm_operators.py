@@ -269,12 +269,42 @@ def test_fingerprints(edge, edge_rows, none):
     for r in found:
         roots[r.text].add(r.root)
         assert 0 <= r.near <= 1 and (r.root == r.edited_root) == (r.text == r.edited)
-        n = max(len(r.leaves), 0)
-        assert r.differs == ([] if r.root == r.edited_root else [i for i in range(n) if i >= len(r.edited_leaves) or r.leaves[i] != r.edited_leaves[i]])
+        missing = [i for i, x in enumerate(r.leaves) if x not in r.edited_leaves]
+        assert set(missing) <= set(r.differs) and r.differs == sorted(set(r.differs)) and (r.root != r.edited_root or not r.differs)
     assert all(len(x) == 1 for x in roots.values()) and len({x for s in roots.values() for x in s}) == len(roots)
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_an_inserted_sentence_is_located(spark):
+    """It changes its own branch only: the leaves before and after keep their paragraphs and sections."""
+    rng = random.Random(8)
+    sentences = [" ".join(f"w{rng.randrange(5000)}" for _ in range(9)).capitalize() + ". " for _ in range(600)]
+    rows = [(k, "".join(sentences), "".join(sentences[:k] + ["Something new here. "] + sentences[k:])) for k in (0, 1, 299, 300, 599, 600)]
+    rows.append((1000, "".join(sentences), "".join(sentences[:10] + [sentences[11], sentences[10]] + sentences[12:])))  # two change places
+    df = spark.createDataFrame(rows, "k int, old string, new string")
+    trees = fingerprints.tree(fingerprints.tree(df, "old", "o_"), "new", "n_")
+    for r in trees.select("*", fingerprints.differences("n_", "o_").alias("added"), fingerprints.differences("o_", "n_").alias("lost")).collect():
+        assert len(set(r.n_sections) - set(r.o_sections)) <= 2 and len(r.o_sections) > 4 and len(set(r.n_paragraphs) - set(r.o_paragraphs)) <= 2
+        near = {r.k} if r.k < 1000 else {10, 11}
+        assert near <= set(r.added) and all(abs(i - min(near)) < 60 for i in r.added + r.lost)  # in one or two paragraphs
+
+
+@pytest.mark.parametrize("bucket", [1, 2, 4096])
+def test_next_document(spark, bucket):
+    """Dense, sparse and repeated ids, and none: the order is (doc_id, hash of the text) falling, and it wraps."""
+    rng = random.Random(2)
+    ids = [*range(40), *(rng.randrange(-(1 << 62), 1 << 62) for _ in range(40)), *[7] * 60, *[None] * 20]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]), reverse=True)
+    want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    assert {r.text: r.next_text for r in fingerprints.with_next(df, bucket).collect()} == want
+    sizes = fingerprints.bucketed(df.withColumn("tie", F.xxhash64("text")), bucket).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) <= max(160 * (bucket > 160), 12 * bucket)
+
+
 def test_next_document_wraps(spark):
     rows = spark.createDataFrame([(i * 5000, f"t{i}") for i in range(4)], "doc_id long, text string")
     got = {r.doc_id: r.next_text for r in fingerprints.with_next(rows).collect()}

@@ -1,20 +1,24 @@
 """Merkle fingerprints of documents.
 
-A text is cut into pieces: sentences and lines, the longer ones every ``PIECE`` characters. A piece's digest is a
-leaf, ``FAN`` leaves in a row are a paragraph, ``FAN`` paragraphs are a section, and the root is over the sections.
-Equal roots mean equal texts. Where roots differ, differing sections lead to differing paragraphs and pieces
-(``differences``), and the share of common leaves is the likeness of two trees. All is DataFrame functions.
+A text is cut into pieces: sentences and lines, the longer ones every ``PIECE`` characters. A piece's digest is a leaf.
+Leaves in a row are a paragraph, which ends after a leaf whose digest starts with one of ``ENDS`` (one in eight), and
+paragraphs are a section in the same way; the root is over the sections. So cuts depend on content alone, and an
+inserted sentence changes its own paragraph and section, not those after it. Equal roots mean equal texts. Where roots
+differ, sections that the other text lacks lead to differing paragraphs and pieces (``differences``), and the share of
+common leaves is the likeness of two trees. All is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE, FAN = 96, 8
+PIECE, ENDS = 96, ("0", "8")
 PIECES = rf"[^.!?\n]{{1,{PIECE}}}[.!?\n ]*|[.!?\n ]+"
-#: doc_ids in a bucket when documents are put in order.
-BUCKET = 4096
+#: Documents in a bucket, about, and quantiles of doc_ids, when documents are put in order.
+BUCKET, QUANTILES = 4096, 1000
 
 
 def leaves(text: Column) -> Column:
@@ -23,16 +27,23 @@ def leaves(text: Column) -> Column:
     return F.transform(found, lambda x: F.md5(x.cast("binary")))
 
 
-def parents(nodes: str) -> Column:
-    """Digests of each ``FAN`` nodes of an array column, which is bound as a lambda variable and so made once a row."""
-    return F.expr(f"transform(array({nodes}), ns -> case when size(ns) = 0 then cast(array() as array<string>) else transform(sequence(0, (size(ns) - 1) div {FAN}), k -> md5(cast(array_join(slice(ns, k * {FAN} + 1, {FAN}), '') as binary))) end)[0]")
+def ends(nodes: str) -> Column:
+    """Numbers (from 1) of the last nodes of an array column's groups, which is bound as a lambda variable and so made once a row."""
+    last = " or ".join(f"startswith(ns[k - 1], '{x}')" for x in ENDS)
+    return F.expr(f"transform(array({nodes}), ns -> case when size(ns) = 0 then cast(array() as array<int>) else filter(sequence(1, size(ns)), k -> k = size(ns) or {last}) end)[0]")
+
+
+def parents(nodes: str, stops: str) -> Column:
+    """Digests of the groups of nodes that end at ``stops``."""
+    return F.expr(f"transform(array(named_struct('ns', {nodes}, 'es', {stops})), g -> transform(g.es, (e, i) -> md5(cast(array_join(slice(g.ns, coalesce(get(g.es, i - 1), 0) + 1, e - coalesce(get(g.es, i - 1), 0)), '') as binary))))[0]")
 
 
 def tree(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """Adds leaves, paragraphs, sections (arrays of digests) and root of a text column, with ``prefix`` before their names."""
+    """Adds leaves, paragraphs, sections (arrays of digests), paragraph_ends, section_ends and root of a text column, with ``prefix`` before their names."""
     made = docs.withColumn(f"{prefix}leaves", leaves(F.col(text)))
-    made = made.withColumn(f"{prefix}paragraphs", parents(f"{prefix}leaves"))
-    made = made.withColumn(f"{prefix}sections", parents(f"{prefix}paragraphs"))
+    for below, name in (("leaves", "paragraph"), ("paragraphs", "section")):
+        made = made.withColumn(f"{prefix}{name}_ends", ends(f"{prefix}{below}"))
+        made = made.withColumn(f"{prefix}{name}s", parents(f"{prefix}{below}", f"{prefix}{name}_ends"))
     return made.withColumn(f"{prefix}root", F.sha2(F.array_join(f"{prefix}sections", "").cast("binary"), 256))
 
 
@@ -44,25 +55,56 @@ def likeness(a: str, b: str) -> Column:
 
 
 def differences(a: str, b: str) -> Column:
-    """Numbers (from 0) of the leaves of tree ``a`` that differ from the leaf at that place in ``b``, looked for only under paragraphs and sections that differ."""
+    """Numbers (from 0) of the leaves of tree ``a`` that ``b`` lacks, looked for only under sections and paragraphs that ``b`` lacks.
+
+    Where ``b`` has all leaves of such a paragraph (in another order or number), they are all given. What only ``b`` has
+    is found by asking the other way round.
+    """
+    lacks = lambda level, k: f"not array_contains({b}{level}, {a}{level}[{k}])"
+    under = lambda level, k: f"sequence(coalesce(get({a}{level}_ends, {k} - 1), 0), {a}{level}_ends[{k}] - 1)"
     return F.expr(f"""
-        case when {a}root = {b}root then cast(array() as array<int>) else
-        flatten(transform(
-            filter(sequence(0, greatest(size({a}paragraphs), 1) - 1),
-                   p -> not coalesce(get({a}sections, p div {FAN}) = get({b}sections, p div {FAN}), false)
-                    and not coalesce(get({a}paragraphs, p) = get({b}paragraphs, p), false)),
-            p -> filter(sequence(p * {FAN}, p * {FAN} + {FAN} - 1), i -> i < size({a}leaves) and not coalesce(get({a}leaves, i) = get({b}leaves, i), false)))) end""")
+        case when {a}root = {b}root or size({a}sections) = 0 then cast(array() as array<int>) else
+        flatten(transform(filter(sequence(0, size({a}sections) - 1), s -> {lacks("sections", "s")}),
+            s -> flatten(transform(filter({under("section", "s")}, p -> {lacks("paragraphs", "p")}),
+                p -> transform(array(filter({under("paragraph", "p")}, i -> {lacks("leaves", "i")})),
+                    own -> case when size(own) > 0 then own else {under("paragraph", "p")} end)[0])))) end""")
+
+
+def bucketed(rows: DataFrame, bucket: int = BUCKET, quantiles: int = QUANTILES) -> DataFrame:
+    """Adds ``bucket``, which never falls as (doc_id, tie) rises and has about so many rows, however ids are spread or repeated.
+
+    Ids go by at most ``quantiles`` quantiles, evenly between two of them, and those of one id that fills several by tie.
+    """
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    n = rows.count()
+    groups = max(1, min(quantiles, math.ceil(n / bucket)))
+    cuts = rows.agg(F.percentile_approx(key, [k / groups for k in range(groups + 1)], 10 * quantiles)).first()[0] if n else []
+    if not cuts:
+        return rows.withColumn("bucket", F.lit(0).cast("long"))
+    inner = math.ceil(n / groups / bucket)
+    steps = ", ".join(str(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1))
+    known = rows.withColumn("cuts", F.array(*(F.lit(x).cast("long") for x in cuts))).withColumn("key", key)
+    below = lambda sign: F.expr(f"aggregate(array({steps}), 0, (p, s) -> case when p + s <= {len(cuts)} and cuts[p + s - 1] {sign} key then p + s else p end)")
+    known = known.withColumn("lower", below("<")).withColumn("upper", below("<="))
+    share = F.col("tie") / float(1 << 64) + 0.5
+    spread = F.floor(share * (F.col("upper") - F.col("lower")) * inner)
+    from_, to = (F.get("cuts", F.col("lower") + k).cast("double") for k in (-1, 0))
+    between = F.coalesce(F.floor((F.col("key") - from_) / (to - from_) * inner), F.lit(0))
+    wide = inner * (len(cuts) + 1) + 1
+    equal = F.col("upper") > F.col("lower")
+    place = F.when(equal, spread).otherwise(between).cast("long")
+    return known.withColumn("bucket", (2 * F.col("lower") + equal.cast("int")) * F.lit(wide).cast("long") + place).drop("cuts", "key", "lower", "upper")
 
 
 def with_next(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text (null: empty) and next_text, the text of the next lower doc_id; after the lowest comes the highest.
 
-    Documents are ordered in buckets of doc_ids, and each bucket gets the head of the next one; only one row per bucket
-    is ordered in one task. Rows with one doc_id come in the order of a hash of their texts, rows without one last.
+    Documents are ordered in buckets of about so many rows (see ``bucketed``), and each bucket gets the head of the next
+    one; only one row per bucket is ordered in one task. Rows with one doc_id come in the order of a hash of their texts,
+    rows without one last.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc = F.col("doc_id").cast("long")
-    rows = docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(F.floor(doc / bucket), F.lit(-(1 << 62))).alias("bucket"), F.xxhash64(text).alias("tie"))
+    rows = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie")), bucket)
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("tie"))
     heads = rows.groupBy("bucket").agg(F.max_by("text", order).alias("head"))
     every = Window.orderBy(F.col("bucket").desc())

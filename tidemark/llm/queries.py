@@ -167,12 +167,13 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)""".replace("
 
 def _tree_sql(name: str, text: str, source: str) -> str:
     """DuckDB SQL of fingerprints.tree, as a common table expression."""
-    pieces = fingerprints.PIECES
-    fan = fingerprints.FAN
-    up = lambda x: f"list_transform(range(0, (len({x}) + {fan - 1}) // {fan}), lambda k: md5(array_to_string({x}[k * {fan} + 1:k * {fan} + {fan}], '')))"
-    return f"""{name}1 AS (SELECT doc_id, list_transform(regexp_extract_all({text}, '{pieces}'), lambda x: md5(x)) AS leaves FROM {source}),
-     {name}2 AS (SELECT *, {up("leaves")} AS paragraphs FROM {name}1),
-     {name} AS (SELECT doc_id, leaves, sha256(array_to_string({up("paragraphs")}, '')) AS root FROM {name}2)"""
+    ends = lambda x: f"list_filter(range(1, len({x}) + 1), lambda k: k = len({x}) OR substring({x}[k], 1, 1) IN {fingerprints.ENDS})"
+    up = lambda x, e: f"list_transform(range(1, len({e}) + 1), lambda i: md5(array_to_string({x}[CASE WHEN i = 1 THEN 1 ELSE {e}[i - 1] + 1 END:{e}[i]], '')))"
+    return f"""{name}1 AS (SELECT doc_id, list_transform(regexp_extract_all({text}, '{fingerprints.PIECES}'), lambda x: md5(x)) AS leaves FROM {source}),
+     {name}2 AS (SELECT *, {ends("leaves")} AS ends FROM {name}1),
+     {name}3 AS (SELECT doc_id, leaves, {up("leaves", "ends")} AS paragraphs FROM {name}2),
+     {name}4 AS (SELECT *, {ends("paragraphs")} AS ends FROM {name}3),
+     {name} AS (SELECT doc_id, leaves, sha256(array_to_string({up("paragraphs", "ends")}, '')) AS root FROM {name}4)"""
 
 
 def _fingerprints_sql() -> str:
