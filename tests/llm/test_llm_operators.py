@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes
+from tidemark.llm import common, fingerprints, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes
 
 from brute import brute_components, brute_repeats, low, words
 
@@ -77,6 +77,21 @@ def test_windows(edge, edge_rows, batch):
     assert got == brute_repeats(edge_rows, 13)
 
 
+def test_windows_of_sparse_ids_and_long_texts(spark):
+    """Batches have about as many rows however ids are spread; a repeated id is whole; long texts make small batches."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(70))
+    ids = [rng.randrange(1 << 60) for _ in range(150)] + [5] * 30
+    rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(20)) + (" " + passage if k % 3 else "") + " x y z" * (k % 7) * 20) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = [r["count"] for r in substrings.batched(df, 16).groupBy("batch").count().collect()]
+    assert max(sizes) <= 50 and len(sizes) >= 8 and substrings.batch_rows(1000, 10**9) == 4
+    for batch in (16, 1024):
+        assert Counter(tuple(r) for r in substrings.remove_repeats(df, 13, batch).collect()) == brute_repeats(rows, 13)
+        found = suffixes.remove_passages(df, batch=batch).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, " ".join(words(r.text))) for r in found) == brute_repeats(rows, 50)
+
+
 def test_windows_incrementally(spark, edge, edge_rows):
     """A later call with the compacted runs of an earlier one finds what one call over all finds."""
     known = [r for r in edge_rows if r[0] is not None]
@@ -301,7 +316,7 @@ def test_next_document(spark, bucket):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]), reverse=True)
     want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
     assert {r.text: r.next_text for r in fingerprints.with_next(df, bucket).collect()} == want
-    sizes = fingerprints.bucketed(df.withColumn("tie", F.xxhash64("text")), bucket).groupBy("bucket").count().collect()
+    sizes = common.bucketed(df.withColumn("tie", F.xxhash64("text")), bucket).groupBy("bucket").count().collect()
     assert max(r["count"] for r in sizes) <= max(160 * (bucket > 160), 12 * bucket)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -21,8 +23,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder the cluster names; only a session without one (a test) gets a local folder."""
+    """Keeps the folder the cluster names; only a local session without one (a test) gets a local folder."""
     if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", ""):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -38,6 +42,32 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(rows: DataFrame, bucket: int, quantiles: int = 1000, split_ids: bool = True) -> DataFrame:
+    """Adds ``bucket``, which never falls as (doc_id, tie) rises and has about so many rows, however ids are spread or repeated.
+
+    Ids go by at most ``quantiles`` quantiles, evenly between two of them, and rows of one id that fills several by tie,
+    unless an id must stay whole (``split_ids``; then rows need no tie).
+    """
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    n = rows.count()
+    groups = max(1, min(quantiles, math.ceil(n / bucket)))
+    cuts = rows.agg(F.percentile_approx(key, [k / groups for k in range(groups + 1)], 10 * quantiles)).first()[0] if n else []
+    if not cuts:
+        return rows.withColumn("bucket", F.lit(0).cast("long"))
+    inner = math.ceil(n / groups / bucket)
+    steps = ", ".join(str(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1))
+    known = rows.withColumn("cuts", F.array(*(F.lit(x).cast("long") for x in cuts))).withColumn("key", key)
+    below = lambda sign: F.expr(f"aggregate(array({steps}), 0, (p, s) -> case when p + s <= {len(cuts)} and cuts[p + s - 1] {sign} key then p + s else p end)")
+    known = known.withColumn("lower", below("<")).withColumn("upper", below("<="))
+    spread = F.floor((F.col("tie") / float(1 << 64) + 0.5) * (F.col("upper") - F.col("lower")) * inner) if split_ids else F.lit(0)
+    from_, to = (F.get("cuts", F.col("lower") + k).cast("double") for k in (-1, 0))
+    between = F.coalesce(F.floor((F.col("key") - from_) / (to - from_) * inner), F.lit(0))
+    wide = inner * (len(cuts) + 1) + 1
+    equal = F.col("upper") > F.col("lower")
+    place = F.when(equal, spread).otherwise(between).cast("long")
+    return known.withColumn("bucket", (2 * F.col("lower") + equal.cast("int")) * F.lit(wide).cast("long") + place).drop("cuts", "key", "lower", "upper")
+
+
 def word_lists(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Runs of characters other than ASCII white space: (first word of each text, and the end), all words."""
     if isinstance(texts, pa.ChunkedArray):

@@ -10,15 +10,15 @@ common leaves is the likeness of two trees. All is DataFrame functions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bucketed
+
 PIECE, ENDS = 96, ("0", "8")
 PIECES = rf"[^.!?\n]{{1,{PIECE}}}[.!?\n ]*|[.!?\n ]+"
-#: Documents in a bucket, about, and quantiles of doc_ids, when documents are put in order.
-BUCKET, QUANTILES = 4096, 1000
+#: Documents in a bucket, about, when documents are put in order.
+BUCKET = 4096
 
 
 def leaves(text: Column) -> Column:
@@ -70,32 +70,6 @@ def differences(a: str, b: str) -> Column:
                     own -> case when size(own) > 0 then own else {under("paragraph", "p")} end)[0])))) end""")
 
 
-def bucketed(rows: DataFrame, bucket: int = BUCKET, quantiles: int = QUANTILES) -> DataFrame:
-    """Adds ``bucket``, which never falls as (doc_id, tie) rises and has about so many rows, however ids are spread or repeated.
-
-    Ids go by at most ``quantiles`` quantiles, evenly between two of them, and those of one id that fills several by tie.
-    """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = rows.count()
-    groups = max(1, min(quantiles, math.ceil(n / bucket)))
-    cuts = rows.agg(F.percentile_approx(key, [k / groups for k in range(groups + 1)], 10 * quantiles)).first()[0] if n else []
-    if not cuts:
-        return rows.withColumn("bucket", F.lit(0).cast("long"))
-    inner = math.ceil(n / groups / bucket)
-    steps = ", ".join(str(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1))
-    known = rows.withColumn("cuts", F.array(*(F.lit(x).cast("long") for x in cuts))).withColumn("key", key)
-    below = lambda sign: F.expr(f"aggregate(array({steps}), 0, (p, s) -> case when p + s <= {len(cuts)} and cuts[p + s - 1] {sign} key then p + s else p end)")
-    known = known.withColumn("lower", below("<")).withColumn("upper", below("<="))
-    share = F.col("tie") / float(1 << 64) + 0.5
-    spread = F.floor(share * (F.col("upper") - F.col("lower")) * inner)
-    from_, to = (F.get("cuts", F.col("lower") + k).cast("double") for k in (-1, 0))
-    between = F.coalesce(F.floor((F.col("key") - from_) / (to - from_) * inner), F.lit(0))
-    wide = inner * (len(cuts) + 1) + 1
-    equal = F.col("upper") > F.col("lower")
-    place = F.when(equal, spread).otherwise(between).cast("long")
-    return known.withColumn("bucket", (2 * F.col("lower") + equal.cast("int")) * F.lit(wide).cast("long") + place).drop("cuts", "key", "lower", "upper")
-
-
 def with_next(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text (null: empty) and next_text, the text of the next lower doc_id; after the lowest comes the highest.
 

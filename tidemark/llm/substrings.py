@@ -1,6 +1,7 @@
 """Exact removal of repeated word windows with a log-structured index of window fingerprints.
 
-Documents are taken in batches: blocks of consecutive doc_ids. A batch's distinct window hashes, in order,
+Documents are taken in batches: ranges of doc_ids with about as many rows, and less text than ``BATCH_CHARS`` at the
+table's mean length, however ids are spread. A batch's distinct window hashes, in order,
 are an immutable run, cut into ranges (buckets) of the hash. A bucket merges the runs of all batches in
 their order, so for each run it knows which of its hashes an earlier batch has, and answers with one bit
 for each hash. Each batch then marks its windows: those whose answer is set, and those that a document
@@ -22,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, word_hashes, word_lists
+from .common import bucketed, gram_hashes, mix, word_hashes, word_lists
 
-#: doc_ids in a batch, and window hashes in a bucket.
-BATCH, BUCKET = 1024, 1 << 21
+#: Rows in a batch at most, characters in a batch, and window hashes in a bucket.
+BATCH, BATCH_CHARS, BUCKET = 1024, 4 << 20, 1 << 21
 #: Batches from which rows without a doc_id are dealt; they are neither duplicates nor sources.
 SPARE = 64
 #: Batch number of compacted runs.
@@ -35,17 +36,32 @@ RUNS = "bucket int, batch long, n int, hashes binary, checks binary"
 ANSWERS = "batch long, bucket int, bits binary"
 
 
+def extent(docs: DataFrame) -> tuple[int, int]:
+    """Rows and characters of a table."""
+    found = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
+    return found[0], found[1] or 0
+
+
 def batched(docs: DataFrame, batch: int = BATCH, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text, the number of the batch, and a struct of the columns to carry along."""
+    """doc_id, text, the number of the batch of about ``batch`` rows, and a struct of the columns to carry along.
+
+    Batches are in the order of their ids, and rows of one doc_id are in one batch.
+    """
     doc = F.col("doc_id").cast("long")
     text = F.col("text").cast("string")
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")] if carry else []
-    return docs.select(doc.alias("doc_id"), text.alias("text"), *rest, F.coalesce(F.floor(doc / batch), -1 - (1 << 60) - F.pmod(F.xxhash64(text), SPARE)).alias("batch"))
+    rows = bucketed(docs.select(doc.alias("doc_id"), text.alias("text"), *rest), batch, split_ids=False)
+    spare = -1 - (1 << 60) - F.pmod(F.xxhash64("text"), F.lit(SPARE))
+    return rows.withColumn("batch", F.when(F.col("doc_id").isNull(), spare).otherwise(F.col("bucket"))).drop("bucket")
+
+
+def batch_rows(rows: int, chars: int, batch: int = BATCH) -> int:
+    """Rows of a batch, by the mean length of texts."""
+    return max(1, min(batch, BATCH_CHARS * rows // max(1, chars)))
 
 
-def bucket_bits(docs: DataFrame, per_bucket: int = BUCKET) -> int:
+def bucket_bits(chars: int, per_bucket: int = BUCKET) -> int:
     """Power of two of the number of buckets, from the amount of text."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     return max(0, int(chars / 6 / per_bucket).bit_length())
 
 
@@ -197,8 +213,9 @@ def remove_repeats(docs: DataFrame, length: int = 13, batch: int = BATCH, histor
     each other; rows without a doc_id stay whole and count against none. A text is whole in its batch however long
     it is. Only doc_id and text are read, so other columns don't matter. An empty table gives no rows.
     """
-    bits = bucket_bits(docs) if bits is None else bits
-    blocks = batched(docs, batch)
+    rows, chars = extent(docs)
+    bits = bucket_bits(chars) if bits is None else bits
+    blocks = batched(docs, batch_rows(rows, chars, batch))
     runs = runs_of(blocks, length, bits)
     runs = runs if history is None else runs.unionByName(history)
     answers = runs.groupBy("bucket").applyInArrow(answer(bits, elsewhere=False), ANSWERS)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix
-from .substrings import ANSWERS, BATCH, RUNS, Windows, answer, batched, bits_of, bucket_bits, covered, kept_texts, run_rows
+from .substrings import ANSWERS, BATCH, RUNS, Windows, answer, batch_rows, batched, bits_of, bucket_bits, covered, extent, kept_texts, run_rows
 
 #: Words of a passage, and of the gram that a retained suffix starts with.
 LENGTH, GRAM = 50, 16
@@ -67,8 +67,9 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     texts have no words. Rows with one doc_id don't count against each other; rows without a doc_id stay whole and
     count against none. A text is whole in its batch however long it is. An empty table gives no rows.
     """
-    bits = bucket_bits(docs)
-    blocks = batched(docs, batch, carry)
+    rows, chars = extent(docs)
+    bits = bucket_bits(chars)
+    blocks = batched(docs, batch_rows(rows, chars, batch), carry)
     passages = blocks.select("doc_id", "text", "batch")
 
     def retained(table: pa.Table) -> pa.Table:
