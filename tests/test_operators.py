@@ -312,3 +312,29 @@ def test_text_queries_over_all_rows(spark):
         if b is None or not (2 * min(len(a), len(b)) > 0.3 * (len(a) + len(b)) and 1 - edits(a, b) / max(len(a), len(b), 1) > 0.3):
             want.add((r.event_id, r.symbol))
     assert {tuple(r) for r in plans.queries()["news_near_dup_levenshtein_all"](spark, DATA).select("event_id", "symbol").collect()} == want
+
+
+def test_news_near_dup_by_brute_force(spark):
+    """The registered query over the whole table, with the longest common subsequence of each row and the one before it by plain dynamic programming."""
+    import numpy as np
+    from tidemark import plans
+    from tidemark.plans.views import view
+
+    def common(a: str, b: str) -> int:
+        row, other = np.zeros(len(b) + 1, np.int32), np.array([*map(ord, b)])
+        for c in a:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (other == ord(c))))
+        return int(row[-1])
+
+    rows = [r.asDict() for r in view(spark, DATA, "news").select("event_id", "symbol", "published_at", "headline", "text").collect()]
+    for column, ratio in (("text", 0.6), ("headline", 0.9)):
+        kept, before = [], {}
+        for r in sorted(rows, key=lambda r: (r["symbol"], r["published_at"], r["event_id"])):
+            a, b = r[column], before.get(r["symbol"])
+            before[r["symbol"]] = a
+            close = a and b and 2 * min(len(a), len(b)) > ratio * (len(a) + len(b))
+            if not close or 2 * common(a, b) / (len(a) + len(b)) <= ratio:
+                kept.append(r)
+        rows = kept
+    got = plans.queries()["news_near_dup"](spark, DATA).select("event_id").collect()
+    assert sorted(r.event_id for r in got) == sorted(r["event_id"] for r in rows) and rows
