@@ -154,6 +154,26 @@ def test_prefiltered_search_answers_every_block(spark, monkeypatch):
     assert sorted(memory.search_as_of(queries, vectors, metadata, 4, prefilter=True).collect()) == whole
 
 
+def test_search_or_newest(spark, monkeypatch):
+    """A query whose nearest have no metadata gets the newest open records; one whose nearest are all behind the fence gets nothing."""
+    vectors = spark.createDataFrame([(k, [1.0, k / 10]) for k in range(8)] + [(20, [-1.0, 0.0]), (21, [-1.0, 0.1])], "id long, embedding array<double>")
+    metadata = spark.createDataFrame([(20, "2024-01-03", 3, 3), (21, "2024-01-02", 2, 9), (50, "2024-01-02", 1, 1), (51, "2024-01-02", 2, 2), (52, "2024-01-01", 7, 4)], "id long, event_date string, created_at int, available_at int")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], 2), (2, [1.0, 0.0], 4), (3, [-1.0, 0.0], 3), (4, [-1.0, 0.0], 2), (5, [1.0, 0.0], 0)], "query_id long, query array<double>, as_of int")
+    expected = {(1, 51, 1), (2, 20, 1), (3, 20, 1)}
+    for block in (2000, 1):
+        monkeypatch.setattr(memory, "QUERY_BLOCK", block)
+        found = memory.search_or_newest(queries, vectors, metadata, 1).collect()
+        assert {(r.query_id, r.id, r.rank) for r in found} == expected
+        assert {r.query_id for r in found if r.score is None} == {1, 2}
+
+
+def test_references(spark):
+    found = spark.createDataFrame([("A", "short", 1), ("A", "mid", -1), ("B", "short", 2)], "symbol string, layer string, id long")
+    texts = spark.createDataFrame([(1, "é" * 200), (2, None), (-1, "none")], "id long, text string")
+    agents = spark.createDataFrame([("x", "A", "2024-01-01"), ("y", "A", "2024-01-02"), ("z", "C", "2024-01-02")], "agent_id string, symbol string, date string")
+    assert sorted(tuple(r) for r in memory.references(found, texts, agents).collect()) == [(1, "short", "A", "2024-01-01", "x", "é" * 160), (1, "short", "A", "2024-01-02", "y", "é" * 160)]
+
+
 def test_quotes_are_data(spark):
     bars = spark.createDataFrame([("BRK'B;DROP", D1), ("A", D1)], "symbol string, date date")
     asked = spark.createDataFrame([("BRK'B;DROP",)], "symbol string")

@@ -142,6 +142,35 @@ def search_as_of(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, k:
     return open_hits.withColumn("rank", again).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
+def newest(fences: DataFrame, metadata: DataFrame, k: int) -> DataFrame:
+    """(as_of, id, rank) of the k newest records (id, event_date, created_at, available_at) that are available at each ``as_of``; blocks as in ``nearest``."""
+    moments = fences.select("as_of").distinct()
+    blocks = max(1, -(-moments.count() // QUERY_BLOCK))
+    rank = F.row_number().over(Window.partitionBy("as_of").orderBy(F.col("event_date").desc(), F.col("created_at").desc(), "id"))
+    found = None
+    for part in range(blocks):
+        some = moments.where(F.pmod(F.xxhash64("as_of"), F.lit(blocks)) == part) if blocks > 1 else moments
+        known = metadata.join(F.broadcast(some), F.col("available_at") <= F.col("as_of"))
+        top = known.withColumn("rank", rank).where(F.col("rank") <= k).select("as_of", "id", "rank")
+        found = top if found is None else found.unionByName(top)
+    return found
+
+
+def search_or_newest(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, k: int) -> DataFrame:
+    """``search_as_of``; a query none of whose 2k nearest has metadata gets the k newest records behind its fence, without a score."""
+    known = nearest(queries.select("query_id", "query"), vectors, 2 * k).join(metadata.select("id"), "id", "left_semi")
+    unmet = queries.join(known, "query_id", "left_anti").select("query_id", "as_of")
+    others = unmet.join(newest(unmet, metadata, k), "as_of").select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank")
+    return search_as_of(queries, vectors, metadata.select("id", "available_at"), k).unionByName(others)
+
+
+def references(found: DataFrame, memories: DataFrame, agents: DataFrame, preview: int = 160) -> DataFrame:
+    """memory_id, layer, symbol, date, source_agent_id and the start of the text of what was found (symbol, layer, id) for each agent; placeholders (id -1) aren't referred to."""
+    texts = memories.select("id", F.substring("text", 1, preview).alias("text_preview"))
+    rows = found.where("id != -1").join(texts, "id").join(agents.select("agent_id", "symbol", "date"), "symbol")
+    return rows.select(F.col("id").alias("memory_id"), "layer", "symbol", "date", F.col("agent_id").alias("source_agent_id"), "text_preview")
+
+
 def share(routes: DataFrame, memories: DataFrame) -> DataFrame:
     """Memories sent along routes: the first top_k of the source's layer, as ids and text; a repeated (source, target, ids) is marked deduped."""
     rank = F.row_number().over(Window.partitionBy("route_id").orderBy(F.col("importance").desc(), "id"))

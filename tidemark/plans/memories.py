@@ -128,6 +128,18 @@ def memory_query_layers(spark, sf_dir):
     return hybrid_of(spark, sf_dir, ("symbol", "layer"))
 
 
+@query(
+    f"""WITH h AS ({_hybrid_sql("symbol, layer")}), a AS (SELECT agent_id, replace(symbol, 'U', 'L') AS symbol, max(date) AS date FROM decisions GROUP BY 1, 2)
+SELECT h.id AS memory_id, h.layer, h.symbol, a.date, a.agent_id AS source_agent_id, substring(d.text, 1, 160) AS text_preview FROM h JOIN a ON a.symbol = h.symbol JOIN documents d ON d.doc_id = h.id""",
+    "memories decisions",
+)
+def memory_references(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    decided = view(spark, sf_dir, "decisions").withColumn("symbol", F.replace("symbol", F.lit("U"), F.lit("L")))
+    agents = decided.groupBy("agent_id", "symbol").agg(F.max("date").alias("date"))
+    return memory.references(hybrid_of(spark, sf_dir, ("symbol", "layer")), texts, agents)
+
+
 def _asof_parts(spark, sf_dir):
     rows = view(spark, sf_dir, "memories").select("id", "embedding")
     metadata = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("available_at"))
@@ -150,6 +162,26 @@ def vector_search_prefiltered(spark, sf_dir):
     return memory.search_as_of(*_asof_parts(spark, sf_dir), 5, prefilter=True).withColumn("score", F.round("score", 6))
 
 
+@query(
+    f"""WITH q AS (SELECT m.id AS query_id, m.embedding AS query, e.ts AS as_of FROM memories m JOIN events e ON e.event_id = m.id WHERE m.id % 100 = 0),
+kept AS (SELECT event_id AS id, ts AS available_at FROM events WHERE event_type = 'purchase'),
+s AS (SELECT query_id, as_of, v.id, {cosine_sql("q.query", "v.embedding")} AS score FROM q, memories v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s),
+h AS (SELECT r.*, available_at FROM r JOIN kept ON kept.id = r.id WHERE r <= 4),
+o AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM h WHERE available_at <= as_of),
+n AS (SELECT query_id, kept.id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(available_at AS DATE) DESC, available_at DESC, kept.id) AS rank FROM q JOIN kept ON available_at <= as_of WHERE query_id NOT IN (SELECT query_id FROM h))
+SELECT query_id, id, round(score, 6) AS score, rank FROM o WHERE rank <= 2 UNION ALL SELECT query_id, id, NULL, rank FROM n WHERE rank <= 2""",
+    "memories",
+)
+def vector_search_fallback(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    kept = events.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("ts").cast("date").alias("event_date"), F.col("ts").alias("created_at"), F.col("ts").alias("available_at"))
+    rows = view(spark, sf_dir, "memories").select("id", "embedding")
+    moments = events.select(F.col("event_id").alias("id"), F.col("ts").alias("as_of"))
+    queries = rows.where("id % 100 = 0").join(moments, "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"), "as_of")
+    return memory.search_or_newest(queries, rows, kept, 2).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT m.id, m.symbol, m.layer FROM memories m JOIN events e ON e.event_id = m.id WHERE m.layer = 'mid' AND m.symbol = 'L3' AND e.ts <= TIMESTAMP '2024-01-02 00:00:00' ORDER BY CAST(e.ts AS DATE) DESC, e.ts DESC, m.id LIMIT 7", "memories")
 def memory_metadata_search(spark, sf_dir):
     when = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("date").alias("event_date"), F.col("ts").alias("created_at"), F.col("ts").alias("available_at"))

@@ -15,8 +15,8 @@ def artifacts(df: DataFrame, artifact_type: str, date: str, *payload: str, id_fr
 
 
 def append(lines: DataFrame, path: str) -> None:
-    """Adds lines; a partition's lines are gathered first, so a day isn't spread over many small files."""
-    lines.repartition("artifact_type", "date").write.mode("append").partitionBy("artifact_type", "date").json(path)
+    """Adds lines; a partition's lines are gathered first, so a day isn't spread over many small files, and a large day is split by its size."""
+    lines.hint("rebalance", "artifact_type", "date").write.mode("append").partitionBy("artifact_type", "date").json(path)
 
 
 def read(spark: SparkSession, path: str, artifact_type: str | None = None, date: str | None = None) -> DataFrame:
