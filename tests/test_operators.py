@@ -278,6 +278,39 @@ def test_context_feed_over_batches(spark, tmp_path):
     assert sorted(r.item_id for r in live.collect()) == sorted(want)
 
 
+def test_replacing_feed_goes_on_and_keeps_snapshots(spark, tmp_path):
+    import shutil
+
+    def add(n: int, rows: list[tuple]) -> None:
+        spark.createDataFrame(rows, "k long, v string, seq long").coalesce(1).write.parquet(f"{tmp_path}/new{n}")
+        for file in (tmp_path / f"new{n}").glob("*.parquet"):
+            shutil.copy(file, tmp_path / "in" / f"{n}.parquet")
+
+    def run() -> int:
+        stream = spark.readStream.schema("k long, v string, seq long").parquet(f"{tmp_path}/in")
+        feed = feeds.replacing_feed(stream, f"{tmp_path}/out", ("k",), "seq", checkpoint=f"{tmp_path}/state", buckets=8)
+        feed.awaitTermination()
+        return feed.lastProgress["batchId"]
+
+    def at(n: int) -> dict:
+        return {r.k: r.v for r in feeds.feed_snapshot(spark, f"{tmp_path}/out", n, spark.read.parquet(f"{tmp_path}/new0").schema).collect()}
+
+    (tmp_path / "in").mkdir()
+    add(0, [(k, "a", 0) for k in range(50)])
+    first = run()
+    add(1, [(3, "old", 1), (3, "b", 2), (99, "c", 1)])
+    second = run()
+    assert at(first) == {k: "a" for k in range(50)}
+    assert at(second) == at(first) | {3: "b", 99: "c"}
+    assert len(list((tmp_path / "out" / "rows" / str(second)).glob("bucket=*"))) <= 2 and second == first + 1
+
+
+def test_upsert_ties_are_defined(spark):
+    rows = [(1, float(i), None) for i in range(40)]
+    found = {store.upsert(df.limit(0), df, ("k",)).first().v for df in (spark.createDataFrame(rows[i:] + rows[:i], "k long, v double, m map<string,string>").repartition(1 + i % 3) for i in range(0, 40, 13))}
+    assert len(found) == 1
+
+
 def test_running_shadow_counts_equal_timestamps(spark, tmp_path):
     day = lambda d: dt.datetime(2026, 1, d)
     schema = "agent_id string, symbol string, ts timestamp, step double"

@@ -19,8 +19,10 @@ def normalized(a: Column) -> Column:
     return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """0 with a zero vector; norms that are columns already needn't be computed for each pair."""
+    lengths = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.coalesce(F.try_divide(dot(a, b), lengths), F.lit(0.0))
 
 
 def squared_l2(a: Column, b: Column) -> Column:

@@ -103,7 +103,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     the ranks are merged.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    score = V.cosine(F.col("query"), F.col("embedding")) if metric == "cosine" else V.squared_l2(F.col("query"), F.col("embedding"))
+    score = V.squared_l2(F.col("query"), F.col("embedding"))
+    if metric == "cosine":  # a vector's norm is computed once, not in each pair
+        queries, vectors = queries.withColumn("query_norm", V.norm(F.col("query"))), vectors.withColumn("norm", V.norm(F.col("embedding")))
+        score = V.cosine(F.col("query"), F.col("embedding"), F.col("query_norm"), F.col("norm"))
     order = F.col("score").desc() if metric == "cosine" else F.col("score")
     found = None
     for part in range(blocks):
@@ -119,14 +122,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
 def hybrid_query(memories: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("symbol",), stage2_order: str = "asc") -> DataFrame:
     """Retrieval of each query's key: the k most similar and k by compound score (the lowest first, or ``desc``), the k best of both by similarity + compound, distinct ids.
 
-    queries: query_id, query and the keys.
+    queries: query_id, query and the keys. Each of the two choices keeps k rows per query in every task before its
+    shuffle, so a key with many memories is not gathered.
     """
-    joined = memories.join(queries, list(keys)).withColumn("similarity", V.cosine(F.col("query"), F.col("embedding")))
-    by_score = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id"))
-    ahead = F.col("compound").asc() if stage2_order == "asc" else F.col("compound").desc()
-    by_compound = F.row_number().over(Window.partitionBy("query_id").orderBy(ahead, "id"))
-    ranked = joined.withColumn("r1", by_score).withColumn("r2", by_compound).where((F.col("r1") <= k) | (F.col("r2") <= k))
-    twice = ranked.withColumn("copy", F.explode(F.expr(f"filter(array(if(r1 <= {k}, 1, null), if(r2 <= {k}, 2, null)), x -> x is not null)")))
+    known, asked = memories.withColumn("norm", V.norm(F.col("embedding"))), queries.withColumn("query_norm", V.norm(F.col("query")))
+    similarity = V.cosine(F.col("query"), F.col("embedding"), F.col("query_norm"), F.col("norm"))
+    joined = known.join(asked, list(keys)).select("query_id", *keys, "id", "compound", similarity.alias("similarity"))
+
+    def first(copy: int, ahead: Column) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(ahead, "id"))
+        return joined.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("copy", F.lit(copy))
+
+    compound = F.col("compound").asc() if stage2_order == "asc" else F.col("compound").desc()
+    twice = first(1, F.col("similarity").desc()).unionByName(first(2, compound))
     merged = twice.withColumn("score", F.col("similarity") + F.col("compound"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").desc(), "copy"))
     return merged.withColumn("best", best).where(F.col("best") <= k).groupBy("query_id", *keys, "id").agg(F.max("score").alias("score"))

@@ -176,7 +176,7 @@ def env_panel(spark, sf_dir):
 
 @query(f"WITH {ENV} SELECT date, close, ids, filing_k, filing_q FROM env WHERE symbol = 'U7' AND ids <> ''", "bars news filings")
 def env_symbol_subset(spark, sf_dir):
-    found = news.symbol_subset(news.as_maps(env_of(spark, sf_dir)), "U7")
+    found = news.symbol_subset(news.as_maps(env_of(spark, sf_dir).where(F.col("symbol") == "U7")), "U7")  # the filter reaches the scans
     return found.select("date", F.round("close", 6).alias("close"), F.array_join("ids", ",").alias("ids"), "filing_k", "filing_q")
 
 

@@ -32,9 +32,10 @@ def stream_news_dedup(spark, sf_dir):
 @query("SELECT user_id, event_type, max_by(event_id, event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def stream_replace(spark, sf_dir):
     path = feeds.store_path(spark)
-    run = feeds.replacing_feed(events_of(spark, sf_dir).select("user_id", "event_type", "event_id"), path, ("user_id", "event_type"), "event_id")
+    rows = events_of(spark, sf_dir).select("user_id", "event_type", "event_id")
+    run = feeds.replacing_feed(rows, path, ("user_id", "event_type"), "event_id")
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/{run.lastProgress['batchId']}")
+    return feeds.feed_snapshot(spark, path, run.lastProgress["batchId"], rows.schema)
 
 
 @query(

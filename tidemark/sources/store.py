@@ -9,13 +9,15 @@ KEYS = {"prices": ("symbol", "date"), "news": ("event_id",), "filings": ("filing
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...], sequence: str | None = None) -> DataFrame:
-    """Rows of ``old`` and ``new``, the last write of each key. Within one side the largest ``sequence`` is the last.
+    """Rows of ``old`` and ``new``, the last write of each key. Within one side the largest ``sequence`` is the last,
+    and of equal ones (or without a sequence) one by a hash of the whole row, so reruns agree.
 
     One shuffle by the keys; a key's versions are compared by max_by, so they aren't sorted or gathered.
     """
-    order: list[Column] = [F.col("_new")] + ([F.col(sequence)] if sequence else [])
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in keys and c != "_new"]
+    hashed = [c for c in rest if "map<" not in both.schema[c].dataType.simpleString()]  # maps have no hash
+    order: list[Column] = [F.col("_new")] + ([F.col(sequence)] if sequence else []) + [F.xxhash64(*hashed)]
     last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
     return both.groupBy(*keys).agg(last).select(*keys, "last.*").select(*[c for c in old.columns])
 

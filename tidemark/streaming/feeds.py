@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .sinks import shared_folder
 
@@ -35,16 +36,43 @@ def dedup_feed(rows: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def replacing_feed(rows: DataFrame, path: str, keys: tuple[str, ...], sequence: str):
-    """Starts a stream that keeps the last write of each key in snapshots under ``path``, one for each batch."""
+PLACES = "bucket int, batch long"
+
+
+def places(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """The batch that last wrote each bucket, as of a batch: one row a bucket."""
+    return {row["bucket"]: row["batch"] for row in spark.read.schema(PLACES).parquet(f"{path}/places/{number}").collect()} if number >= 0 else {}
+
+
+def read_buckets(spark: SparkSession, path: str, where: dict[int, int], schema: StructType) -> DataFrame:
+    folders = [f"{path}/rows/{batch}/bucket={bucket}" for bucket, batch in sorted(where.items())]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def replacing_feed(rows: DataFrame, path: str, keys: tuple[str, ...], sequence: str, checkpoint: str | None = None, buckets: int = 64):
+    """Starts a stream that keeps the last write of each key under ``path``; ``feed_snapshot`` reads it as of a batch.
+
+    Keys are dealt into ``buckets`` by hash. A batch reads and rewrites only the buckets that it has keys of, then notes
+    where each bucket is; a batch that is run again replaces its own. With a ``checkpoint`` folder of its own, which
+    belongs to this path, a stream goes on where it ended.
+    """
     from ..sources.store import upsert
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/{number - 1}") if number else batch.limit(0)
-        upsert(old, batch, keys, sequence).write.mode("overwrite").parquet(f"{path}/{number}")
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        known = places(spark, path, number - 1)
+        touched = {row["bucket"] for row in batch.select(bucket).distinct().collect()}  # at most ``buckets`` rows
+        old = read_buckets(spark, path, {b: n for b, n in known.items() if b in touched}, batch.schema)
+        merged = upsert(old, batch, keys, sequence).select("*", bucket)
+        merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/{number}")
+        spark.createDataFrame(list((known | dict.fromkeys(touched, number)).items()), PLACES).coalesce(1).write.mode("overwrite").parquet(f"{path}/places/{number}")
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or f"{path}-state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+
 
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def feed_snapshot(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
+    """The rows of a replacing feed after a batch."""
+    return read_buckets(spark, path, places(spark, path, number), schema)
 
 
 STATE = "value double, peak double, fall double, n long, total double, squares double, wins long, last timestamp"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; only a session without one (a test) gets a local folder."""
+    """The folder all executors see; only a local session without one (a test) gets a local folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", ""):
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
 
