@@ -174,6 +174,24 @@ def test_mixing(edge, edge_rows, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mixing_splits_a_repeated_id(spark, monkeypatch, doc_id):
+    monkeypatch.setattr(mixing, "BUCKET", 4)
+    rows = [(doc_id, f"w{i} " * (i % 5), "a") for i in range(300)] + [(100 + i, f"w{i} v", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sized = docs.withColumn("bucket", F.when(F.col("source") == "a", "0").otherwise("1")).withColumn("tie", F.xxhash64("text")).withColumn("size", mixing.n_words(F.col("text")))
+    parts = [r["count"] for r in mixing.split_hot(sized, mixing.bucket_sums(sized), 340).where("source = 'a'").groupBy("bucket").count().collect()]
+    assert len(parts) > 30 and sum(parts) == 300
+    found = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.source, r["size"]) for r in found) == Counter((d, s, len(t.split())) for d, t, s in rows)
+    for s in ("a", None):
+        own = [r for r in found if r.source == s]
+        assert sum(r.taken for r in own) == int(own[0].target + 1e-9)
+    reads = sorted((p.position, p["words"]) for r in found if r.source == "a" for p in r.passes)
+    assert len({p for p, _ in reads}) == len(reads)  # no two documents start at one place
+    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, found))
+
+
 def test_schedule(edge):
     rows = mixing.schedule(edge).collect()
     assert [r.position for r in rows] == sorted(r.position for r in rows)

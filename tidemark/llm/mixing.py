@@ -7,7 +7,8 @@ source's schedule says how many words are asked for until a time; inverting it g
 position, and ``schedule`` sorts by it.
 
 A source's stream is summed in two steps (buckets of the hash, then documents within a bucket), so the largest
-source is spread like any other; only one row per source and bucket is needed to join them.
+source is spread like any other; only one row per source and bucket is needed to join them. Where many rows of a
+source share an id, or have none, their bucket is split by a hash of the text.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Times of the schedule's knots, and for each weight the multipliers there: early, late and even sources.
 KNOTS = (0.0, 0.5, 1.0)
 SCHEDULES = ((2.0, 1.0, 0.5), (0.5, 1.0, 2.0), (1.0, 1.0, 1.0))
-#: Documents of a bucket, about.
-BUCKET = 16_384
+#: Documents of a bucket, about; a bucket with over SPLIT times as many, and over 1 / HOT of all, is split by text.
+BUCKET, SPLIT, HOT = 16_384, 8, 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -73,20 +74,41 @@ def position(demand: Column, total: Column, number: Column, knots: tuple = KNOTS
     return out
 
 
+def bucket_sums(sized: DataFrame) -> DataFrame:
+    return sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.count("*").alias("documents")).checkpoint()
+
+
+def split_hot(sized: DataFrame, buckets: DataFrame, n: int) -> DataFrame | None:
+    """``sized`` with the buckets that many rows of one id fill split by ``tie``; None where there are none. At most HOT are."""
+    over = buckets.where(F.col("documents") > max(SPLIT * BUCKET, n / HOT))
+    hot = over.select("source", "bucket", F.ceil(F.col("documents") / BUCKET).alias("parts")).collect()  # under HOT rows
+    if not hot:
+        return None
+    known = F.broadcast(sized.sparkSession.createDataFrame(hot, "hot_source string, hot_bucket string, parts long"))
+    met = sized.join(known, F.col("source").eqNullSafe(F.col("hot_source")) & (F.col("bucket") == F.col("hot_bucket")), "left")
+    part = F.lpad(F.hex(F.pmod(F.col("tie"), F.col("parts"))), 16, "0")
+    return met.withColumn("bucket", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.concat("bucket", part))).drop("hot_source", "hot_bucket", "parts")
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, carry: list[str] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, passes (an array of words and position, one for each reading), taken, and a struct ``carry``.
 
     size: words of the text, null and empty texts 0; a null source is a source of its own. Rows that repeat a doc_id
-    are documents of their own. Of the hash order, ties of equal rows change nothing. The words taken of a source sum
+    are documents of their own, very many of one id in an order of their texts first. Of the hash order, ties of equal
+    rows change nothing. A very long text is one row, counted whole. The words taken of a source sum
     to its target, rounded down; the document at the end is taken in part. An empty table gives no rows. Columns other
     than doc_id, source and text are only carried, whatever their names.
     """
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")] if carry else []
     doc = F.col("doc_id").cast("string")
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.md5(F.coalesce(doc, F.lit(""))).alias("turn"), F.xxhash64("text").alias("tie"), *rest)
-    digits = max(1, math.ceil(math.log(max(1, docs.count()) / BUCKET, 16)))
+    n = docs.count()
+    digits = max(1, math.ceil(math.log(max(1, n) / BUCKET, 16)))
     sized = sized.withColumn("bucket", F.substring("turn", 1, digits))
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")).checkpoint()
+    buckets = bucket_sums(sized)
+    finer = split_hot(sized, buckets, n)
+    if finer is not None:
+        sized, buckets = finer, bucket_sums(finer)
     sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
@@ -110,7 +132,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """The mix as training reads it: the columns of ``docs`` and ``position``, one row per reading, sorted by position.
 
-    A document that is taken in part is cut to its first words (joined by one space); n_chars, if there, follows the text.
+    Rows of one position go by doc_id, and repeated rows of one position and id in any order. A document that is taken in part is cut to its first words (joined by one space); n_chars, if there, follows the text.
     """
     columns = docs.columns
     takes = mix(docs, carry=columns, **options).select("size", "carry", F.explode("passes").alias("take"))
