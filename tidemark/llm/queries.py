@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes
+from . import fingerprints, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes, tokenfiles
 from .common import documents, ensure_checkpoint_dir
 
 
@@ -74,8 +74,14 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.summary(files)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_substrings, op3_rules, op4_mixing, op5_licenses, op6_minhash, op7_fingerprints, op8_language, op9_quality, op10_suffixes)}
+    every = op1_packing, op2_substrings, op3_rules, op4_mixing, op5_licenses, op6_minhash, op7_fingerprints, op8_language, op9_quality, op10_suffixes, op11_tokenfiles
+    return {f.__name__: f for f in every}
 
 
 #: Words, as SQL: runs of characters other than ASCII white space.
