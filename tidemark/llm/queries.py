@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes, tokenfiles
+from . import fingerprints, hardneg, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes, tokenfiles
 from .common import documents, ensure_checkpoint_dir
 
 
@@ -79,8 +79,13 @@ def op11_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.summary(files)
 
 
+def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label)
+
+
 def queries() -> dict:
-    every = op1_packing, op2_substrings, op3_rules, op4_mixing, op5_licenses, op6_minhash, op7_fingerprints, op8_language, op9_quality, op10_suffixes, op11_tokenfiles
+    every = op1_packing, op2_substrings, op3_rules, op4_mixing, op5_licenses, op6_minhash, op7_fingerprints, op8_language, op9_quality, op10_suffixes, op11_tokenfiles, op12_hardneg
     return {f.__name__: f for f in every}
 
 
@@ -196,6 +201,16 @@ SELECT e.doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha2
 FROM e JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN c USING (doc_id)"""
 
 
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.id AS anchor, a.label = x.label AS same, x.id, list_inner_product(a.q, x.q)::BIGINT AS score FROM v a JOIN v x ON a.id <> x.id WHERE a.id % 50 = 0),
+     p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+     n AS (SELECT p.anchor, p.id AS positive, p.score AS positive_score, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+           FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score FROM n WHERE rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substrings": _repeats(13, "sha256(array_to_string(words, ' ')) AS kept_sha256"),
@@ -203,5 +218,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": MIXING,
         "op5_licenses": _licenses_sql(),
         "op7_fingerprints": _fingerprints_sql(),
+        "op12_hardneg": HARD_NEGATIVES,
         "op10_suffixes": _repeats(50, "sha256(CASE WHEN n_removed = 0 THEN text ELSE array_to_string(words, ' ') END) AS text_sha256"),
     }
