@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hardneg, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes, tokenfiles
+from . import fingerprints, hardneg, language, licenses, minhash, mixing, packing, phrases, quality, rules, substrings, suffixes, tokenfiles
 from .common import documents, ensure_checkpoint_dir
 
 
@@ -84,8 +84,12 @@ def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    every = op1_packing, op2_substrings, op3_rules, op4_mixing, op5_licenses, op6_minhash, op7_fingerprints, op8_language, op9_quality, op10_suffixes, op11_tokenfiles, op12_hardneg
+    every = op1_packing, op2_substrings, op3_rules, op4_mixing, op5_licenses, op6_minhash, op7_fingerprints, op8_language, op9_quality, op10_suffixes, op11_tokenfiles, op12_hardneg, op13_phrases
     return {f.__name__: f for f in every}
 
 
@@ -211,6 +215,21 @@ WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 E
 SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score FROM n WHERE rank <= 3"""
 
 
+PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     p AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS words FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+     w AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p),
+     z AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+     f AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100),
+     c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+     s AS (SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+           FROM c JOIN z USING (lang) JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(words[:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(words[cut + 1:], ' ')),
+     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+     x AS (SELECT lang, phrase, max(longer) AS longer FROM (SELECT lang, f AS longer, unnest([array_to_string(string_split(phrase, ' ')[:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS phrase FROM f WHERE k > 2) GROUP BY lang, phrase),
+     o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR longer < a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substrings": _repeats(13, "sha256(array_to_string(words, ' ')) AS kept_sha256"),
@@ -218,6 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": MIXING,
         "op5_licenses": _licenses_sql(),
         "op7_fingerprints": _fingerprints_sql(),
+        "op13_phrases": PHRASES,
         "op12_hardneg": HARD_NEGATIVES,
         "op10_suffixes": _repeats(50, "sha256(CASE WHEN n_removed = 0 THEN text ELSE array_to_string(words, ' ') END) AS text_sha256"),
     }
