@@ -13,6 +13,7 @@ threshold by their text, in which no two are mixed up.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,7 +116,10 @@ class Counts:
 def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: int) -> DataFrame:
     """hash, level and n of the phrases of a shard that are active at a step; ``since`` has the first step of what goes on from each slot."""
 
+    packed = zlib.compress(since.tobytes(), 1)  # mostly empty, so far smaller than its slots
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        since = np.frombuffer(zlib.decompress(packed), np.uint8)
         found = {level: Counts() for level in range(1, longest + 1)}
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
@@ -196,10 +200,10 @@ def counted(table: DataFrame, found: DataFrame, longest: int = LONGEST, threshol
     slots = packed_slots(found.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - SLOT_BITS), F.col("hash").bitwiseAND((1 << SLOT_BITS) - 1))).alias("slot")))
     some = np.zeros(1 << SLOT_BITS, bool)
     some[slots] = True
-    some = np.packbits(some)
+    some = zlib.compress(np.packbits(some).tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(some).view(bool)
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(some), np.uint8)).view(bool)
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 words = Words(part)

@@ -31,15 +31,22 @@ HEAD, KIND = "<4sII", b"IDS1"
 #: Pieces of text, and their ids, that an encoder remembers.
 MOST_PIECES, MOST_IDS = 300_000, 3_000_000
 
+#: How the vocabulary writes a space.
+SPACE = "\u0120"
+BLANK, STOP = np.zeros(256, bool), np.zeros(256, bool)
+BLANK[list(b" \t\n\r")] = True
+STOP[list(b".,;:!?")] = True
+
 FILE_SCHEMA = "file int, block long, n_ids int, number long, place long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 PIECE_SCHEMA = "file int, number long, doc_id long, place long, n_tokens long, start long, length long, crc_share long, ids binary"
 
 
 class Encoder:
-    """Ids of a byte-level BPE tokenizer whose tokens never reach across the start of white space.
+    """Ids of a byte-level BPE tokenizer whose tokens never reach across the start of white space, or from a letter to a stop.
 
-    So a text is cut before each space that follows a visible character, and each distinct piece is tokenized once. A
-    space after other white space isn't cut at, nor one after a character beyond U+07FF, which might be white space.
+    So a text is cut before each blank or line end that follows a visible character, and before each stop that follows
+    an ASCII letter, and each distinct piece is tokenized once. White space after other white space isn't cut at, nor
+    such after a character beyond U+07FF, which might be white space.
     """
 
     def __init__(self, path: str):
@@ -47,6 +54,9 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opening = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opening[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -58,13 +68,21 @@ class Encoder:
         raw = pieces.cast(pa.binary()).to_pylist()
         if len(self.known) > MOST_PIECES or len(self.flat) > MOST_IDS:
             self.clear()
-        new = [x for x in raw if x not in self.known]
+        fresh = pieces.filter(pa.array([x not in self.known for x in raw], pa.bool_()))
+        word = pc.match_substring_regex(fresh, r"^ \pL+$")
+        words, others = fresh.filter(word).to_pylist(), fresh.filter(pc.invert(word)).to_pylist()
         flats, lengths = [self.flat], [self.lengths]
-        for k in range(0, len(new), 4000):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in new[k : k + 4000]], add_special_tokens=False)]
+        for k in range(0, len(words), 50_000):  # a word starts where a token starts with a space, so many go in one text
+            some = words[k : k + 50_000]
+            found = self.tokenizer.encode_batch_fast(["".join(some[j : j + 200]) for j in range(0, len(some), 200)], add_special_tokens=False)
+            flats.append(np.concatenate([np.array(x.ids, np.uint16) for x in found]))
+            lengths.append(np.diff(np.append(np.flatnonzero(self.opening[flats[-1]]), len(flats[-1]))).astype(np.int32))
+            assert len(lengths[-1]) == len(some)
+        for k in range(0, len(others), 4000):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(others[k : k + 4000], add_special_tokens=False)]
             flats += [np.array(x, np.uint16) for x in found]
             lengths.append(np.fromiter(map(len, found), np.int32, len(found)))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.known.update(zip((x.encode() for part in (words, others) for x in part), range(len(self.known), len(self.known) + len(fresh)), strict=True))
         self.flat, self.lengths = np.concatenate(flats), np.concatenate(lengths)
         return np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
 
@@ -78,7 +96,8 @@ class Encoder:
         offsets = offsets - offsets[0]
         before, second = data[:-1], np.append(np.uint8(0), data[:-2])
         visible = (before >= 0x21) & (before <= 0x7E) | (before >= 0x80) & (second >= 0xC3) & (second <= 0xDF)
-        cut = np.append(True, (data[1:] == 0x20) & visible)
+        letter = (before | 0x20) - np.uint8(0x61) < 26
+        cut = np.append(True, BLANK[data[1:]] & visible | STOP[data[1:]] & letter)
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         begins = np.flatnonzero(cut)
         pieces = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int32)), pa.py_buffer(data))
