@@ -249,13 +249,14 @@ def search(anchors: DataFrame, blocks: DataFrame, parts: int, keep: int, negativ
             from_, to = (np.array([w[k] for w in whole], np.int64) for k in (0, 1))
             from_ = np.maximum(from_, best.limit)
         low, high = block_bounds(a, r)
-        open_ = np.flatnonzero((high[owner] >= from_) & (low[owner] <= to) & (from_ <= to))
+        ceiling = np.full(len(owner), math.inf) if negatives is None else to.astype(float)
+        open_ = np.flatnonzero((high[owner] >= from_) & (low[owner] <= ceiling) & (from_ <= to))
         if not len(open_):
             return
         some, at = np.unique(owner[open_], return_inverse=True)
-        lowest, highest = np.full(len(some), np.iinfo(np.int64).max), np.full(len(some), NEVER)
-        np.minimum.at(lowest, at, from_[open_])
-        np.maximum.at(highest, at, to[open_])
+        lowest, highest = np.full(len(some), math.inf), np.full(len(some), -math.inf)
+        np.minimum.at(lowest, at, from_[open_].astype(float))
+        np.maximum.at(highest, at, ceiling[open_])
         low, high = row_bounds(a, some, r)
         like = a.labels[some][:, None] == r.labels[None, :]
         wanted = (high >= lowest[:, None]) & (low <= highest[:, None]) & (like & (a.uids[some][:, None] != r.uids[None, :]) if negatives is None else ~like)
