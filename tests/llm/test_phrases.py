@@ -55,11 +55,10 @@ def test_brute(spark, cycle, threshold):
 
 def test_few_slots_and_few_rows(spark, monkeypatch):
     """A table of 16 slots is full at once: more is counted than need be, with the same result."""
-    monkeypatch.setattr(phrases, "SLOT_BITS", 4)
     monkeypatch.setattr(phrases, "WAITING", 50)
     rows = corpus()
     df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
-    assert sorted(map(tuple, phrases.collocations(df, threshold=20, most=7, cycle=2).collect())) == brute(rows, 20, 7)
+    assert sorted(map(tuple, phrases.collocations(df, threshold=20, most=7, cycle=2, slot_bits=4).collect())) == brute(rows, 20, 7)
     assert phrases.collocations(df.limit(0)).count() == 0
 
 

@@ -88,12 +88,12 @@ class Words:
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out))
 
 
-def slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def second_slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+def second_slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 class Counts:
@@ -113,7 +113,7 @@ class Counts:
         return keys, counts
 
 
-def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: int) -> DataFrame:
+def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: int, slot_bits: int = SLOT_BITS) -> DataFrame:
     """hash, level and n of the phrases of a shard that are active at a step; ``since`` has the first step of what goes on from each slot."""
 
     packed = zlib.compress(since.tobytes(), 1)  # mostly empty, so far smaller than its slots
@@ -132,7 +132,7 @@ def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: in
                     if active.any():
                         found[level].add(hashes[active])
                     if level < longest:
-                        from_ = np.where(whole, since[slot(hashes)], NEVER).astype(np.int16)
+                        from_ = np.where(whole, since[slot(hashes, slot_bits)], NEVER).astype(np.int16)
                         if not (from_ < NEVER).any():
                             break
             for level, counts in found.items():
@@ -150,7 +150,7 @@ def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: in
 
 
 def packed_slots(hashes: DataFrame) -> np.ndarray:
-    """The hashes' slots, of both kinds, each once for a task: at most 2^SLOT_BITS numbers of 4 bytes from each."""
+    """The hashes' slots, of both kinds, each once for a task: at most 2^slot_bits numbers of 4 bytes from each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint32)
@@ -162,7 +162,7 @@ def packed_slots(hashes: DataFrame) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r.slots, np.uint32) for r in found)])).astype(np.int64)
 
 
-def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, cycle: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, cycle: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """(the shards' rows, hash and level of all phrases with at least ``threshold`` occurrences in one language).
 
     ``docs`` has text and lang. A phrase of the result has been counted over each shard once.
@@ -172,16 +172,16 @@ def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, c
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     rows.withColumn("shard", (F.monotonically_increasing_id() % cycle).cast("int")).write.partitionBy("shard").parquet(path)
     table = spark.read.schema("lang string, text string, shard int").parquet(path)
-    since = np.full(1 << SLOT_BITS, NEVER, np.uint8)
+    since = np.full(1 << slot_bits, NEVER, np.uint8)
     state = spark.createDataFrame([], "hash long, level int, n long, begun int, reached boolean")
     done, step, last = [], 0, 0
     while step < cycle or step <= last + cycle:
-        fresh = scan(table.where(F.col("shard") == step % cycle), step, since, longest, cycle)
+        fresh = scan(table.where(F.col("shard") == step % cycle), step, since, longest, cycle, slot_bits)
         known = state.unionByName(fresh.select("hash", "level", "n", F.lit(step).alias("begun"), F.lit(False).alias("reached")))
         summed = known.groupBy("hash", "level").agg(F.sum("n").alias("n"), F.min("begun").alias("begun"), F.max("reached").alias("reached"))
         summed = written(summed.withColumn("now", (F.col("n") >= threshold) & ~F.col("reached")))
         new = summed.where("now")
-        slots = packed_slots(new.where(F.col("level") < longest).select(F.shiftrightunsigned("hash", 64 - SLOT_BITS).alias("slot")))
+        slots = packed_slots(new.where(F.col("level") < longest).select(F.shiftrightunsigned("hash", 64 - slot_bits).alias("slot")))
         if (since[slots] > step + 1).any():
             since[slots] = np.minimum(since[slots], step + 1)
             last = step
@@ -195,10 +195,10 @@ def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, c
     return table, every
 
 
-def counted(table: DataFrame, found: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def counted(table: DataFrame, found: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, level, f of the phrases found; lang and n, its words), counted by text over all shards."""
-    slots = packed_slots(found.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - SLOT_BITS), F.col("hash").bitwiseAND((1 << SLOT_BITS) - 1))).alias("slot")))
-    some = np.zeros(1 << SLOT_BITS, bool)
+    slots = packed_slots(found.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - slot_bits), F.col("hash").bitwiseAND((1 << slot_bits) - 1))).alias("slot")))
+    some = np.zeros(1 << slot_bits, bool)
     some[slots] = True
     some = zlib.compress(np.packbits(some).tobytes(), 1)
 
@@ -212,7 +212,7 @@ def counted(table: DataFrame, found: DataFrame, longest: int = LONGEST, threshol
                 wanted = np.ones(len(words.hashes) + 1, bool)
                 for level in range(1, longest + 1):
                     hashes, whole = words.grams(level)
-                    wanted = wanted[:-1] & wanted[1:] & whole & bits[slot(hashes)] & bits[second_slot(hashes)] if len(hashes) else np.zeros(0, bool)
+                    wanted = wanted[:-1] & wanted[1:] & whole & bits[slot(hashes, slot_bits)] & bits[second_slot(hashes, slot_bits)] if len(hashes) else np.zeros(0, bool)
                     at = np.flatnonzero(wanted)
                     _, first, n = np.unique(hashes[at], return_index=True, return_counts=True) if len(at) else (at, at, at)
                     at = at[first]
@@ -239,7 +239,7 @@ def scored(phrases: DataFrame, sizes: DataFrame) -> DataFrame:
     return both.groupBy("lang", "phrase", "a", "n").agg(lowest).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(docs: DataFrame, most: int = 2000, longest: int = LONGEST, threshold: int = THRESHOLD, cycle: int = SHARDS) -> DataFrame:
+def collocations(docs: DataFrame, most: int = 2000, longest: int = LONGEST, threshold: int = THRESHOLD, cycle: int = SHARDS, slot_bits: int = SLOT_BITS) -> DataFrame:
     """The first ``most`` phrases of each language of ``docs`` (text, lang): lang, rank, phrase, a, l, r, n, score.
 
     Null and empty texts have no words; a null lang is ``und``. Words are cut from the lower-cased (A-Z) text at spaces and
@@ -247,8 +247,8 @@ def collocations(docs: DataFrame, most: int = 2000, longest: int = LONGEST, thre
     the score go by frequency, then by the phrase's bytes. Rows are documents of their own, also equal ones. A very long
     text is read whole, in one task. An empty table has no phrases. Columns of other names aren't read.
     """
-    table, found = count(docs, longest, threshold, cycle)
-    phrases, sizes = counted(table, found, longest, threshold)
+    table, found = count(docs, longest, threshold, cycle, slot_bits)
+    phrases, sizes = counted(table, found, longest, threshold, slot_bits)
     without = lambda side: F.expr("substring(phrase, length(substring_index(phrase, ' ', 1)) + 2)" if side else "substring(phrase, 1, length(phrase) - length(substring_index(phrase, ' ', -1)) - 1)")
     longer = phrases.where("level > 2").select("lang", F.explode(F.array(without(0), without(1))).alias("phrase"), F.col("f").alias("longer"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
