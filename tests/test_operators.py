@@ -240,22 +240,6 @@ def test_user_function_hook(spark):
     assert classifier.with_function(df, "text", "n", "long", lambda s: s.str.len()).first().n == 3
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "S", dt.datetime(2026, 1, d), 0.1 * (-1) ** d) for d in range(1, 7)], "agent_id string, symbol string, ts timestamp, step double")
-    rows.write.parquet(f"{tmp_path}/in")
-    found = sinks.drain(feeds.running_shadow(feeds.stream_table(spark, f"{tmp_path}/in"))).orderBy("ts").collect()
-    batch = shadow.shadow_portfolio(rows.select("agent_id", "symbol", F.col("ts").cast("date").alias("date"), F.lit(1).alias("signal"), F.col("step").alias("ret"))).orderBy("date").collect()
-    assert [r.value for r in found] == pytest.approx([r.value for r in batch])
-    assert [r.drawdown for r in found] == pytest.approx([r.drawdown for r in batch])
-
-
-def test_stream_marks_repeated_routes(spark, tmp_path):
-    rows = spark.createDataFrame([("r1", "a", "b", dt.datetime(2026, 1, 1)), ("r2", "a", "b", dt.datetime(2026, 1, 2)), ("r3", "a", "c", dt.datetime(2026, 1, 2))], "route_id string, source string, target string, ts timestamp")
-    rows.write.parquet(f"{tmp_path}/in")
-    found = sinks.drain(feeds.first_shares(feeds.stream_table(spark, f"{tmp_path}/in"), ("source", "target"))).collect()
-    assert {r.route_id: r.deduped for r in found} == {"r1": False, "r2": True, "r3": False}
-
-
 def test_event_log_has_bars_of_every_day(spark):
     from tidemark import plans
     from tidemark.plans.views import view
@@ -311,18 +295,6 @@ def test_upsert_ties_are_defined(spark):
     assert len(found) == 1
 
 
-def test_running_shadow_counts_equal_timestamps(spark, tmp_path):
-    day = lambda d: dt.datetime(2026, 1, d)
-    schema = "agent_id string, symbol string, ts timestamp, step double"
-    for batch in ([("a", "S", day(1), 0.5), ("a", "S", day(1), -0.5), ("a", "S", day(2), 1.0)], [("a", "S", day(2), 9.0), ("a", "S", day(3), 1.0)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        time.sleep(1.1)  # files are read in the order of their times
-    steps = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    found = sinks.drain(feeds.running_shadow(steps)).orderBy("n").collect()
-    assert [r.value for r in found] == pytest.approx([50.0, 75.0, 150.0, 300.0]) and [(r.n, r.late) for r in found] == [(1, 0), (2, 0), (3, 0), (4, 1)]
-    assert [r.drawdown for r in found] == pytest.approx([0.0, 0.0, 0.0, 0.0])
-
-
 def test_context_sections(spark):
     """Sections in their order; what is null is left out; empty lists say so."""
     agents = spark.createDataFrame([("x", "S", "2026-01-01", 'said "no"', "10"), ("y", "T", "2026-01-02", None, None)], "agent_id string, symbol string, date string, latest_reason string, v string")

@@ -1,12 +1,9 @@
-"""Streams over event tables: the log's tail, idempotent feeds, running shadow portfolios, expiring context."""
+"""Streams over event tables: the log's tail, idempotent feeds and shared context; see ``ordered`` for those with timers."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -75,33 +72,6 @@ def feed_snapshot(spark: SparkSession, path: str, number: int, schema: StructTyp
     return read_buckets(spark, path, places(spark, path, number), schema)
 
 
-STATE = "value double, peak double, fall double, n long, total double, squares double, wins long, last timestamp"
-SHADOW = "agent_id string, symbol string, ts timestamp, value double, drawdown double, n long, late long"
-
-
-def running_shadow(steps: DataFrame, initial: float = 100.0) -> DataFrame:
-    """Running shadow portfolios: after each (agent_id, symbol, ts, step), value, drawdown and count.
-
-    Rows of a batch are taken in the order of (ts, step), so rows of one ts all count. A row that isn't newer than
-    what earlier batches had is dropped and counted in ``late``.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        value, peak, fall, n, total, squares, wins, last = state.get if state.exists else (initial, 0.0, 0.0, 0, 0.0, 0.0, 0, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "step"])
-        fresh = rows if last is None else rows[rows["ts"] > last]
-        if not len(fresh):
-            return
-        step = fresh["step"].to_numpy(float)
-        values = value * np.cumprod(1 + step)
-        peaks = np.maximum(np.maximum.accumulate(values), peak)
-        falls = np.minimum(np.minimum.accumulate(np.where(peaks > 0, values / np.where(peaks > 0, peaks, 1.0) - 1, 0.0)), fall)
-        state.update((float(values[-1]), float(peaks[-1]), float(falls[-1]), n + len(step), total + float(step.sum()), squares + float((step**2).sum()), wins + int((step > 0).sum()), fresh["ts"].iloc[-1].to_pydatetime()))
-        yield pd.DataFrame({"agent_id": key[0], "symbol": key[1], "ts": fresh["ts"].to_numpy(), "value": values, "drawdown": falls, "n": np.arange(n + 1, n + 1 + len(step)), "late": len(rows) - len(fresh)})
-
-    return steps.groupBy("agent_id", "symbol").applyInPandasWithState(update, SHADOW, STATE, "append", "NoTimeout")
-
-
 def context_feed(items: DataFrame, path: str, checkpoint: str | None = None):
     """Starts a stream that adds shared items to the table ``path``, one folder for each batch; a batch that is run again replaces its own.
 
@@ -115,18 +85,5 @@ def context_feed(items: DataFrame, path: str, checkpoint: str | None = None):
     return items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint or f"{path}-state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
 
 
-def first_shares(routes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Marks repeats of a route across days: the set of routes seen so far is the state."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = state.exists
-        rows = pd.concat(list(batches)).sort_values(["ts", "route_id"])
-        rows["deduped"] = [seen or i > 0 for i in range(len(rows))]
-        state.update((True,))
-        yield rows[["route_id", "ts", "deduped"]]
-
-    return routes.groupBy(*keys).applyInPandasWithState(update, "route_id string, ts timestamp, deduped boolean", "seen boolean", "append", "NoTimeout")
-
-
 def store_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
