@@ -7,8 +7,9 @@ from there, so its count is that of all documents. What has reached the threshol
 table of bytes with a fixed number of slots: two phrases of one slot only mean that some phrase is counted that needn't
 be, or earlier. A slot never changes once it is set, so every active phrase still sees each shard exactly once.
 
-Phrases are known by a 64-bit hash while scans last. A last pass over the documents then counts those that got to the
-threshold by their text, in which no two are mixed up.
+Phrases are known by a 64-bit hash of their language and words; with ten thousand million different phrases, the chance
+that any of a million frequent ones shares its hash with another is below a thousandth. A last pass finds the texts: each
+phrase is looked for in a sixteenth of the documents, which its hash names, and what isn't met there in all.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, mix, shared_folder, slices, word_hashes, written
 
 #: Longest phrase, occurrences that make a candidate, shards of a cycle.
-LONGEST, THRESHOLD, SHARDS = 5, 100, 4
+LONGEST, THRESHOLD, SHARDS = 5, 100, 2
+#: Parts of the documents by which texts are looked up.
+SPOTS = 16
 #: Bits of a slot's number; the value of a slot that nothing has reached.
 SLOT_BITS, NEVER = 24, 255
 #: Hashes that wait in a task to be counted together.
@@ -163,15 +166,16 @@ def packed_slots(hashes: DataFrame) -> np.ndarray:
 
 
 def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, cycle: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
-    """(the shards' rows, hash and level of all phrases with at least ``threshold`` occurrences in one language).
+    """(the shards' rows; hash, level and n of all phrases with at least ``threshold`` occurrences in one language).
 
     ``docs`` has text and lang. A phrase of the result has been counted over each shard once.
     """
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/shards-{xxhash.xxh3_64_hexdigest(str(np.random.default_rng().bytes(16)))}"
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    rows.withColumn("shard", (F.monotonically_increasing_id() % cycle).cast("int")).write.partitionBy("shard").parquet(path)
-    table = spark.read.schema("lang string, text string, shard int").parquet(path)
+    number = F.monotonically_increasing_id()
+    rows.withColumn("spot", (F.shiftright(number, 8) + number).bitwiseAND(SPOTS - 1).cast("int")).withColumn("shard", F.pmod(F.xxhash64(number), cycle).cast("int")).write.partitionBy("shard").parquet(path)
+    table = spark.read.schema("lang string, text string, spot int, shard int").parquet(path)
     since = np.full(1 << slot_bits, NEVER, np.uint8)
     state = spark.createDataFrame([], "hash long, level int, n long, begun int, reached boolean")
     done, step, last = [], 0, 0
@@ -185,44 +189,64 @@ def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, c
         if (since[slots] > step + 1).any():
             since[slots] = np.minimum(since[slots], step + 1)
             last = step
-        done.append(new.select("hash", "level"))
         # begun is the step at which it was first seen, not before it became active: a cycle after that its count is whole
-        state = summed.where(F.col("begun") + cycle - 1 > step).select("hash", "level", "n", "begun", (F.col("reached") | F.col("now")).alias("reached"))
+        over = F.col("begun") + cycle - 1 <= step
+        done.append(summed.where(over & (F.col("n") >= threshold)).select("hash", "level", "n"))
+        state = summed.where(~over).select("hash", "level", "n", "begun", (F.col("reached") | F.col("now")).alias("reached"))
         step += 1
-    every = done[0]
-    for more in done[1:]:
+    every = state.where(F.col("n") >= threshold).select("hash", "level", "n")
+    for more in done:
         every = every.unionByName(more)
     return table, every
 
 
-def counted(table: DataFrame, found: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, level, f of the phrases found; lang and n, its words), counted by text over all shards."""
+def texts_of(table: DataFrame, found: DataFrame, everywhere: bool, slot_bits: int) -> DataFrame:
+    """hash, lang and phrase of the phrases found, and of few others; a null hash: n words of a language.
+
+    Unless ``everywhere``, a phrase is only looked for in the documents of the spot that its hash names.
+    """
+    longest = found.agg(F.max("level")).first()[0] or 0
     slots = packed_slots(found.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - slot_bits), F.col("hash").bitwiseAND((1 << slot_bits) - 1))).alias("slot")))
     some = np.zeros(1 << slot_bits, bool)
     some[slots] = True
-    some = zlib.compress(np.packbits(some).tobytes(), 1)
+    packed = zlib.compress(np.packbits(some).tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(some), np.uint8)).view(bool)
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
+        told = np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 words = Words(part)
-                sizes = np.bincount(words.lang, minlength=len(words.langs))
-                yield rows(pa.array(words.langs, pa.string()), pa.array([""] * len(words.langs)), 0, sizes)
+                sizes = np.bincount(words.lang, minlength=len(words.langs)).astype(np.int64)
+                yield rows(pa.nulls(len(sizes), pa.int64()), pa.array(words.langs, pa.string()), pa.nulls(len(sizes), pa.string()), sizes)
+                here = part["spot"].to_numpy().astype(np.uint64)[words.doc]
                 wanted = np.ones(len(words.hashes) + 1, bool)
                 for level in range(1, longest + 1):
                     hashes, whole = words.grams(level)
-                    wanted = wanted[:-1] & wanted[1:] & whole & bits[slot(hashes, slot_bits)] & bits[second_slot(hashes, slot_bits)] if len(hashes) else np.zeros(0, bool)
-                    at = np.flatnonzero(wanted)
-                    _, first, n = np.unique(hashes[at], return_index=True, return_counts=True) if len(at) else (at, at, at)
-                    at = at[first]
-                    yield rows(pa.array(words.langs, pa.string()).take(pa.array(words.lang[at])), words.texts(at, level), level, n)
+                    known = whole & bits[slot(hashes, slot_bits)] & bits[second_slot(hashes, slot_bits)]
+                    wanted = known if everywhere else wanted[:-1] & wanted[1:] & known  # all parts of a phrase are there too, but for the second look
+                    own = wanted if everywhere else wanted & (hashes >> np.uint64(8) & np.uint64(SPOTS - 1) == here[: len(hashes)])
+                    at = np.flatnonzero(own)
+                    keys, first = np.unique(hashes[at], return_index=True)
+                    fresh = np.isin(keys, told, invert=True)
+                    at, told = at[first[fresh]], np.union1d(told, keys[fresh]) if len(told) < WAITING else keys
+                    yield rows(pa.array(hashes[at].view(np.int64)), pa.array(words.langs, pa.string()).take(pa.array(words.lang[at])), words.texts(at, level), np.zeros(len(at), np.int64))
+
+    def rows(hashes: pa.Array, lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([hashes, lang, phrase, pa.array(n)], names=["hash", "lang", "phrase", "n"])
+
+    named = table.select("lang", "text", "spot").mapInArrow(run, "hash long, lang string, phrase string, n long")
+    return written(named.groupBy("hash", "lang").agg(F.min("phrase").alias("phrase"), F.sum("n").alias("n")))
 
-    def rows(lang: pa.Array, phrase: pa.Array, level: int, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(n), level), pa.int32()), pa.array(np.asarray(n, np.int64))], names=["lang", "phrase", "level", "f"])
 
-    sums = written(table.select("lang", "text").mapInArrow(run, "lang string, phrase string, level int, f long").groupBy("lang", "phrase", "level").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("level") == 0)))
-    return sums.where("level > 0"), sums.where("level = 0").select("lang", F.col("f").alias("n"))
+def with_texts(table: DataFrame, found: DataFrame, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, level, f of the phrases found; lang and n, its words)."""
+    some = texts_of(table, found, False, slot_bits)
+    names, sizes = some.where("hash is not null").select("hash", "lang", "phrase"), some.where("hash is null").select("lang", "n")
+    missed = written(found.join(names, "hash", "left_anti"))
+    if not missed.isEmpty():
+        names = names.unionByName(texts_of(table, missed, True, slot_bits).where("hash is not null").select("hash", "lang", "phrase").join(missed, "hash", "left_semi"))
+    return written(found.join(names, "hash").select("lang", "phrase", "level", F.col("n").alias("f"))), sizes
 
 
 def scored(phrases: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -248,7 +272,7 @@ def collocations(docs: DataFrame, most: int = 2000, longest: int = LONGEST, thre
     text is read whole, in one task. An empty table has no phrases. Columns of other names aren't read.
     """
     table, found = count(docs, longest, threshold, cycle, slot_bits)
-    phrases, sizes = counted(table, found, longest, threshold, slot_bits)
+    phrases, sizes = with_texts(table, written(found), slot_bits)
     without = lambda side: F.expr("substring(phrase, length(substring_index(phrase, ' ', 1)) + 2)" if side else "substring(phrase, 1, length(phrase) - length(substring_index(phrase, ' ', -1)) - 1)")
     longer = phrases.where("level > 2").select("lang", F.explode(F.array(without(0), without(1))).alias("phrase"), F.col("f").alias("longer"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
