@@ -136,21 +136,13 @@ def test_memory_feedback_closed_form(spark):
     assert (got.access_counter, got.importance) == (3, 10 + 5 * (3 + 4 + 3))
 
 
-def test_nearest_in_blocks_is_the_same(spark, monkeypatch):
-    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, embedding array<float>")
-    queries = vectors.where("id % 6 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-    whole = sorted(memory.nearest(queries, vectors, 4).collect())
-    monkeypatch.setattr(memory, "QUERY_BLOCK", 3)
-    assert sorted(memory.nearest(queries, vectors, 4).collect()) == whole
-
-
 def test_prefiltered_search_answers_every_block(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, embedding array<float>")
     metadata = vectors.select("id", F.when(F.col("id") % 2 == 0, D1).otherwise(D3).alias("available_at"))
     queries = vectors.where("id % 6 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"), F.when(F.col("id") % 4 == 0, D1).otherwise(D3).alias("as_of"))
     whole = sorted(memory.search_as_of(queries, vectors, metadata, 4, prefilter=True).collect())
     assert len(whole) == 40 and all(r["id"] % 2 == 0 for r in whole if r["query_id"] % 4 == 0)
-    monkeypatch.setattr(memory, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(memory.neighbours, "QUERIES", 3)
     assert sorted(memory.search_as_of(queries, vectors, metadata, 4, prefilter=True).collect()) == whole
 
 
@@ -160,8 +152,8 @@ def test_search_or_newest(spark, monkeypatch):
     metadata = spark.createDataFrame([(20, "2024-01-03", 3, 3), (21, "2024-01-02", 2, 9), (50, "2024-01-02", 1, 1), (51, "2024-01-02", 2, 2), (52, "2024-01-01", 7, 4)], "id long, event_date string, created_at int, available_at int")
     queries = spark.createDataFrame([(1, [1.0, 0.0], 2), (2, [1.0, 0.0], 4), (3, [-1.0, 0.0], 3), (4, [-1.0, 0.0], 2), (5, [1.0, 0.0], 0)], "query_id long, query array<double>, as_of int")
     expected = {(1, 51, 1), (2, 20, 1), (3, 20, 1)}
-    for block in (2000, 1):
-        monkeypatch.setattr(memory, "QUERY_BLOCK", block)
+    for seconds in (86_400, 1):
+        monkeypatch.setattr(memory.newest, "__defaults__", (seconds,))
         found = memory.search_or_newest(queries, vectors, metadata, 1).collect()
         assert {(r.query_id, r.id, r.rank) for r in found} == expected
         assert {r.query_id for r in found if r.score is None} == {1, 2}

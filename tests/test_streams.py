@@ -38,7 +38,7 @@ def test_running_shadow_equals_batch(spark, tmp_path, batches):
     ranked = spark.createDataFrame([(a, s, step, dt.date(2000, 1, 1) + dt.timedelta(i)) for i, (a, s, step, _) in enumerate(sorted(rows, key=lambda r: (r[3], r[2] or 0)))], "agent_id string, symbol string, ret double, date date")
     names = ["agent_id", "symbol", "step", "value", "roi", "rolling_return", "sharpe", "drawdown", "win_rate"]
     batch = shadow.shadow_portfolio(ranked.withColumn("signal", F.lit(1)))
-    tell = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect())
+    tell = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect())
     assert tell(found) == tell(batch) and found.count() == len(rows)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
+
 
 def latest_bar(bars: DataFrame, day: str) -> DataFrame:
     """Each symbol's last bar on or before a day, in one aggregation."""
@@ -13,19 +15,24 @@ def latest_bar(bars: DataFrame, day: str) -> DataFrame:
     return bars.where(F.col("date") <= F.lit(day).cast("date")).groupBy("symbol").agg(last).select("symbol", "bar.*")
 
 
+def calendar_grid(lives: DataFrame, dates: DataFrame) -> DataFrame:
+    """Every date of the calendar from each life's ``first`` on, with its year as ``segment``; years are joined, not ranges."""
+    years = dates.where("date is not null").groupBy(F.year("date").alias("segment")).agg(F.collect_set("date").alias("days"))  # at most 366
+    own = F.sequence(F.year("first"), years.agg(F.max("segment")).scalar())
+    asked = lives.where(F.col("first").isNotNull()).withColumn("segment", F.explode(own))
+    return asked.join(years, "segment").withColumn("date", F.explode(F.filter("days", lambda d: d >= F.col("first")))).drop("days", "first")
+
+
 def price_panel(bars: DataFrame) -> DataFrame:
     """(symbol, date, close, bar_date) for every date of the calendar from a symbol's first bar on; missing bars carry the last one.
 
-    The calendar is joined to each symbol's life, and the gaps are filled by one window over the symbol, so the work
-    is that of the panel itself and no range join is needed.
+    The calendar is joined to each symbol's life by years. Gaps are filled within a year of a symbol, and a year starts
+    with what the years before it ended with.
     """
-    dates = bars.select("date").distinct()
-    lives = bars.groupBy("symbol").agg(F.min("date").alias("first"))
-    grid = lives.join(dates, F.col("date") >= F.col("first")).select("symbol", "date")
-    own = bars.select("symbol", "date", F.col("close").alias("own"), F.col("date").alias("own_date"))
-    so_far = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    joined = grid.join(own, ["symbol", "date"], "left")
-    return joined.select("symbol", "date", F.last("own", True).over(so_far).alias("close"), F.last("own_date", True).over(so_far).alias("bar_date"))
+    grid = calendar_grid(bars.groupBy("symbol").agg(F.min("date").alias("first")), bars.select("date").distinct())
+    own = bars.select("symbol", "date", "close", F.col("date").alias("bar_date"))
+    filled = segments.last_known(grid.join(own, ["symbol", "date"], "left"), ("symbol",), ("date",), "close", "bar_date")
+    return filled.select("symbol", "date", "close", "bar_date")
 
 
 def counts_so_far(panel: DataFrame, feed: DataFrame, name: str) -> DataFrame:

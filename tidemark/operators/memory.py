@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import neighbours, segments
+from .neighbours import nearest
 
 #: Fixed values of each layer: recency factor, importance factor, jump up at, jump down below, importance draws and their cumulative shares in thousandths.
 LAYERS = {
@@ -15,8 +17,6 @@ LAYERS = {
     "reflection": (365.0, 0.988, None, None, (40.0, 60.0, 80.0), (50, 200)),
 }
 MIN_RECENCY, MIN_IMPORTANCE = 0.05, 5.0
-#: Queries that are sent to every task at once; more are answered in blocks of so many.
-QUERY_BLOCK = 2000
 
 
 def of_layer(value) -> Column:
@@ -94,31 +94,6 @@ def feedback(memories: DataFrame, given: DataFrame, gone: DataFrame) -> DataFram
     return out.withColumn("compound", F.when(F.col("n") > 0, compound(F.col("recency"), F.col("importance"))).otherwise(F.col("compound"))).drop("n", "total", "weighted")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", same: tuple[str, ...] = (), fence: Column | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of the k nearest vectors of every query, exactly.
-
-    queries: query_id, query, and the columns of ``same``; vectors: id, embedding, and those. With ``fence``, a
-    condition on columns of both, only pairs that meet it count. Queries go to the tasks
-    in blocks of at most ``QUERY_BLOCK`` rows; vectors stay where they are, and each task keeps k rows per query before
-    the ranks are merged.
-    """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    score = V.squared_l2(F.col("query"), F.col("embedding"))
-    if metric == "cosine":  # a vector's norm is computed once, not in each pair
-        queries, vectors = queries.withColumn("query_norm", V.norm(F.col("query"))), vectors.withColumn("norm", V.norm(F.col("embedding")))
-        score = V.cosine(F.col("query"), F.col("embedding"), F.col("query_norm"), F.col("norm"))
-    order = F.col("score").desc() if metric == "cosine" else F.col("score")
-    found = None
-    for part in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part) if blocks > 1 else queries
-        match = [some[c] == vectors[c] for c in same] + ([] if fence is None else [fence]) or [F.lit(True)]
-        pairs = vectors.join(F.broadcast(some), match).select("query_id", "id", score.alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))
-        top = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-        found = top if found is None else found.unionByName(top)
-    return found
-
-
 def hybrid_query(memories: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("symbol",), stage2_order: str = "asc") -> DataFrame:
     """Retrieval of each query's key: the k most similar and k by compound score (the lowest first, or ``desc``), the k best of both by similarity + compound, distinct ids.
 
@@ -143,25 +118,17 @@ def hybrid_query(memories: DataFrame, queries: DataFrame, k: int, keys: tuple[st
 def search_as_of(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, k: int, prefilter: bool = False) -> DataFrame:
     """Vector search behind a time fence (queries: query_id, query, as_of): the first k available of the 2k nearest; ``prefilter`` fences first."""
     if prefilter:
-        return nearest(queries, vectors.join(metadata, "id"), k, fence=F.col("available_at") <= F.col("as_of"))
+        return nearest(queries, vectors.join(metadata, "id"), k, fence=("as_of", "available_at"))
     hits = nearest(queries.select("query_id", "query"), vectors, 2 * k).join(metadata, "id").join(queries.select("query_id", "as_of"), "query_id")
     open_hits = hits.where(F.col("available_at") <= F.col("as_of"))
     again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return open_hits.withColumn("rank", again).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def newest(fences: DataFrame, metadata: DataFrame, k: int) -> DataFrame:
-    """(as_of, id, rank) of the k newest records (id, event_date, created_at, available_at) that are available at each ``as_of``; blocks as in ``nearest``."""
-    moments = fences.select("as_of").distinct()
-    blocks = max(1, -(-moments.count() // QUERY_BLOCK))
-    rank = F.row_number().over(Window.partitionBy("as_of").orderBy(F.col("event_date").desc(), F.col("created_at").desc(), "id"))
-    found = None
-    for part in range(blocks):
-        some = moments.where(F.pmod(F.xxhash64("as_of"), F.lit(blocks)) == part) if blocks > 1 else moments
-        known = metadata.join(F.broadcast(some), F.col("available_at") <= F.col("as_of"))
-        top = known.withColumn("rank", rank).where(F.col("rank") <= k).select("as_of", "id", "rank")
-        found = top if found is None else found.unionByName(top)
-    return found
+def newest(fences: DataFrame, metadata: DataFrame, k: int, seconds: int = 86_400) -> DataFrame:
+    """(as_of, id, rank) of the k newest records (id, event_date, created_at, available_at) that are available at each ``as_of``."""
+    found = segments.top_so_far(fences, metadata, "as_of", "available_at", (("event_date", True), ("created_at", True), ("id", False)), k, seconds)
+    return found.select("as_of", "id", "rank")
 
 
 def search_or_newest(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, k: int) -> DataFrame:

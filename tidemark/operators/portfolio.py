@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decisions import normal_decision
+from . import segments
 
 
 def vote_allocation(signals: DataFrame, *keys: str) -> DataFrame:
@@ -70,12 +71,21 @@ def _report(days: DataFrame) -> DataFrame:
     return fall.withColumn("drawdown", F.min("fall").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fall")
 
 
-def master_portfolio(weighted: DataFrame, initial: float = 100_000.0) -> DataFrame:
+def master_portfolio(weighted: DataFrame, initial: float = 100_000.0, segment: Column | None = None) -> DataFrame:
     """Equity, cash, daily return and drawdown of portfolios rebalanced at each date without cost.
 
     weighted: (portfolio, date, symbol, close, weight), weights of a date summing to 1 at most. A date's growth is the
-    cash share plus the grown weights of the date before, and equity is the running product of growth.
+    cash share plus the grown weights of the date before, and equity is the running product of growth. With ``segment``,
+    which never falls with the date, a portfolio's dates are many tasks.
     """
+    if segment is not None:
+        days = _growth(weighted)
+        opening = days.groupBy(F.col("portfolio").alias("_portfolio")).agg(F.min("date").alias("_first"))
+        days = days.join(opening, F.col("portfolio").eqNullSafe(F.col("_portfolio")))
+        step = F.when(F.col("date") > F.col("_first"), F.col("grown") - F.col("before"))
+        days = days.withColumn("daily_return", step).withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("segment", segment)
+        days = segments.scan(days, ("portfolio",), ("date",), initial=initial)
+        return days.select("portfolio", "date", F.col("value").alias("equity"), (F.col("value") * (1 - F.col("total"))).alias("cash"), "n_positions", "daily_return", "drawdown")
     w = Window.partitionBy("portfolio").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     first = F.row_number().over(Window.partitionBy("portfolio").orderBy("date")) == 1
     growth = F.when(first, 1.0).otherwise(1 - F.col("before") + F.col("grown"))

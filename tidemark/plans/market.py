@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.decisions import decision_signal
-from ..operators import asof, returns, shadow
+from ..operators import asof, returns, segments, shadow
 from ..sources import store
 from .registry import query
 from .views import table, view
@@ -34,11 +34,11 @@ def signals_of(spark, sf_dir):
     return view(spark, sf_dir, "decisions").withColumn("signal", decision_signal(F.col("decision")))
 
 
-def shadows_of(spark, sf_dir):
+def shadows_of(spark, sf_dir, segment=None):
     panel = panel_of(spark, sf_dir)
     ahead = F.lead("close").over(returns.by_date("symbol"))
     rets = panel.select("symbol", "date", returns.simple_return(F.col("close"), ahead).alias("ret"))
-    return shadow.shadow_portfolio(signals_of(spark, sf_dir).join(rets, ["symbol", "date"], "left"))
+    return shadow.shadow_portfolio(signals_of(spark, sf_dir).join(rets, ["symbol", "date"], "left"), segment=segment)
 
 
 @query("SELECT symbol, max(date) AS date, round(max_by(close, date), 6) AS close, max_by(volume, date) AS volume FROM bars WHERE date <= DATE '2024-01-20' GROUP BY symbol", "bars")
@@ -137,6 +137,25 @@ def shadow_portfolio(spark, sf_dir):
     return rounded(shadows_of(spark, sf_dir))
 
 
+@query(f"WITH {PANEL}, {SIGNALS}, {RETURNS}, {SHADOW} SELECT {ROUNDED} FROM shadow", "bars decisions")
+def shadow_portfolio_segments(spark, sf_dir):
+    """The same in segments of five days, so that a long series is many tasks."""
+    return rounded(shadows_of(spark, sf_dir, F.floor(F.unix_date("date") / 5)))
+
+
+@query(
+    """WITH l AS (SELECT event_id, user_id, event_type, ts, value FROM events WHERE event_type <> 'purchase'),
+r AS (SELECT event_id AS found_id, user_id, ts AS found_at, value AS found_value FROM events WHERE event_type = 'purchase')
+SELECT l.event_id, l.user_id, l.ts, found_id, found_at, found_value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.found_at"""
+)
+def asof_join(spark, sf_dir):
+    """Each event with its user's last purchase before it."""
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
+    found = segments.asof_join(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, ("user_id",), "ts", "ts", 3 * 86_400, ("event_id",))
+    return found.select("event_id", "user_id", "ts", F.col("found.event_id").alias("found_id"), F.col("found.ts").alias("found_at"), F.col("found.value").alias("found_value"))
+
+
 @query(f"WITH {PANEL}, {SIGNALS}, {RETURNS}, {SHADOW} SELECT {ROUNDED} FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, symbol ORDER BY date DESC) AS k FROM shadow) WHERE k = 1", "bars decisions")
 def latest_shadow(spark, sf_dir):
     return rounded(shadow.latest(shadows_of(spark, sf_dir), "agent_id", "symbol"))

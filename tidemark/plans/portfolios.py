@@ -102,16 +102,22 @@ def portfolio_equity(spark, sf_dir):
     return portfolio.equity(held, last, cash, "agent_id").select("agent_id", F.round("equity", 4).alias("equity"))
 
 
-@query(
-    f"""WITH {BRANDS}, {MOVES}, {WEIGHTED}, {GROWTH},
+MASTER = f"""WITH {BRANDS}, {MOVES}, {WEIGHTED}, {GROWTH},
 days AS (SELECT *, 100000 * product(CASE WHEN n = 1 THEN 1 ELSE 1 - before + grown END) OVER (PARTITION BY portfolio ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity,
-         100000 * product(CASE WHEN n = 1 THEN 1 ELSE 1 - before + grown END) OVER (PARTITION BY portfolio ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * (1 - total) AS cash FROM growth), {REPORT}""",
-    "brand_bars",
-)
+         100000 * product(CASE WHEN n = 1 THEN 1 ELSE 1 - before + grown END) OVER (PARTITION BY portfolio ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * (1 - total) AS cash FROM growth), {REPORT}"""
+
+
+@query(MASTER, "brand_bars")
 def master_portfolio(spark, sf_dir):
     return reported(portfolio.master_portfolio(weighted_of(spark, sf_dir)))
 
 
+@query(MASTER, "brand_bars")
+def master_portfolio_segments(spark, sf_dir):
+    """The same in segments of a quarter, so that a long series is many tasks."""
+    return reported(portfolio.master_portfolio(weighted_of(spark, sf_dir), segment=F.year("date") * 4 + F.quarter("date")))
+
+
 @query(
     f"""WITH RECURSIVE {BRANDS}, {MOVES}, {WEIGHTED}, {GROWTH},
 fold AS (SELECT portfolio, n, 100000e0 AS current, greatest(0, 100000e0 * (1 - (SELECT total FROM growth g WHERE g.portfolio = f.portfolio AND g.n = 1)) - 5) AS cash FROM growth f WHERE n = 1
