@@ -33,7 +33,7 @@ SPOTS = 16
 #: Bits of a slot's number; the value of a slot that nothing has reached.
 SLOT_BITS, NEVER = 24, 255
 #: Hashes that wait in a task to be counted together.
-WAITING = 4_000_000
+WAITING = 1_000_000
 
 SEPARATORS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 KIND_OF = np.zeros(256, np.uint8)
@@ -125,7 +125,7 @@ def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: in
         since = np.frombuffer(zlib.decompress(packed), np.uint8)
         found = {level: Counts() for level in range(1, longest + 1)}
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 words = Words(part)
                 from_ = np.zeros(len(words.hashes) + 1, np.int16)  # what words need is there from the start
                 for level in range(1, longest + 1):
@@ -138,12 +138,14 @@ def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: in
                         from_ = np.where(whole, since[slot(hashes, slot_bits)], NEVER).astype(np.int16)
                         if not (from_ < NEVER).any():
                             break
-            for level, counts in found.items():
-                if counts.n > WAITING:
-                    yield rows(level, counts)
+                del words, hashes, whole, begun, active, from_
+                if sum(counts.n for counts in found.values()) > WAITING:
+                    level = max(found, key=lambda k: found[k].n)
+                    yield rows(level, found[level])
         for level, counts in found.items():
             if counts.n:
                 yield rows(level, counts)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     def rows(level: int, counts: Counts) -> pa.RecordBatch:
         keys, n = counts.take()
@@ -215,7 +217,7 @@ def texts_of(table: DataFrame, found: DataFrame, everywhere: bool, slot_bits: in
         bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
         told = np.zeros(0, np.uint64)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 words = Words(part)
                 sizes = np.bincount(words.lang, minlength=len(words.langs)).astype(np.int64)
                 yield rows(pa.nulls(len(sizes), pa.int64()), pa.array(words.langs, pa.string()), pa.nulls(len(sizes), pa.string()), sizes)
