@@ -44,8 +44,28 @@ def text_score_eval(spark, sf_dir):
     return classifier.evaluate(rows).select(F.round("accuracy", 6).alias("accuracy"), F.round("positive_rate", 6).alias("positive_rate"), "n", "dim")
 
 
+def scored_by(data, w, bias):
+    return data.select("id", "y", F.round(classifier.score(F.col("x"), w, bias), 6).alias("score"))
+
+
 @query()
 def text_score_train(spark, sf_dir):
+    """Scores after descent over all 64 components (no SQL: compared with numpy)."""
     data = vectors_of(spark, sf_dir)
-    w, bias = classifier.weights(classifier.train(data))
-    return data.select("id", "y", F.round(classifier.score(F.col("x"), w, bias), 4).alias("score"))
+    return scored_by(data, *classifier.descend(data, classifier.start_weights(64)))
+
+
+_START = classifier.start_weights(3)
+
+
+@query(
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT vec_id AS id, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, CASE WHEN label = 1 THEN 1e0 ELSE 0e0 END AS y FROM embeddings),
+w AS (SELECT 0 AS epoch, {_START[0]!r}::DOUBLE AS w0, {_START[1]!r}::DOUBLE AS w1, {_START[2]!r}::DOUBLE AS w2, 0e0 AS b
+      UNION ALL SELECT epoch + 1, w0 - 0.1e0 * avg(e * x0), w1 - 0.1e0 * avg(e * x1), w2 - 0.1e0 * avg(e * x2), b - 0.1e0 * avg(e)
+      FROM (SELECT w.*, d.*, 1 / (1 + exp(-least(greatest(w0 * x0 + w1 * x1 + w2 * x2 + b, -50), 50))) - y AS e FROM w, d WHERE epoch < 200) GROUP BY epoch, w0, w1, w2, b)
+SELECT id, CAST(y AS INTEGER) AS y, round(1 / (1 + exp(-least(greatest(w0 * x0 + w1 * x1 + w2 * x2 + b, -50), 50))), 6) AS score FROM d, w WHERE epoch = 200"""
+)
+def text_score_train3(spark, sf_dir):
+    """The same over the first three components, which SQL can follow step by step."""
+    data = vectors_of(spark, sf_dir).withColumn("x", F.slice("x", 1, 3))
+    return scored_by(data, *classifier.descend(data, _START))
