@@ -25,7 +25,7 @@ from . import rangecoder
 from .common import slices, written
 
 #: Ids of a block, and blocks that are coded side by side.
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 2048
 #: Head of a block: what it is, number of ids, CRC-32 of the ids as little-endian unsigned 32-bit values.
 HEAD, KIND = "<4sII", b"IDS1"
 #: Pieces of text, and their ids, that an encoder remembers.
