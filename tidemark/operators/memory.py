@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.written import complete, written
 from . import neighbours, segments
 from .neighbours import nearest
 
@@ -94,6 +95,40 @@ def feedback(memories: DataFrame, given: DataFrame, gone: DataFrame) -> DataFram
     return out.withColumn("compound", F.when(F.col("n") > 0, compound(F.col("recency"), F.col("importance"))).otherwise(F.col("compound"))).drop("n", "total", "weighted")
 
 
+def day(state: DataFrame, gone: DataFrame, arrived: DataFrame, given: DataFrame, legacy_removed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(state, ids that are removed now) after a day: new memories, feedback but for ids removed so far, then ``step``.
+
+    Removed are the ids that the clean-up drops. With ``legacy_removed`` also those that change their layer, as the
+    older behaviour had it, so that later feedback never reaches them although they are still there.
+    """
+    known = state.select("id", "symbol", "layer", "importance", "recency", "compound", "delta", "access_counter")
+    grown = known.unionByName(insert(arrived.select("id", "symbol", "layer")).select(*known.columns))
+    aged = decay(feedback(grown, given, gone))
+    after, dropped = jump(cleanup(aged)), removed(aged)
+    if legacy_removed:
+        before = aged.select("id", F.col("layer").alias("_before"))
+        dropped = dropped.union(after.join(before, "id").where("layer != _before").select("id"))
+    return after.select(*known.columns), dropped.distinct()
+
+
+def run_days(path: str, state: DataFrame, days: list[tuple[str, DataFrame, DataFrame]], legacy_removed: bool = False) -> DataFrame:
+    """The state after ``days`` (name, new memories, feedback; names ascend), each kept under ``path`` with the ids removed on it.
+
+    A day is complete when its removed ids are written, which is last. Called again, also with more days, it goes on
+    after the last complete day, and the result is that of one run. Feedback of a day meets the ids removed before it.
+    """
+    spark, gone = state.sparkSession, state.select("id").limit(0)
+    for name, arrived, given in days:
+        kept, dropped = f"{path}/day={name}/state", f"{path}/day={name}/removed"
+        if not complete(spark, dropped):
+            after, removed_now = day(state, gone, arrived, given, legacy_removed)
+            written(after, kept)
+            written(removed_now, dropped)
+        state = spark.read.schema("id long, symbol string, layer string, importance double, recency double, compound double, delta long, access_counter long").parquet(kept)
+        gone = gone.union(spark.read.schema("id long").parquet(dropped))
+    return state
+
+
 def hybrid_query(memories: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("symbol",), stage2_order: str = "asc") -> DataFrame:
     """Retrieval of each query's key: the k most similar and k by compound score (the lowest first, or ``desc``), the k best of both by similarity + compound, distinct ids.
 

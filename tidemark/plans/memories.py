@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import memory, returns
 from ..sources import store
+from ..streaming.sinks import shared_folder
 from .registry import query
 from .views import table, view
 
@@ -83,6 +86,46 @@ def memory_feedback(spark, sf_dir):
     return found.select("id", F.round("importance", 6).alias("importance"), F.col("access_counter").cast("long").alias("access_counter"), F.round("compound", 6).alias("compound"))
 
 
+def _days_sql(legacy: bool) -> str:
+    """DuckDB SQL of memory.run_days over three days of events: on day d memories of id % 5 = d come in, those of 0 are there."""
+    draw = "('0x' || substr(md5('0:' || CAST(id AS STRING)), 1, 8))::BIGINT % 1000"
+    drawn = f"CASE layer WHEN 'short' THEN CASE WHEN {draw} < 500 THEN 50e0 WHEN {draw} < 950 THEN 70e0 ELSE 90e0 END WHEN 'mid' THEN CASE WHEN {draw} < 50 THEN 40e0 WHEN {draw} < 850 THEN 60e0 ELSE 80e0 END ELSE CASE WHEN {draw} < 50 THEN 40e0 WHEN {draw} < 200 THEN 60e0 ELSE 80e0 END END"
+    out, last, gone = ["v0 AS (SELECT id, symbol, layer, importance, recency, delta, access_counter FROM state WHERE id % 5 = 0)", "g0 AS (SELECT id FROM state WHERE false)"], "v0", "g0"
+    for d in (1, 2, 3):
+        out += [
+            f"i{d} AS (SELECT * FROM {last} UNION ALL SELECT id, symbol, layer, {drawn}, 1e0, 0, 0 FROM memories WHERE id % 5 = {d})",
+            f"f{d} AS (SELECT event_id // 4 AS id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE -1 END AS value, event_id FROM events WHERE event_type <> 'view' AND event_id % 3 + 1 = {d} AND event_id // 4 NOT IN (SELECT id FROM {gone}))",
+            f"c{d} AS (SELECT id, value, sum(value) OVER (PARTITION BY id ORDER BY event_id) AS counter FROM f{d})",
+            f"s{d} AS (SELECT id, sum(value) AS v, sum(counter) AS total, count(*) AS n FROM c{d} GROUP BY id)",
+            f"a{d} AS (SELECT i.id, symbol, layer, (importance + 5 * (coalesce(n, 0) * access_counter + coalesce(total, 0))) * {FACTORS[1]} AS importance, exp(-(delta + 1) / {FACTORS[0]}) AS recency, delta + 1 AS delta, CAST(access_counter + coalesce(v, 0) AS BIGINT) AS access_counter FROM i{d} i LEFT JOIN s{d} USING (id))",
+            f"k{d} AS (SELECT * FROM a{d} WHERE recency >= 0.05 AND importance >= 5)",
+            _jump_sql(f"k{d}", f"j{d}_"),
+            f"g{d} AS (SELECT id FROM {gone} UNION SELECT id FROM a{d} WHERE recency < 0.05 OR importance < 5" + (f" UNION SELECT j.id FROM j{d}_5 j JOIN a{d} a USING (id) WHERE j.layer <> a.layer" if legacy else "") + ")",
+        ]
+        last, gone = f"j{d}_5", f"g{d}"
+    return f"WITH {STATE},\n" + ",\n".join(out) + f" SELECT id, symbol, layer, delta, access_counter, round(importance, 6) AS importance, round(recency, 6) AS recency FROM {last}"
+
+
+def days_of(spark, sf_dir, legacy):
+    state, path = state_of(spark, sf_dir), f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
+    value = F.when(F.col("event_type").isin("purchase", "signup"), 1).otherwise(-1)
+    given = table(spark, sf_dir, "events").where("event_type != 'view'").select(F.expr("event_id div 4").alias("id"), value.alias("value"), F.col("event_id").alias("seq"))
+    days = [(f"2024-01-0{d}", state.where(F.col("id") % 5 == d), given.where(F.col("seq") % 3 + 1 == d)) for d in (1, 2, 3)]
+    memory.run_days(path, state.where("id % 5 = 0"), days[:2], legacy)  # as if it had been stopped here
+    found = memory.run_days(path, state.where("id % 5 = 0"), days, legacy)
+    return found.select("id", "symbol", "layer", "delta", "access_counter", F.round("importance", 6).alias("importance"), F.round("recency", 6).alias("recency"))
+
+
+@query(_days_sql(False), "memories")
+def memory_days(spark, sf_dir):
+    return days_of(spark, sf_dir, False)
+
+
+@query(_days_sql(True), "memories")
+def memory_days_legacy(spark, sf_dir):
+    return days_of(spark, sf_dir, True)
+
+
 def cosine_sql(a: str, b: str) -> str:
     d = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
     return f"{d(a, b)} / (sqrt({d(a, a)}) * sqrt({d(b, b)}))"

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import event_log, store, tables
+from ..sources import event_log, merge, store, tables
 from ..streaming.sinks import shared_folder
 from .registry import query
 from .views import table, view
@@ -39,6 +39,22 @@ def upsert_prices(spark, sf_dir):
     return store.upsert(bars, new, store.KEYS["prices"], "seq").select("symbol", "date", F.round("close", 6).alias("close"))
 
 
+@query(
+    """SELECT symbol, date, round(CASE WHEN date >= DATE '2024-01-27' AND symbol LIKE '%3' THEN close * 4 WHEN date >= DATE '2024-01-26' THEN close * 2 ELSE close END, 6) AS close FROM bars
+UNION ALL SELECT concat(symbol, 'x'), date, round(close, 6) FROM bars WHERE date >= DATE '2024-01-27' AND symbol LIKE '%3'""",
+    "bars",
+)
+def merge_prices(spark, sf_dir):
+    """A store partitioned by day after its first load and two merges, the second called twice."""
+    bars, path = view(spark, sf_dir, "bars").select("symbol", "date", "close"), f"{shared_folder(spark)}/prices-{uuid.uuid4().hex}"
+    first = bars.where("date >= date'2024-01-26'").withColumn("close", F.col("close") * 2)
+    late = bars.where("date >= date'2024-01-27' and symbol like '%3'")
+    second = late.withColumn("close", F.col("close") * 4).unionByName(late.withColumn("symbol", F.concat("symbol", F.lit("x"))))
+    for name, rows in (("load", bars), ("a", first), ("b", second), ("b", second)):
+        merge.merge_into(path, rows, store.KEYS["prices"], name, F.date_format("date", "yyyy-MM-dd"))
+    return merge.stored(spark, path, bars.schema).select("symbol", "date", F.round("close", 6).alias("close"))
+
+
 @query("""SELECT event_id, symbol, CASE WHEN CAST(substring(event_id, 2) AS BIGINT) % 2 = 0 THEN concat('{"lang":"', lang, '","source":"', source, '"}') ELSE '{}' END AS metadata_json FROM news""", "news")
 def upsert_news(spark, sf_dir):
     rows = view(spark, sf_dir, "news").select("event_id", "symbol", "lang", "source")

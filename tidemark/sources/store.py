@@ -78,6 +78,7 @@ def build_market_store(tables: dict[str, DataFrame], path: str) -> DataFrame:
     for name, df in tables.items():
         keys = KEYS[name]
         unique = upsert(df.limit(0), df, keys)
-        unique.repartition(*[F.col("symbol")]).sortWithinPartitions(*order[name]).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+        ranges = unique.repartitionByRange(*order[name])  # a symbol with very many rows is as many ranges as it fills
+        ranges.sortWithinPartitions(*order[name]).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
     spark = tables["prices"].sparkSession
     return trading_dates(spark.read.parquet(f"{path}/prices.parquet")).orderBy("date")
