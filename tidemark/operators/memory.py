@@ -181,19 +181,24 @@ def references(found: DataFrame, memories: DataFrame, agents: DataFrame, preview
     return rows.select(F.col("id").alias("memory_id"), "layer", "symbol", "date", F.col("agent_id").alias("source_agent_id"), "text_preview")
 
 
-def share(routes: DataFrame, memories: DataFrame) -> DataFrame:
-    """Memories sent along routes: the first top_k of the source's layer, as ids and text; a repeated (source, target, ids) is marked deduped."""
-    rank = F.row_number().over(Window.partitionBy("route_id").orderBy(F.col("importance").desc(), "id"))
-    source = memories.select(F.col("symbol").alias("source_symbol"), "layer", "id", "text", "importance")
-    found = routes.join(source, ["source_symbol", "layer"]).withColumn("rank", rank).where(F.col("rank") <= F.col("top_k"))
+def share(routes: DataFrame, memories: DataFrame, parties: tuple[str, str] = ("source_symbol", "target_symbol")) -> DataFrame:
+    """Memories sent along routes: the first top_k of the source's layer, as ids and text; what one party has had from the other before (the same ids in order) is marked deduped.
+
+    ``parties`` are two columns of the routes, such as the source and target agents. A source's memories are ranked once
+    for all its routes, and only the first of them, as many as the largest top_k, meet the routes.
+    """
+    rank = F.row_number().over(Window.partitionBy("symbol", "layer").orderBy(F.col("importance").desc(), "id"))
+    source = memories.select("symbol", "layer", "id", "text", "importance").withColumn("rank", rank)
+    source = source.where(F.col("rank") <= routes.agg(F.max("top_k")).scalar()).select(F.col("symbol").alias("source_symbol"), "layer", "id", "text", "rank")
+    found = routes.join(source, ["source_symbol", "layer"]).where(F.col("rank") <= F.col("top_k"))
     sent = found.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("sent"))
     rows = routes.join(sent, "route_id", "left").withColumn("sent", F.coalesce("sent", F.array().cast("array<struct<rank:int,id:bigint,text:string>>")))
     lines = F.transform("sent", lambda x: F.concat(F.lit("- "), x["text"]))
     body = F.when(F.size("sent") > 0, F.array_join(lines, "\n")).otherwise("- No source memory returned.")
     head = F.format_string("Shared from %s to %s. Graph influence alpha=%.3f. Reason: %s", "source_symbol", "target_symbol", "alpha", "reason")
     rows = rows.withColumn("ids", F.transform("sent", lambda x: x["id"])).withColumn("text", F.concat(head, F.lit("\n"), body))
-    again = F.row_number().over(Window.partitionBy("source_symbol", "target_symbol", "ids").orderBy("date", "route_id")) > 1
-    return rows.withColumn("deduped", again).select("route_id", "date", "source_symbol", "target_symbol", "ids", "text", "deduped")
+    again = F.row_number().over(Window.partitionBy(*parties, "ids").orderBy("date", "route_id")) > 1
+    return rows.withColumn("deduped", again).select("route_id", "date", "source_symbol", "target_symbol", *(c for c in parties if c not in ("source_symbol", "target_symbol")), "ids", "text", "deduped")
 
 
 def section(title: str, items: Column) -> Column:
@@ -210,10 +215,15 @@ def momentum_sentence(momentum: Column) -> Column:
     return F.coalesce(*(F.when(momentum == sign, F.lit(text)) for sign, text in MOMENTUM.items()), F.lit(""))
 
 
-def with_placeholders(groups: DataFrame, memories: DataFrame) -> DataFrame:
-    """symbol, layer, ids and texts of each symbol in ``groups`` and layer, by importance: two placeholders (id -1) of an empty layer, a single memory twice."""
+def with_placeholders(groups: DataFrame, memories: DataFrame, k: int = 3) -> DataFrame:
+    """symbol, layer, ids and texts of the k most important memories of each symbol in ``groups`` and layer: two placeholders (id -1) of an empty layer, a single memory twice.
+
+    Memories are ranked to k before they are gathered; ties go to the smaller id.
+    """
     layers = groups.select("symbol").distinct().withColumn("layer", F.explode(F.array(*map(F.lit, LAYERS))))
-    found = memories.groupBy("symbol", "layer").agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("rank"), "id", "text"))).alias("items"))
+    rank = F.row_number().over(Window.partitionBy("symbol", "layer").orderBy(F.col("importance").desc(), "id"))
+    best = memories.select("symbol", "layer", "id", "text", rank.alias("rank")).where(F.col("rank") <= k)
+    found = best.groupBy("symbol", "layer").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("items"))
     rows = layers.join(found, ["symbol", "layer"], "left")
     out = []
     for column, missing in (("id", F.lit(-1).cast("long")), ("text", F.concat(F.lit("No "), "layer", F.lit("-term information.")))):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.store import distinct_on
-from . import asof
+from . import asof, segments
 
 
 def select_news(items: DataFrame, subjects: DataFrame, start: str, end: str, prefix: str, code: str, lang: str = "en", longer_than: int = 300) -> DataFrame:
@@ -34,8 +34,8 @@ def exact_dedup(items: DataFrame) -> DataFrame:
     return distinct_on(rows.withColumn("_clean", F.md5(T.clean_text(F.col("text")))), ("symbol", "_clean"), *oldest).drop("_body", "_head", "_clean")
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+def common_length(a: str, b: str, least: float = 0.0) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows; or some number below ``least`` if it is below that."""
     if len(a) < len(b):
         a, b = b, a
     places: dict[str, int] = {}
@@ -43,34 +43,55 @@ def common_length(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for c in b:
+    for j, c in enumerate(b):
         hit = row & places.get(c, 0)
         row = (row + hit | row - hit) & full
+        if j % 64 == 63 and len(a) - row.bit_count() + len(b) - j - 1 < least:  # even if all the rest were common
+            return 0
     return len(a) - row.bit_count()
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """Similarity 2 * LCS / total length; 0 where a side is missing."""
+def indel_ratio(a: Column, b: Column, above: float = 0.0) -> Column:
+    """Similarity 2 * LCS / total length; 0 where a side is missing. What is found to be under ``above`` may be told as 0."""
 
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([2 * common_length(s, t) / (len(s) + len(t)) if s and t else 0.0 for s, t in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([2 * common_length(s, t, above * (len(s) + len(t)) / 2 - 1e-6) / (len(s) + len(t)) if s and t else 0.0 for s, t in zip(x, y, strict=True)], dtype=float)
 
     return F.pandas_udf(ratio, "double")(a, b)
 
 
-def drop_near_previous(items: DataFrame, column: str, ratio: float, keys: tuple[str, ...] = ("symbol",), similarity: Column | None = None) -> DataFrame:
+#: Characters that are counted each on their own; all others are one class.
+COUNTED = " etaoinshrdlucmfwypvbgkjqxz"
+
+
+def character_counts(text: Column) -> Column:
+    """How often a text has each of the counted characters, and all others."""
+    n = F.length(text)
+    own = [n - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
+    return F.array(*own, n - sum(own[1:], own[0]))
+
+
+def common_at_most(a: Column, b: Column) -> Column:
+    """No common subsequence is longer than what two texts have of each class of characters."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+
+def drop_near_previous(items: DataFrame, column: str, ratio: float, keys: tuple[str, ...] = ("symbol",), similarity: Column | None = None, seconds: int = 30 * 86_400) -> DataFrame:
     """Drops a row that is more similar than ``ratio`` to the row before it in time, whether or not that one is dropped.
 
-    Pairs whose lengths alone rule it out never reach the similarity function.
+    A key's rows are taken in spans of so many seconds, each with the last row of those before it, so a key with most of
+    the rows is many tasks. Pairs whose lengths, or whose counts of characters, rule it out never reach the similarity
+    function. Rows of one time go by event_id. Null texts and times, and first rows, stay.
     """
-    w = Window.partitionBy(*keys).orderBy("published_at", "event_id")
-    rows = items.withColumn("_before", F.lag(column).over(w))
+    rows = items.withColumn("_own", F.struct(F.col(column).alias("text"), character_counts(F.col(column)).alias("counts"))).withColumn("segment", segments.span("published_at", seconds))
+    rows = segments.previous(rows, keys, ("published_at", "event_id"), "_own", "_last").withColumn("_before", F.col("_last.text"))
     n, m = F.length(column), F.length("_before")
-    close = F.coalesce(2 * F.least(n, m) > ratio * (n + m), F.lit(False))
+    may = (2 * F.least(n, m) > ratio * (n + m)) & (F.lit(True) if similarity is not None else 2 * common_at_most(F.col("_own.counts"), F.col("_last.counts")) > ratio * (n + m))
+    rows = rows.withColumn("_close", F.coalesce(may, F.lit(False)))
     # other rows pass no text to the function
-    own, other = F.when(close, F.col(column)), F.when(close, F.col("_before"))
-    alike = indel_ratio(own, other) if similarity is None else similarity
-    return rows.withColumn("_alike", alike).where(~close | (F.coalesce("_alike", F.lit(0.0)) <= ratio)).drop("_before", "_alike")
+    own, other = F.when(F.col("_close"), F.col(column)), F.when(F.col("_close"), F.col("_before"))
+    alike = indel_ratio(own, other, ratio) if similarity is None else similarity
+    return rows.withColumn("_alike", alike).where(~F.col("_close") | (F.coalesce("_alike", F.lit(0.0)) <= ratio)).select(*items.columns)
 
 
 def levenshtein_similarity(column: str) -> Column:
@@ -78,6 +99,12 @@ def levenshtein_similarity(column: str) -> Column:
     return 1 - F.levenshtein(column, "_before") / F.greatest(F.length(column), F.length("_before"), F.lit(1))
 
 
+def ids_by_day(items: DataFrame, date: Column) -> DataFrame:
+    """Ids of each (date, symbol) in time order; the texts stay where they are."""
+    rows = items.groupBy(date.alias("date"), "symbol").agg(F.array_sort(F.collect_list(F.struct("published_at", "event_id"))).alias("items"))
+    return rows.select("date", "symbol", F.transform("items", lambda x: x["event_id"]).alias("ids"))
+
+
 def by_day(items: DataFrame, date: Column) -> DataFrame:
     """Texts of each (date, symbol) in time order."""
     rows = items.groupBy(date.alias("date"), "symbol").agg(F.array_sort(F.collect_list(F.struct("published_at", "event_id", "text"))).alias("items"))
@@ -86,7 +113,7 @@ def by_day(items: DataFrame, date: Column) -> DataFrame:
 
 def env_panel(bars: DataFrame, items: DataFrame, filings: DataFrame) -> DataFrame:
     """One row for each (date, symbol) with a price: close, news of the day (none: an empty list), the last 10-K and 10-Q of the day."""
-    day_news = by_day(items, F.col("published_at").cast("date"))
+    day_news = ids_by_day(items, F.col("published_at").cast("date"))
     last = filings.groupBy(F.col("filing_date").alias("date"), "symbol").agg(
         F.max_by(F.when(F.col("filing_type") == "10-K", F.col("filing_id")), F.struct(F.col("filing_type") == "10-K", "available_at", "filing_id")).alias("filing_k"),
         F.max_by(F.when(F.col("filing_type") == "10-Q", F.col("filing_id")), F.struct(F.col("filing_type") == "10-Q", "available_at", "filing_id")).alias("filing_q"),

@@ -45,6 +45,14 @@ def last_known(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], *
     return filled.withColumns({c: F.coalesce(c, f"{BEFORE}_{c}") for c in known}).drop(*(f"{BEFORE}_{c}" for c in known))
 
 
+def previous(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], known: str, into: str) -> DataFrame:
+    """Adds the column of the row before, in the key's order; null for the first. rows: keys, ``segment``, order and known."""
+    within = Window.partitionBy(*keys, "segment").orderBy(*order)
+    ends = rows.groupBy(*keys, "segment").agg(F.max_by(F.struct(F.col(known).alias("last")), F.struct(*order)).alias("end"))
+    filled = _with_carry(rows.withColumns({into: F.lag(known).over(within), "_nth": F.row_number().over(within)}), _carry(ends, keys, {"end": F.last("end", True)}), keys)
+    return filled.withColumn(into, F.when(F.col("_nth") > 1, F.col(into)).otherwise(F.col(f"{BEFORE}_end")["last"])).drop("_nth", f"{BEFORE}_end")
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_time: str, right_time: str, seconds: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """Each row of ``left`` with ``found``: the columns of the last row of ``right`` (a struct) with its keys whose time isn't later.
 

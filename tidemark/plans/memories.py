@@ -294,14 +294,15 @@ def momentum_note(spark, sf_dir):
 
 @query(
     """WITH g AS (SELECT DISTINCT symbol FROM memories), l AS (SELECT symbol, unnest(['short', 'mid', 'long', 'reflection']) AS layer FROM g),
-m AS (SELECT symbol, layer, list(id ORDER BY importance DESC, id) AS ids FROM memories WHERE importance >= 93 GROUP BY symbol, layer),
+k AS (SELECT symbol, layer, id, importance, row_number() OVER (PARTITION BY symbol, layer ORDER BY importance DESC, id) AS k FROM memories),
+m AS (SELECT symbol, layer, list(id ORDER BY importance DESC, id) AS ids FROM k WHERE k <= 3 GROUP BY symbol, layer),
 p AS (SELECT l.symbol, l.layer, CASE WHEN ids IS NULL THEN [-1, -1] WHEN len(ids) = 1 THEN [ids[1], ids[1]] ELSE ids END AS ids FROM l LEFT JOIN m ON l.symbol = m.symbol AND l.layer = m.layer)
 SELECT symbol, layer, array_to_string(ids, ',') AS ids, array_to_string(list_transform(ids, lambda x: CASE WHEN x = -1 THEN concat('No ', layer, '-term information.') ELSE concat('memory ', x) END), '|') AS texts FROM p""",
     "memories",
 )
 def memory_placeholders(spark, sf_dir):
     rows = view(spark, sf_dir, "memories").withColumn("text", F.concat(F.lit("memory "), F.col("id").cast("string")))
-    return memory.with_placeholders(rows, rows.where("importance >= 93")).select("symbol", "layer", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join("texts", "|").alias("texts"))
+    return memory.with_placeholders(rows, rows).select("symbol", "layer", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join("texts", "|").alias("texts"))
 
 
 @query("SELECT event_id, created_at, ttl_days FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS created_at, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 7 AS INTEGER) END AS ttl_days FROM events) WHERE ttl_days IS NULL OR created_at IS NULL OR DATE '2024-01-15' <= created_at + ttl_days")

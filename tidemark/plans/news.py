@@ -54,18 +54,15 @@ def news_near_dup(spark, sf_dir):
     return kept.select("event_id", "symbol", "published_at")
 
 
-@query(
-    """WITH a AS (SELECT * FROM news WHERE strlen(headline) = length(headline)), w AS (SELECT *, lag(headline) OVER (PARTITION BY lang ORDER BY published_at, event_id) AS before FROM a)
-SELECT event_id, symbol FROM w WHERE NOT coalesce(2 * least(length(headline), length(before)) > 0.3 * (length(headline) + length(before)) AND 1 - levenshtein(headline, before) / greatest(length(headline), length(before), 1)::DOUBLE > 0.3, false)""",
-    "news",
-)
+@query()
 def news_near_dup_levenshtein(spark, sf_dir):
-    return _near_dup_levenshtein(view(spark, sf_dir, "news").where("octet_length(headline) = length(headline)"))
+    """Every headline (no SQL: DuckDB's edits are of bytes; compared with plain Python)."""
+    return _near_dup_levenshtein(view(spark, sf_dir, "news"))
 
 
 @query()
 def news_near_dup_levenshtein_all(spark, sf_dir):
-    return _near_dup_levenshtein(view(spark, sf_dir, "news"))
+    return news_near_dup_levenshtein(spark, sf_dir)
 
 
 def _near_dup_levenshtein(items):
@@ -129,14 +126,17 @@ def summary_prefix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.summary_prefix(F.col("text")).alias("summary"))
 
 
-@query("SELECT doc_id, round(length(text) / 1000e0, 6) AS x, round((list_sum(list_transform(string_split(text, ''), lambda c: ascii(c))) % 997) / 997e0, 6) AS y, round((length(text) - length(replace(text, chr(10), ''))) / 100e0, 6) AS z FROM documents WHERE strlen(text) = length(text)")
+EMBEDDING3 = "SELECT doc_id, round(length(text) / 1000e0, 6) AS x, round((coalesce(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))), 0) % 997) / 997e0, 6) AS y, round((length(text) - length(replace(text, chr(10), ''))) / 100e0, 6) AS z FROM documents"
+
+
+@query(EMBEDDING3)
 def text_embedding3(spark, sf_dir):
-    return _text_embedding3(table(spark, sf_dir, "documents").where("octet_length(text) = length(text)"))
+    return _text_embedding3(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(EMBEDDING3)
 def text_embedding3_all(spark, sf_dir):
-    return _text_embedding3(table(spark, sf_dir, "documents"))
+    return text_embedding3(spark, sf_dir)
 
 
 def _text_embedding3(rows):
