@@ -355,3 +355,13 @@ def test_news_near_dup_by_brute_force(spark):
         rows = kept
     got = plans.queries()["news_near_dup"](spark, DATA).select("event_id").collect()
     assert sorted(r.event_id for r in got) == sorted(r["event_id"] for r in rows) and rows
+
+
+def test_shares_are_between_agents(spark):
+    """Two agents that send one symbol's memories to the same symbol each share for the first time; the day after, both again."""
+    schema = "route_id string, date string, source_symbol string, target_symbol string, source_agent_id string, target_agent_id string, alpha double, reason string, layer string, top_k int"
+    routes = spark.createDataFrame([(f"{a}{d}", f"2026-01-0{d}", "S", "T", a, "z", 0.5, "r", "short", k) for a, k in (("x", 1), ("y", 2)) for d in (1, 2)] + [("none", "2026-01-01", "Q", "T", "x", "z", 0.5, "r", "short", 5)], schema)
+    memories = spark.createDataFrame([(k, "S", "short", float(k % 3), f"m{k}") for k in range(6)], "id long, symbol string, layer string, importance double, text string")
+    found = {r.route_id: (r.ids, r.deduped) for r in memory.share(routes, memories, ("source_agent_id", "target_agent_id")).collect()}
+    assert found == {"x1": ([2], False), "x2": ([2], True), "y1": ([2, 5], False), "y2": ([2, 5], True), "none": ([], False)}
+    assert sum(r.deduped for r in memory.share(routes, memories).collect()) == 2

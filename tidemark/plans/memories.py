@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import memory, returns
+from ..operators import memory, returns, rules, shadow
 from ..sources import store
 from ..streaming.sinks import shared_folder
+from .market import PANEL, RETURNS, SHADOW, SIGNALS, shadows_of
 from .registry import query
 from .views import table, view
 
@@ -287,6 +288,59 @@ def agent_context(spark, sf_dir):
     return memory.context(agents, rows, 2, shared)
 
 
+_FIELD = "printf('%.4f', {0})"
+_STATE_SQL = f"""st AS (SELECT agent_id, replace(symbol, 'U', 'L') AS symbol, date, round(value, 4) AS value, round(roi, 4) AS roi, round(sharpe, 4) AS sharpe, round(drawdown, 4) AS drawdown, round(win_rate, 4) AS win_rate
+       FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, symbol ORDER BY date DESC) AS k FROM shadow) WHERE k = 1 AND replace(symbol, 'U', 'L') IN (SELECT symbol FROM memories)),
+ps AS (SELECT *, roi <= -0.03 AS f1, drawdown <= -0.08 AS f2, win_rate <= 0.45 AND (roi < 0 OR drawdown < 0) AS f3, roi >= 0.05 AND drawdown >= -0.03 AND win_rate >= 0.55 AS g FROM st),
+said AS (SELECT *, CASE WHEN f1 OR f2 OR f3 THEN 'fear' WHEN g THEN 'greed' ELSE 'neutral' END AS state, CASE WHEN f1 OR f2 OR f3 THEN 'risk_averse' WHEN g THEN 'risk_seeking' ELSE 'balanced' END AS attitude,
+       CASE WHEN f1 OR f2 OR f3 THEN concat_ws('; ', CASE WHEN f1 THEN printf('ROI %.4f is below fear threshold', roi) END, CASE WHEN f2 THEN printf('drawdown %.4f is beyond fear threshold', drawdown) END, CASE WHEN f3 THEN printf('win rate %.4f is weak', win_rate) END)
+            WHEN g THEN printf('ROI %.4f is above greed threshold; drawdown %.4f is controlled; win rate %.4f is strong', roi, drawdown, win_rate) ELSE 'Shadow metrics do not show a strong greed or fear regime.' END AS reason FROM ps)"""
+
+
+@query(
+    f"""WITH {PANEL}, {SIGNALS}, {RETURNS}, {SHADOW}, {_STATE_SQL},
+m AS (SELECT id, symbol, layer, row_number() OVER (PARTITION BY symbol, layer ORDER BY importance DESC, id) AS k FROM memories),
+t AS (SELECT symbol, layer, string_agg(concat('- memory ', id), chr(10) ORDER BY k) AS body FROM m WHERE k <= 2 GROUP BY symbol, layer),
+o AS (SELECT *, lag(agent_id) OVER (PARTITION BY symbol ORDER BY agent_id) AS source, lag(roi) OVER (PARTITION BY symbol ORDER BY agent_id) AS source_roi, lag(date) OVER (PARTITION BY symbol ORDER BY agent_id) AS source_date FROM said),
+live AS (SELECT *, round(least(1, abs(source_roi)), 3) AS alpha FROM o WHERE source IS NOT NULL AND DATE '2024-01-30' <= source_date + 3),
+sent AS (SELECT agent_id, concat('- From ', source, ' (', l.symbol, ') alpha=', printf('%.3f', alpha), ': Shared from ', l.symbol, ' to ', l.symbol, '. Graph influence alpha=', printf('%.3f', alpha), '. Reason: ', source, ' is ', attitude, chr(10), coalesce(t.body, '- No source memory returned.')) AS line, l.symbol
+         FROM live l LEFT JOIN t ON t.symbol = l.symbol AND t.layer = 'short'),
+s AS (SELECT agent_id, string_agg(line, chr(10) ORDER BY symbol) AS body FROM sent GROUP BY agent_id),
+d AS (SELECT agent_id, replace(symbol, 'U', 'L') AS symbol, max_by(decision, date) AS decision FROM decisions GROUP BY 1, 2)
+SELECT a.agent_id, a.symbol, a.date, concat('Agent: ', a.agent_id, chr(10), chr(10), 'Symbol: ', a.symbol, chr(10), chr(10), 'Date: ', CAST(a.date AS STRING), chr(10), chr(10), 'Latest decision reason:', chr(10), 'last was ', decision, chr(10), chr(10),
+       'Short memory:', chr(10), coalesce(t1.body, 'None.'), chr(10), chr(10), 'Mid memory:', chr(10), coalesce(t2.body, 'None.'), chr(10), chr(10),
+       'Long memory:', chr(10), coalesce(t3.body, 'None.'), chr(10), chr(10), 'Reflection memory:', chr(10), coalesce(t4.body, 'None.'), chr(10), chr(10), 'Shared context:', chr(10), coalesce(s.body, 'None.'), chr(10), chr(10),
+       'Shadow state:', chr(10), '{{', chr(10), '  "drawdown": ', {_FIELD.format("drawdown")}, ',', chr(10), '  "roi": ', {_FIELD.format("roi")}, ',', chr(10), '  "sharpe": ', {_FIELD.format("sharpe")}, ',', chr(10), '  "value": ', {_FIELD.format("value")}, ',', chr(10), '  "win_rate": ', {_FIELD.format("win_rate")}, chr(10), '}}', chr(10), chr(10),
+       'Psychology state:', chr(10), '{{', chr(10), '  "reason": "', reason, '",', chr(10), '  "risk_attitude": "', attitude, '",', chr(10), '  "state": "', state, '"', chr(10), '}}') AS context
+FROM said a JOIN d USING (agent_id, symbol) LEFT JOIN t t1 ON t1.symbol = a.symbol AND t1.layer = 'short' LEFT JOIN t t2 ON t2.symbol = a.symbol AND t2.layer = 'mid'
+LEFT JOIN t t3 ON t3.symbol = a.symbol AND t3.layer = 'long' LEFT JOIN t t4 ON t4.symbol = a.symbol AND t4.layer = 'reflection' LEFT JOIN s ON s.agent_id = a.agent_id""",
+    "bars decisions memories",
+)
+def agent_context_state(spark, sf_dir):
+    """Contexts from what is known of the agents: their last shadow states, the psychology on them, and live shares of memories.
+
+    An agent gets the short memories of its symbols from the agent before it, weighted by that one's return, for three days.
+    """
+    rows = view(spark, sf_dir, "memories").withColumn("text", F.concat(F.lit("memory "), F.col("id").cast("string")))
+    renamed = F.replace("symbol", F.lit("U"), F.lit("L")).alias("symbol")
+    figures = ("value", "roi", "sharpe", "drawdown", "win_rate")
+    states = shadow.latest(shadows_of(spark, sf_dir), "agent_id", "symbol").select("agent_id", renamed, "date", *(F.round(c, 4).alias(c) for c in figures))
+    states = rules.psychology(states.join(rows.select("symbol").distinct(), "symbol", "left_semi"))
+    decided = view(spark, sf_dir, "decisions").groupBy("agent_id", renamed).agg(F.concat(F.lit("last was "), F.max_by("decision", "date")).alias("latest_reason"))
+    agents = states.join(decided, ["agent_id", "symbol"]).select(
+        "agent_id", "symbol", "date", "latest_reason",
+        memory.structured("Shadow state", {c: F.format_string("%.4f", c) for c in figures}).alias("shadow_state"),
+        memory.structured("Psychology state", {c: memory.quoted(F.col(c)) for c in ("state", "risk_attitude", "reason")}).alias("psychology_state"),
+    )
+    before = Window.partitionBy("symbol").orderBy("agent_id")
+    routes = states.select(F.col("agent_id").alias("target_agent_id"), F.lag("agent_id").over(before).alias("source_agent_id"), F.lag("roi").over(before).alias("source_roi"), F.lag("date").over(before).alias("created_at"), "symbol", "risk_attitude").where("source_agent_id is not null")
+    routes = memory.live_context(routes.withColumn("ttl_days", F.lit(3)), F.lit("2024-01-30").cast("date"))
+    told = F.concat("source_agent_id", F.lit(" is "), "risk_attitude").alias("reason")
+    routes = routes.select(F.concat_ws("|", "target_agent_id", "symbol").alias("route_id"), F.col("created_at").alias("date"), F.col("symbol").alias("source_symbol"), F.col("symbol").alias("target_symbol"), "source_agent_id", "target_agent_id", F.round(F.least(F.lit(1.0), F.abs("source_roi")), 3).alias("alpha"), told, F.lit("short").alias("layer"), F.lit(2).alias("top_k"))
+    sent = memory.share(routes, rows, ("source_agent_id", "target_agent_id")).join(routes.select("route_id", F.format_string("%.3f", "alpha").alias("alpha")), "route_id")
+    return memory.context(agents, rows, 2, sent.withColumn("position", F.col("source_symbol")))
+
+
 @query("SELECT symbol, seen_at, momentum, CASE momentum WHEN -1 THEN 'The cumulative return of past 3 days for this stock is negative.' WHEN 0 THEN 'The cumulative return of past 3 days for this stock is zero.' WHEN 1 THEN 'The cumulative return of past 3 days for this stock is positive.' ELSE '' END AS note FROM (SELECT symbol, date AS seen_at, CAST(sign(close - lag(close, 3) OVER (PARTITION BY symbol ORDER BY date)) AS INTEGER) AS momentum FROM bars)", "bars")
 def momentum_note(spark, sf_dir):
     return returns.momentum(view(spark, sf_dir, "bars")).select("symbol", "seen_at", "momentum", memory.momentum_sentence(F.col("momentum")).alias("note"))
