@@ -229,9 +229,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds
     weight = narrow(members.groupBy("cid").agg(F.sum("members").alias("weight")), size)
     members = narrow(members.join(weight, "cid").select("key", "cid", "weight"), size).checkpoint()
     near = narrow(members.select("cid").distinct(), size).join(classes, "cid")
-    facts = written(near.select("cid", "n", "registers"))  # of candidates only, as their texts
-    # as many tasks as the scan has: fewer would read the whole table in them, however few candidates there are
-    texts = written(texts.join(near.select("cid", F.col("rep").alias("doc_id")), "doc_id").select("cid", "text"))
+    files = max(2, size // 50_000)
+    facts = written(near.select("cid", "n", "registers").repartition(files))  # of candidates only, as their texts
+    # dealt anew after the join, as fewer tasks above it would read the whole table in them, however few candidates there are
+    texts = written(texts.join(near.select("cid", F.col("rep").alias("doc_id")), "doc_id").select("cid", "text").repartition(files))
 
     edges, labels, now = None, None, members
     for k in range(rounds):
