@@ -2,16 +2,15 @@
 
 import datetime as dt
 import math
-import time
 
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
 from tidemark.functions import decisions, text
-from tidemark.operators import asof, classifier, evaluate, graph, memory, news, portfolio, returns, rules, shadow
+from tidemark.operators import asof, classifier, evaluate, graph, memory, neighbours, news, portfolio, returns, rules, shadow
 from tidemark.sources import event_log, store, tables
-from tidemark.streaming import feeds, sinks
+from tidemark.streaming import feeds
 
 D1, D2, D3 = dt.date(2026, 1, 2), dt.date(2026, 1, 3), dt.date(2026, 1, 4)
 
@@ -142,7 +141,7 @@ def test_prefiltered_search_answers_every_block(spark, monkeypatch):
     queries = vectors.where("id % 6 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"), F.when(F.col("id") % 4 == 0, D1).otherwise(D3).alias("as_of"))
     whole = sorted(memory.search_as_of(queries, vectors, metadata, 4, prefilter=True).collect())
     assert len(whole) == 40 and all(r["id"] % 2 == 0 for r in whole if r["query_id"] % 4 == 0)
-    monkeypatch.setattr(memory.neighbours, "QUERIES", 3)
+    monkeypatch.setattr(neighbours, "QUERIES", 3)
     assert sorted(memory.search_as_of(queries, vectors, metadata, 4, prefilter=True).collect()) == whole
 
 
