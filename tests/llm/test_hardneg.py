@@ -2,7 +2,6 @@
 
 import math
 import random
-from collections import defaultdict
 
 import numpy as np
 import pytest
