@@ -492,23 +492,3 @@ def test_quality_is_the_size_difference(spark):
 
 def test_hash_of_words_is_stable():
     assert hashlib.sha256(" ".join(words("a\tb\x0bc  d")).encode()).hexdigest() == hashlib.sha256(b"a b c d").hexdigest()
-
-
-def test_few_near_copies_leave_the_scan_its_tasks(spark, monkeypatch):
-    """Nothing above the join with the table's texts lowers the number of tasks that read it, also where one pair alone is near."""
-    from tidemark.llm import minhash
-
-    seen, real = [], minhash.written
-
-    def written(df):
-        if "text" in df.columns:
-            seen.append(df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0])
-        return real(df)
-
-    monkeypatch.setattr(minhash, "written", written)
-    text = " ".join(f"w{k}" for k in range(80))
-    rows = [(k, " ".join(f"d{k}x{j}" for j in range(30)), "x") for k in range(60)] + [(100, text, "x"), (101, text + " more", "x")]
-    docs = spark.sparkContext.parallelize(rows, 7).toDF("doc_id long, text string, source string")
-    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
-    assert found == {r[0]: 100 if r[0] >= 100 else r[0] for r in rows}
-    assert seen and not any("Repartition 2, false" in x or "Coalesce" in x for x in seen)  # a shuffle is "true", a coalesce "false"
