@@ -56,7 +56,7 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows))
         for number, part in frame.groupby(frame["ms"] // self.slot):
-            old = self.pending.getValue((int(number),)) if self.pending.containsKey((int(number),)) else None
+            old = self.pending.getValue((int(number),))
             both = part if old is None else pd.concat([pickle.loads(old[0]), part])
             self.pending.updateValue((int(number),), (pickle.dumps(both),))
             if old is None:
@@ -86,7 +86,7 @@ class Shadow(InOrder):
 
     def release(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         step = rows["step"].to_numpy(float)
-        value, peak, fall, n, base, total, squares, wins = self.sums.get() if self.sums.exists() else (self.initial, -np.inf, np.inf, 0, float(step[0]), 0.0, 0.0, 0)
+        value, peak, fall, n, base, total, squares, wins = self.sums.get() or (self.initial, -np.inf, np.inf, 0, float(step[0]), 0.0, 0.0, 0)
         values = value * np.cumprod(1 + step)
         peaks = np.maximum(np.maximum.accumulate(values), peak)
         falls = np.minimum(np.minimum.accumulate(np.where(peaks > 0, values / np.where(peaks > 0, peaks, 1.0) - 1, 0.0)), fall)
@@ -133,7 +133,7 @@ class FirstShares(InOrder):
 
     def release(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["memory_ids"].tolist()
-        known = {x: self.seen.getValue((x,))[0] for x in set(ids) if self.seen.containsKey((x,))}
+        known = {x: until[0] for x in set(ids) if (until := self.seen.getValue((x,)))}
         marks = []
         for memory_ids, at in zip(ids, rows["ms"].tolist(), strict=True):
             marks.append(known.get(memory_ids, -1) > at)
