@@ -62,7 +62,7 @@ SELECT agent_id, symbol, n, round(value, 4) AS value, round(value / 100 - 1, 6)
 )
 def stream_shadow(spark, sf_dir):
     steps = replayed_events(spark, sf_dir, F.concat(F.lit("agent_"), "event_type").alias("agent_id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), ((F.col("value") - 50) / 1000).alias("step"))
-    rows = sinks.drain(ordered.running_shadow(steps).where("agent_id is not null"))
+    rows = sinks.drain(ordered.running_shadow(steps, "31 days").where("agent_id is not null"))
     return rows.select("agent_id", "symbol", "n", F.round("value", 4).alias("value"), *(F.round(c, 6).alias(c) for c in ("roi", "rolling_return", "sharpe", "drawdown", "win_rate")))
 
 
