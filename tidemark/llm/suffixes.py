@@ -36,7 +36,7 @@ class Suffixes(Windows):
         grams, reach = gram_hashes(self.hashed, gram), length - gram + 1
         span = 1
         while span * 2 <= reach:  # smallest of the next ``span`` grams
-            grams = np.minimum(grams[: len(grams) - span], grams[span:])
+            grams = np.minimum(grams[: max(0, len(grams) - span)], grams[span:])
             span *= 2
         self.starts_with = mix(np.minimum(grams[self.at], grams[self.at + reach - span])) if len(self.at) else np.zeros(0, np.uint64)  # smallest hashes, spread over all buckets again
         order = np.argsort(self.starts_with, kind="stable")
