@@ -42,7 +42,7 @@ def test_actions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PANEL}, {SIGNALS}, {RETURNS}, {SHADOW}, s AS (SELECT agent_id, symbol, date, round(roi, 4) AS roi, round(drawdown, 4) AS drawdown, round(win_rate, 4) AS win_rate FROM shadow),
+    f"""WITH {PANEL}, {SIGNALS}, {RETURNS}, {SHADOW}, s AS (SELECT agent_id, symbol, date, {", ".join(f"coalesce(CAST(round(TRY_CAST({c} AS DECIMAL(38, 9)), 4) AS DOUBLE), round({c}, 4)) AS {c}" for c in ("roi", "drawdown", "win_rate"))} FROM shadow),
 f AS (SELECT *, roi <= -0.03 AS f1, drawdown <= -0.08 AS f2, win_rate <= 0.45 AND (roi < 0 OR drawdown < 0) AS f3, roi >= 0.05 AND drawdown >= -0.03 AND win_rate >= 0.55 AS g FROM s)
 SELECT agent_id, symbol, date, CASE WHEN f1 OR f2 OR f3 THEN 'fear' WHEN g THEN 'greed' ELSE 'neutral' END AS state, CASE WHEN f1 OR f2 OR f3 THEN 'risk_averse' WHEN g THEN 'risk_seeking' ELSE 'balanced' END AS risk_attitude,
        CASE WHEN f1 OR f2 OR f3 THEN concat_ws('; ', CASE WHEN f1 THEN printf('ROI %.4f is below fear threshold', roi) END, CASE WHEN f2 THEN printf('drawdown %.4f is beyond fear threshold', drawdown) END, CASE WHEN f3 THEN printf('win rate %.4f is weak', win_rate) END)
@@ -50,7 +50,9 @@ SELECT agent_id, symbol, date, CASE WHEN f1 OR f2 OR f3 THEN 'fear' WHEN g THEN
     "bars decisions",
 )
 def psychology_state(spark, sf_dir):
-    states = shadows_of(spark, sf_dir).select("agent_id", "symbol", "date", *(F.round(c, 4).alias(c) for c in ("roi", "drawdown", "win_rate")))
+    """Metrics are taken to 9 decimals and then, as decimals, half up to 4, so that the last bits of a product don't decide about a half."""
+    places = lambda c: F.coalesce(F.round(F.col(c).try_cast("decimal(38, 9)"), 4).cast("double"), F.round(c, 4))
+    states = shadows_of(spark, sf_dir).select("agent_id", "symbol", "date", *(places(c).alias(c) for c in ("roi", "drawdown", "win_rate")))
     return rules.psychology(states).select("agent_id", "symbol", "date", "state", "risk_attitude", "reason")
 
 
