@@ -64,10 +64,16 @@ def _growth(weighted: DataFrame) -> DataFrame:
     return rows.groupBy("portfolio", "date").agg(F.sum("grown").alias("grown"), F.sum("before").alias("before"), F.sum("weight").alias("total"), F.count_if(F.col("weight") > 0).alias("n_positions"))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b; by 0 no number."""
+    return F.when(b == 0, float("nan")).otherwise(F.try_divide(a, b))
+
+
 def _report(days: DataFrame) -> DataFrame:
+    """Adds daily_return and drawdown; after a date without equity the return is no number."""
     w = Window.partitionBy("portfolio").orderBy("date")
     peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fall = days.withColumn("daily_return", F.col("equity") / F.lag("equity").over(w) - 1).withColumn("fall", F.col("equity") / peak - 1)
+    fall = days.withColumn("daily_return", quotient(F.col("equity"), F.lag("equity").over(w)) - 1).withColumn("fall", F.col("equity") / peak - 1)
     return fall.withColumn("drawdown", F.min("fall").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fall")
 
 
@@ -97,6 +103,8 @@ def master_portfolio_cost(weighted: DataFrame, cost: float, initial: float = 100
     """As ``master_portfolio`` with a fixed cost at each rebalance, taken from cash that never falls below 0.
 
     The floor makes each date depend on the last, so a portfolio's dates (not its symbols) are folded in order in one group.
+    A portfolio that can't pay the cost loses its cash, and what isn't invested then is lost too, until its equity is 0; what
+    is relative to that is no number.
     """
 
     def fold(days: pd.DataFrame) -> pd.DataFrame:

@@ -38,7 +38,7 @@ def weighted_of(spark, sf_dir):
 
 
 def reported(df):
-    return df.select("portfolio", "date", F.round(F.ln("equity"), 6).alias("log_equity"), F.round(F.col("cash") / F.col("equity"), 6).alias("cash_weight"), "n_positions", F.round("daily_return", 6).alias("daily_return"), F.round("drawdown", 6).alias("drawdown"))
+    return df.select("portfolio", "date", F.when(F.col("equity") == 0, float("-inf")).otherwise(F.round(F.ln("equity"), 6)).alias("log_equity"), F.round(portfolio.quotient(F.col("cash"), F.col("equity")), 6).alias("cash_weight"), "n_positions", F.round("daily_return", 6).alias("daily_return"), F.round("drawdown", 6).alias("drawdown"))
 
 
 @query(
