@@ -80,3 +80,13 @@ def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
     run.awaitTermination()
     assert ordered.late_rows(run) == 1
     assert sorted(r.agent_id for r in spark.read.parquet(f"{tmp_path}/out").where("agent_id is not null").collect()) == ["a", "a", "b", "b"]
+
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_long_tables_in_many_files_lose_no_rows(spark, tmp_path, per_batch):
+    """A replayed range may be many files, in any order of time; ranges are no longer than the delay."""
+    rows = [(f"o{k % 7}", f"i{k}", DAY(1) + dt.timedelta(days=k * 17 % 50 + 3), DAY(1) + dt.timedelta(hours=(k * 5) % 960)) for k in range(240)]
+    df = spark.createDataFrame(rows, "owner string, item_id string, until timestamp, ts timestamp").repartition(3, "item_id")
+    ordered.replay(df, f"{tmp_path}/in", ordered.spans(df, "20 days"))
+    found = sinks.drain(ordered.expiring_context(ordered.replayed(spark, f"{tmp_path}/in", df.schema, per_batch), "20 days").where("owner is not null")).collect()
+    assert sorted((r.owner, r.item_id, r.event, r["at"]) for r in found) == sorted([(o, i, "added", ts) for o, i, _, ts in rows] + [(o, i, "expired", until) for o, i, until, _ in rows])

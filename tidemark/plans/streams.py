@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from ..operators import memory
@@ -40,16 +38,16 @@ def stream_replace(spark, sf_dir):
     return feeds.feed_snapshot(spark, path, run.lastProgress["batchId"], rows.schema)
 
 
-#: Where the tests' month of events is cut into files for a stream.
-CUTS = [datetime(2024, 1, 16)]
+#: How far the rows of a replayed file may be behind the newest, and files of a micro-batch.
+DELAY, FILES = "31 days", 16
 
 
 def replayed_events(spark, sf_dir, *columns):
     """Columns of the event table, written in the order of their times, as a stream."""
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", *columns)
     path = ordered.stream_folder(spark)
-    ordered.replay(rows, path, CUTS)
-    return ordered.replayed(spark, path, rows.schema)
+    ordered.replay(rows, path, ordered.spans(rows, DELAY))
+    return ordered.replayed(spark, path, rows.schema, FILES)
 
 
 @query(
@@ -62,7 +60,7 @@ SELECT agent_id, symbol, n, round(value, 4) AS value, round(value / 100 - 1, 6)
 )
 def stream_shadow(spark, sf_dir):
     steps = replayed_events(spark, sf_dir, F.concat(F.lit("agent_"), "event_type").alias("agent_id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), ((F.col("value") - 50) / 1000).alias("step"))
-    rows = sinks.drain(ordered.running_shadow(steps, "31 days").where("agent_id is not null"))
+    rows = sinks.drain(ordered.running_shadow(steps, DELAY).where("agent_id is not null"))
     return rows.select("agent_id", "symbol", "n", F.round("value", 4).alias("value"), *(F.round(c, 6).alias(c) for c in ("roi", "rolling_return", "sharpe", "drawdown", "win_rate")))
 
 
@@ -75,7 +73,7 @@ SELECT route_id, source_agent_id, target_agent_id, NOT (k.ms IS NOT NULL AND row
 def stream_share_dedup(spark, sf_dir):
     ids = F.array(F.col("event_id") % 3, F.col("event_id") % 5).alias("memory_ids")
     routes = replayed_events(spark, sf_dir, F.col("event_id").cast("string").alias("route_id"), F.col("event_type").alias("source_agent_id"), F.concat(F.lit("agent_"), (F.col("user_id") % 10).cast("string")).alias("target_agent_id"), ids)
-    return sinks.drain(ordered.first_shares(routes, "3 days").where("source_agent_id is not null")).drop("ts")
+    return sinks.drain(ordered.first_shares(routes, "3 days", DELAY).where("source_agent_id is not null")).drop("ts")
 
 
 @query(
@@ -86,7 +84,7 @@ def stream_context_expiry(spark, sf_dir):
     """Items live through the day that is event_id % 7 days after their own; those of 0 for ever."""
     until = F.when(F.col("event_id") % 7 != 0, F.date_add(F.to_date("ts"), (F.col("event_id") % 7 + 1).cast("int")).cast("timestamp")).alias("until")
     items = replayed_events(spark, sf_dir, F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("owner"), F.col("event_id").cast("string").alias("item_id"), until)
-    return sinks.drain(ordered.expiring_context(items).where("owner is not null")).select("owner", "item_id", "event", F.unix_millis("at").alias("at_ms"))
+    return sinks.drain(ordered.expiring_context(items, DELAY).where("owner is not null")).select("owner", "item_id", "event", F.unix_millis("at").alias("at_ms"))
 
 
 @query("SELECT event_id, user_id, created_at, ttl_days FROM (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS created_at, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 7 AS INTEGER) END AS ttl_days FROM events) WHERE ttl_days IS NULL OR created_at IS NULL OR DATE '2024-01-28' <= created_at + ttl_days")
