@@ -1,14 +1,15 @@
 """Exact nearest vectors by products of matrix blocks.
 
-Queries and vectors are packed into blocks by the tasks that read them. A block of queries goes to every part of the
-vectors, and a part's task meets its blocks one by one, keeping k rows for each query; so the vectors are read once,
-however many queries there are. A block is skipped for the queries that its bound rules out: by the angle to its middle
+Queries and vectors are packed into blocks by the tasks that read them. Blocks of queries are dealt into lots that a task
+can hold; a lot goes to every part of the vectors, where its blocks come first and then meet the part's blocks one by one,
+keeping k rows for each query. So the vectors are read once for each lot, and a task holds a lot and one block. A block is skipped for the queries that its bound rules out: by the angle to its middle
 direction for the cosine, by its lengths for the distance. Matrix products choose candidates with a margin; their scores
 are then summed component by component, in the same order for every pair, so equal vectors tie.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of vectors and of queries, and query blocks whose rows a task holds back.
+#: Rows of a block of vectors and of queries, and blocks of queries in a lot, about.
 VECTORS, QUERIES, HELD = 2048, 512, 64
 #: Pairs whose components are summed at once, and the share of the largest score that products may be off.
 PAIRS, MARGIN = 100_000, 1e-9
@@ -52,6 +53,8 @@ def pack(rows: DataFrame, size: int) -> DataFrame:
 
 
 class Block:
+    _cone = None
+
     def __init__(self, row: dict):
         self.ids, self.keys, self.times = (np.frombuffer(row[x], np.int64) for x in ("ids", "keys", "times"))
         self.vectors, self.norms = np.frombuffer(row["vectors"]).reshape(row["n"], -1), np.frombuffer(row["norms"])
@@ -60,6 +63,11 @@ class Block:
 
     def cone(self) -> tuple[np.ndarray, float]:
         """The middle direction and the widest angle to it; a row without length has cosine 0 with all, so no bound."""
+        if self._cone is None:
+            self._cone = self._bound()
+        return self._cone
+
+    def _bound(self) -> tuple[np.ndarray, float]:
         middle = self.unit.sum(0)
         length = np.linalg.norm(middle)
         if not length > 0 or not (self.norms > 0).all():
@@ -143,26 +151,32 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     right = pack(vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), key.alias("key"), open_.alias("time")), VECTORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Nearest] = {}
+        held, at = [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                name = batch["name"][i].as_py()
-                if name not in held:
-                    if len(held) >= HELD:
-                        yield rows(held)
-                    held[name] = Nearest(Block(batch["q"][i].as_py()), k, metric)
-                held[name].meet(Block(batch["v"][i].as_py()), bool(same), fence is not None)
+                place = batch["part"][i].as_py(), batch["lot"][i].as_py()
+                if place != at:
+                    yield rows(held)
+                    held, at = [], place
+                block = Block(batch["block"][i].as_py())
+                if batch["asks"][i].as_py():
+                    held.append(Nearest(block, k, metric))
+                    continue
+                for x in held:
+                    x.meet(block, bool(same), fence is not None)
         yield rows(held)
 
-    def rows(held: dict[int, Nearest]) -> pa.RecordBatch:
-        found = [(x.q.ids[x.row], x.id, x.score if metric == "cosine" else -x.score) for x in held.values()]
-        held.clear()
+    def rows(held: list[Nearest]) -> pa.RecordBatch:
+        found = [(x.q.ids[x.row], x.id, x.score if metric == "cosine" else -x.score) for x in held]
         ids, others, scores = (np.concatenate([np.zeros(0, kind), *(f[j] for f in found)]) for j, kind in enumerate((np.int64, np.int64, float)))
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others), pa.array(scores)], names=["query_id", "id", "score"])
 
-    fields = F.struct("n", *FIELDS.split())
-    everywhere = left.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.xxhash64("ids", "vectors", "times").alias("name"), fields.alias("q"))
-    dealt = right.select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), fields.alias("v"))
-    best = everywhere.join(dealt, "part").select("name", "q", "v").mapInArrow(run, "query_id long, id long, score double")
+    lots = max(1, math.ceil(queries.count() / (QUERIES * HELD)))
+    block = F.struct("n", *FIELDS.split()).alias("block")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = left.select(numbers(parts).alias("part"), F.pmod(F.xxhash64("ids", "times"), F.lit(lots)).cast("int").alias("lot"), F.lit(True).alias("asks"), block)
+    given = right.select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), numbers(lots).alias("lot"), F.lit(False).alias("asks"), block)
+    both = asking.unionByName(given).repartition(parts * lots, "part", "lot").sortWithinPartitions("part", "lot", F.desc("asks"))
+    best = both.mapInArrow(run, "query_id long, id long, score double")
     order = F.col("score").desc() if metric == "cosine" else F.col("score")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))).where(F.col("rank") <= k)
