@@ -34,6 +34,8 @@ SPOTS = 16
 SLOT_BITS, NEVER = 24, 255
 #: Hashes that wait in a task to be counted together.
 WAITING = 1_000_000
+#: Bytes of text that a task has as words at once.
+SLICE = 2 << 20
 
 SEPARATORS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 KIND_OF = np.zeros(256, np.uint8)
@@ -125,7 +127,7 @@ def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: in
         since = np.frombuffer(zlib.decompress(packed), np.uint8)
         found = {level: Counts() for level in range(1, longest + 1)}
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 words = Words(part)
                 from_ = np.zeros(len(words.hashes) + 1, np.int16)  # what words need is there from the start
                 for level in range(1, longest + 1):
@@ -217,7 +219,7 @@ def texts_of(table: DataFrame, found: DataFrame, everywhere: bool, slot_bits: in
         bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
         told = np.zeros(0, np.uint64)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE // 2):
                 words = Words(part)
                 sizes = np.bincount(words.lang, minlength=len(words.langs)).astype(np.int64)
                 yield rows(pa.nulls(len(sizes), pa.int64()), pa.array(words.langs, pa.string()), pa.nulls(len(sizes), pa.string()), sizes)
@@ -238,7 +240,8 @@ def texts_of(table: DataFrame, found: DataFrame, everywhere: bool, slot_bits: in
         return pa.RecordBatch.from_arrays([hashes, lang, phrase, pa.array(n)], names=["hash", "lang", "phrase", "n"])
 
     named = table.select("lang", "text", "spot").mapInArrow(run, "hash long, lang string, phrase string, n long")
-    return written(named.groupBy("hash", "lang").agg(F.min("phrase").alias("phrase"), F.sum("n").alias("n")))
+    # the hash says which phrase it is; as a key it needs no sort, as the smallest of a group it would
+    return written(named.groupBy("hash", "lang", "phrase").agg(F.sum("n").alias("n")))
 
 
 def with_texts(table: DataFrame, found: DataFrame, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
