@@ -69,3 +69,11 @@ def test_products_beyond_64_bits(spark):
     n = 9 * 10**14
     row = phrases.scored(known, spark.createDataFrame([("en", n)], "lang string, n long")).first()
     assert row.score == 1000 * f * n // ((f + 1) * (f + 7)) and (row.l, row.r) == (f + 1, f + 7)
+
+
+def test_words_that_name_a_language(spark):
+    """A word may be the name of its own language or of another one, whose words may name the first."""
+    rows = [("de la casa de la villa, es de la casa", "es")] * 7 + [("es war so und es war so, de es", "de")] * 7
+    rows += [("es es es, und und, de es", "es")] * 4 + [("und so und und und", None)] * 6 + [("de und de de", "de")] * 5
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    assert sorted(map(tuple, phrases.collocations(df, threshold=5, cycle=2).collect())) == brute(rows, 5)

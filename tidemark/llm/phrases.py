@@ -69,7 +69,7 @@ class Words:
         words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(self.starts, len(self.bytes))[: len(begins) + 1].astype(np.int32)), pa.py_buffer(self.bytes))
         self.doc = np.searchsorted(offsets, begins, side="right") - 1
         self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()[self.doc].astype(np.int64)
-        seeds = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs] or [0], np.uint64)
+        seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.langs] or [0], np.uint64)  # 1: other than the hash of a word that names a language
         self.hashes = mix(word_hashes(words) ^ seeds[self.lang]) if len(begins) else np.zeros(0, np.uint64)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
