@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import phrases
@@ -77,3 +79,15 @@ def test_words_that_name_a_language(spark):
     rows += [("es es es, und und, de es", "es")] * 4 + [("und so und und und", None)] * 6 + [("de und de de", "de")] * 5
     df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
     assert sorted(map(tuple, phrases.collocations(df, threshold=5, cycle=2).collect())) == brute(rows, 5)
+
+
+@pytest.mark.parametrize("many", [3, 70_000])
+def test_words_are_numbered_once(many):
+    """A slice's row gives back words, pieces and languages; codes have 32 bits where 16 are too few."""
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{k}" for k in range(many)) + " A, b\tw1", None, "", "w1. .W1 é"], "lang": ["en", "en", None, None]})
+    row = pa.RecordBatch.from_pylist([phrases.packed(batch)])
+    words = phrases.Slice(row, 0)
+    texts = words.texts([words.codes]).to_pylist()
+    assert texts == [f"w{k}" for k in range(many)] + ["a", "b", "w1", "w1", "w1", "é"]
+    assert np.flatnonzero(words.opens).tolist() == [0, many + 1, many + 3, many + 4] and words.codes.itemsize == (2 if many < 1 << 16 else 4)
+    assert len(words.hashes) == many + 4 and (row["langs"][0].as_py(), row["sizes"][0].as_py()) == (["en", "und"], [many + 3, 3])

@@ -1,6 +1,6 @@
 """Phrases that stand together more often than their parts would, by dynamic itemset counting.
 
-The documents are dealt into shards that are scanned in a cycle. Words are counted from the first scan on; a longer
+The documents' words are numbered once, in slices; the slices are dealt into shards that are scanned in a cycle. Words are counted from the first scan on; a longer
 phrase becomes active at the scan after both its subphrases (without its last, and without its first word) have
 reached the threshold, so phrases of all lengths are counted in the same scans. Each is counted for one whole cycle
 from there, so its count is that of all documents. What has reached the threshold, and when, is known to the tasks by a
@@ -9,33 +9,35 @@ be, or earlier. A slot never changes once it is set, so every active phrase stil
 
 Phrases are known by a 64-bit hash of their language and words; with ten thousand million different phrases, the chance
 that any of a million frequent ones shares its hash with another is below a thousandth. A last pass finds the texts: each
-phrase is looked for in a sixteenth of the documents, which its hash names, and what isn't met there in all.
+phrase is looked for in a sixteenth of the slices, which its hash names, and what isn't met there in all.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, shared_folder, slices, word_hashes, written
+from .common import mix, shared_folder, slices, written
 
 #: Longest phrase, occurrences that make a candidate, shards of a cycle.
 LONGEST, THRESHOLD, SHARDS = 5, 100, 2
-#: Parts of the documents by which texts are looked up.
+#: Parts of the table by which texts are looked up.
 SPOTS = 16
 #: Bits of a slot's number; the value of a slot that nothing has reached.
 SLOT_BITS, NEVER = 24, 255
-#: Hashes that wait in a task to be counted together.
-WAITING = 1_000_000
-#: Bytes of text that a task has as words at once.
-SLICE = 2 << 20
+#: Hashes that wait in a task to be counted together, and rows that it gives at once.
+WAITING, ROWS = 250_000, 50_000
+#: Bytes of text that a task has as words at once, about.
+SLICE = 1 << 20
 
 SEPARATORS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 KIND_OF = np.zeros(256, np.uint8)
@@ -43,54 +45,125 @@ KIND_OF[list(BLANKS)] = 1
 KIND_OF[list(SEPARATORS)] = 2
 
 
-class Words:
-    """The words of texts: hashes that depend on the language too, their pieces, and where they stand in ``data``."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        texts = pc.ascii_lower(pc.fill_null(batch["text"], "").cast(pa.string()))
-        langs = pc.fill_null(batch["lang"], "und").cast(pa.string()).dictionary_encode()
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        kind = KIND_OF[data]
-        inside = kind == 0
-        fresh = inside.copy()
-        fresh[1:] &= ~inside[:-1]
-        opening = offsets[:-1][offsets[:-1] < len(data)]
-        fresh[opening] = inside[opening]
-        begins = np.flatnonzero(fresh)
-        breaks = (kind == 2).astype(np.int32)
-        breaks[opening] += 1
-        self.piece = np.cumsum(breaks)[begins]
-        self.bytes = data[inside]
-        before = np.cumsum(inside) - inside  # word bytes before each byte
-        self.ends = np.append(before[begins[1:]], len(self.bytes)) if len(begins) else np.zeros(0, np.int64)
-        self.starts = np.append(0, self.ends[:-1]) if len(begins) else np.zeros(0, np.int64)
-        words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(self.starts, len(self.bytes))[: len(begins) + 1].astype(np.int32)), pa.py_buffer(self.bytes))
-        self.doc = np.searchsorted(offsets, begins, side="right") - 1
-        self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()[self.doc].astype(np.int64)
-        seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.langs] or [0], np.uint64)  # 1: other than the hash of a word that names a language
-        self.hashes = mix(word_hashes(words) ^ seeds[self.lang]) if len(begins) else np.zeros(0, np.uint64)
-
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of the n words from each word on, whether they are in one piece)."""
-        if n == 1:
-            return self.hashes, np.ones(len(self.hashes), bool)
-        return gram_hashes(self.hashes, n), self.piece[: max(0, len(self.piece) - n + 1)] == self.piece[n - 1 :]
-
-    def texts(self, at: np.ndarray, n: int) -> pa.Array:
-        """The n words from each of the words ``at`` on, joined by a space."""
-        lengths = self.ends - self.starts
-        size = sum(lengths[at + j] for j in range(n)) + n - 1 if len(at) else np.zeros(0, np.int64)
+def packed(batch: pa.RecordBatch) -> dict | None:
+    """The words of texts as a row of the scans' table: the distinct ones (of a language) once, and which of them stands where.
+
+    hashes: of the distinct words, by their language too; codes: the number of each word, of 16 bits where that is enough;
+    opens: bits of the words that begin a piece; owners, names: language (its place in langs) and text of the distinct words,
+    joined by a space; sizes: words of each of langs. None without words.
+    """
+    texts = pc.ascii_lower(pc.fill_null(batch["text"], "").cast(pa.string()))
+    langs = pc.fill_null(batch["lang"], "und").cast(pa.string()).dictionary_encode()
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kind = KIND_OF[data]
+    inside = kind == 0
+    fresh = inside.copy()
+    fresh[1:] &= ~inside[:-1]
+    opening = offsets[:-1][offsets[:-1] < len(data)]
+    fresh[opening] = inside[opening]
+    begins = np.flatnonzero(fresh)
+    if not len(begins):
+        return None
+    breaks = (kind == 2).astype(np.int32)
+    breaks[opening] += 1
+    opens = np.diff(np.cumsum(breaks, dtype=np.int32)[begins], prepend=-1) != 0
+    before = np.cumsum(inside, dtype=np.int32) - inside  # word bytes before each byte
+    bounds = np.append(before[begins], np.int32(np.count_nonzero(inside))).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(data[inside])).dictionary_encode()
+    lang = langs.indices.to_numpy()[np.searchsorted(offsets, begins, side="right") - 1].astype(np.int64)
+    raw = words.dictionary.cast(pa.binary()).to_pylist()
+    pair = lang * len(raw) + words.indices.to_numpy()
+    if len(langs.dictionary) * len(raw) <= 4 * len(pair) + SLICE:
+        there = np.zeros(len(langs.dictionary) * len(raw), bool)
+        there[pair] = True
+        distinct, codes = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[pair]
+    else:
+        distinct, codes = np.unique(pair, return_inverse=True)
+    owners, own = distinct // len(raw), distinct % len(raw)
+    names = langs.dictionary.to_pylist()
+    seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in names], np.uint64)  # 1: other than the hash of a word that names a language
+    hashes = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))[own] ^ seeds[owners])
+    return {
+        "hashes": hashes.tobytes(), "codes": codes.astype(code_type(len(hashes))).tobytes(), "opens": np.packbits(opens).tobytes(), "owners": owners.astype(np.int32).tobytes(),
+        "names": b" ".join(map(raw.__getitem__, own.tolist())), "langs": names, "sizes": np.bincount(lang, minlength=len(names)).tolist(),
+    }
+
+
+def code_type(distinct: int) -> type:
+    return np.uint16 if distinct <= 1 << 16 else np.uint32
+
+
+def packed_table(docs: DataFrame, cycle: int) -> DataFrame:
+    """The words of docs (text, lang) in rows of about SLICE bytes of text each, dealt into shards and spots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                row = packed(part)
+                if row:
+                    yield pa.RecordBatch.from_pylist([row | {"spot": number // cycle % SPOTS, "shard": number % cycle}], schema)
+                    number += 1
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+    schema = pa.schema({**dict.fromkeys(("hashes", "codes", "opens", "owners", "names"), pa.binary()), "langs": pa.list_(pa.string()), "sizes": pa.list_(pa.int64()), "spot": pa.int32(), "shard": pa.int32()})
+    types = "hashes binary, codes binary, opens binary, owners binary, names binary, langs array<string>, sizes array<long>, spot int, shard int"
+    path = f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, types).write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(types).parquet(path)
+
+
+class Slice:
+    """A row of the scans' table: its distinct hashes and its words, as numbers of them."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.get = lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind)
+        self.hashes = self.get("hashes", np.uint64)
+        self.codes = self.get("codes", code_type(len(self.hashes)))
+        self.opens = np.unpackbits(self.get("opens", np.uint8), count=len(self.codes)).view(bool)
+
+    def grams(self, told: np.ndarray, longest: int, tell: Callable) -> None:
+        """Calls tell(level, first words, hashes, numbers) for the phrases of two words and more, level by level.
+
+        ``told`` has a number below NEVER for each distinct word that may be in a phrase, and tell returns such numbers of
+        its phrases. A longer phrase is looked at only if both its parts have one; its number here is the larger one.
+        """
+        told = told[self.codes]
+        at = np.flatnonzero(told < NEVER)
+        told, sums, factor = told[at], self.hashes[self.codes[at]], 1
+        for level in range(2, longest + 1):
+            pairs = at[1:] == at[:-1] + 1
+            if level == 2:
+                pairs &= ~self.opens[at[1:]]
+            pairs = np.flatnonzero(pairs)
+            if not len(pairs):
+                return
+            factor = factor * 0x9E3779B97F4A7C15 % 2**64
+            at, told = at[pairs], np.maximum(told[pairs], told[pairs + 1])
+            sums = sums[pairs] + self.hashes[self.codes[at + level - 1]] * np.uint64(factor)
+            told = tell(level, at, mix(sums), told)
+            if level < longest:
+                those = np.flatnonzero(told < NEVER)
+                at, told, sums = at[those], told[those], sums[those]
+
+    def texts(self, words: list[np.ndarray]) -> pa.Array:
+        """The n-th of the distinct words of each list, joined by a space."""
+        names = self.get("names", np.uint8)
+        ends = np.append(np.flatnonzero(names == 0x20), len(names))
+        starts = np.append(0, ends[:-1] + 1)
+        lengths = ends - starts
+        size = sum(lengths[x] for x in words) + len(words) - 1
         bounds = np.append(0, np.cumsum(size)).astype(np.int64)
         out = np.full(int(bounds[-1]), 0x20, np.uint8)
         to = bounds[:-1].copy()
-        for j in range(n):
-            many = lengths[at + j]
+        for x in words:
+            many = lengths[x]
             spread = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            out[np.repeat(to, many) + spread] = self.bytes[np.repeat(self.starts[at + j], many) + spread]
+            out[np.repeat(to, many) + spread] = names[np.repeat(starts[x], many) + spread]
             to += many + 1
-        return pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out))
+        return pa.StringArray.from_buffers(len(size), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out))
 
 
 def slot(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -107,9 +180,10 @@ class Counts:
     def __init__(self):
         self.waiting, self.n = [], 0
 
-    def add(self, hashes: np.ndarray) -> None:
-        self.waiting.append(np.unique(hashes, return_counts=True))
-        self.n += len(self.waiting[-1][0])
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Of distinct hashes."""
+        self.waiting.append((hashes, counts))
+        self.n += len(hashes)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         keys, back = np.unique(np.concatenate([x for x, _ in self.waiting]), return_inverse=True)
@@ -126,34 +200,36 @@ def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         since = np.frombuffer(zlib.decompress(packed), np.uint8)
         found = {level: Counts() for level in range(1, longest + 1)}
+
+        def tell(level: int, at: np.ndarray, hashes: np.ndarray, begun: np.ndarray) -> np.ndarray:
+            active = (begun <= step) & (begun.astype(np.int16) + cycle > step)
+            if active.any():
+                found[level].add(*np.unique(hashes[active], return_counts=True))
+            # not before it is counted itself, also where its slot was set for another phrase
+            return np.maximum(since[slot(hashes, slot_bits)], begun) if level < longest else begun
+
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                words = Words(part)
-                from_ = np.zeros(len(words.hashes) + 1, np.int16)  # what words need is there from the start
-                for level in range(1, longest + 1):
-                    hashes, whole = words.grams(level)
-                    begun = np.maximum(from_[:-1], from_[1:])
-                    active = whole & (begun <= step) & (begun + cycle > step)
-                    if active.any():
-                        found[level].add(hashes[active])
-                    if level < longest:
-                        from_ = np.where(whole, since[slot(hashes, slot_bits)], NEVER).astype(np.int16)
-                        if not (from_ < NEVER).any():
-                            break
-                del words, hashes, whole, begun, active, from_
+            for row in range(batch.num_rows):
+                words = Slice(batch, row)
+                if step < cycle:
+                    found[1].add(words.hashes, np.bincount(words.codes, minlength=len(words.hashes)))
+                if longest > 1:
+                    words.grams(since[slot(words.hashes, slot_bits)], longest, tell)
                 if sum(counts.n for counts in found.values()) > WAITING:
                     level = max(found, key=lambda k: found[k].n)
-                    yield rows(level, found[level])
+                    yield from rows(level, found[level])
         for level, counts in found.items():
             if counts.n:
-                yield rows(level, counts)
+                yield from rows(level, counts)
         pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
-    def rows(level: int, counts: Counts) -> pa.RecordBatch:
+    def rows(level: int, counts: Counts) -> Iterator[pa.RecordBatch]:
         keys, n = counts.take()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), level), pa.int32()), pa.array(n)], names=["hash", "level", "n"])
+        for k in range(0, len(keys), ROWS):
+            some = slice(k, k + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(np.full(len(keys[some]), level), pa.int32()), pa.array(n[some])], names=["hash", "level", "n"])
 
-    return shard.select("lang", "text").mapInArrow(run, "hash long, level int, n long")
+    return shard.select("hashes", "codes", "opens").mapInArrow(run, "hash long, level int, n long")
 
 
 def packed_slots(hashes: DataFrame) -> np.ndarray:
@@ -170,21 +246,18 @@ def packed_slots(hashes: DataFrame) -> np.ndarray:
 
 
 def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, cycle: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
-    """(the shards' rows; hash, level and n of all phrases with at least ``threshold`` occurrences in one language).
+    """(the slices of all shards; hash, level and n of all phrases with at least ``threshold`` occurrences in one language).
 
     ``docs`` has text and lang. A phrase of the result has been counted over each shard once.
     """
-    spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/shards-{xxhash.xxh3_64_hexdigest(str(np.random.default_rng().bytes(16)))}"
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    number = F.monotonically_increasing_id()
-    rows.withColumn("spot", (F.shiftright(number, 8) + number).bitwiseAND(SPOTS - 1).cast("int")).withColumn("shard", F.pmod(F.xxhash64(number), cycle).cast("int")).write.partitionBy("shard").parquet(path)
-    table = spark.read.schema("lang string, text string, spot int, shard int").parquet(path)
+    spark, table = docs.sparkSession, packed_table(docs, cycle)
     since = np.full(1 << slot_bits, NEVER, np.uint8)
     state = spark.createDataFrame([], "hash long, level int, n long, begun int, reached boolean")
     done, step, last = [], 0, 0
     while step < cycle or step <= last + cycle:
-        fresh = scan(table.where(F.col("shard") == step % cycle), step, since, longest, cycle, slot_bits)
+        shard = table.where(F.col("shard") == step % cycle)
+        shard = shard.coalesce(max(spark.sparkContext.defaultParallelism, -(-shard.rdd.getNumPartitions() // 2)))  # what two parts share is summed before the shuffle
+        fresh = scan(shard, step, since, longest, cycle, slot_bits)
         known = state.unionByName(fresh.select("hash", "level", "n", F.lit(step).alias("begun"), F.lit(False).alias("reached")))
         summed = known.groupBy("hash", "level").agg(F.sum("n").alias("n"), F.min("begun").alias("begun"), F.max("reached").alias("reached"))
         summed = written(summed.withColumn("now", (F.col("n") >= threshold) & ~F.col("reached")))
@@ -204,54 +277,60 @@ def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, c
     return table, every
 
 
-def texts_of(table: DataFrame, found: DataFrame, everywhere: bool, slot_bits: int) -> DataFrame:
-    """hash, lang and phrase of the phrases found, and of few others; a null hash: n words of a language.
+def packed_bits(found: DataFrame, slot_bits: int) -> bytes:
+    """The slots, of both kinds, of the phrases found."""
+    some = np.zeros(1 << slot_bits, bool)
+    some[packed_slots(found.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - slot_bits), F.col("hash").bitwiseAND((1 << slot_bits) - 1))).alias("slot")))] = True
+    return zlib.compress(np.packbits(some).tobytes(), 1)
 
-    Unless ``everywhere``, a phrase is only looked for in the documents of the spot that its hash names.
+
+def texts_of(table: DataFrame, every: bytes, missed: bytes | None, longest: int, slot_bits: int) -> DataFrame:
+    """hash, lang and phrase of the phrases found, whose bits are ``every``, and of few others.
+
+    A phrase is only looked for in the rows of the spot that its hash names; those with bits in ``missed``, if given, in all.
     """
-    longest = found.agg(F.max("level")).first()[0] or 0
-    slots = packed_slots(found.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - slot_bits), F.col("hash").bitwiseAND((1 << slot_bits) - 1))).alias("slot")))
-    some = np.zeros(1 << slot_bits, bool)
-    some[slots] = True
-    packed = zlib.compress(np.packbits(some).tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
-        told = np.zeros(0, np.uint64)
+        bits, sought = (np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).view(bool) if x else None for x in (every, missed))
+        known = lambda bits, hashes: bits[slot(hashes, slot_bits)] & bits[second_slot(hashes, slot_bits)]
+        told, out = np.zeros(0, np.uint64), []
         for batch in batches:
-            for part in slices(batch, "text", SLICE // 2):
-                words = Words(part)
-                sizes = np.bincount(words.lang, minlength=len(words.langs)).astype(np.int64)
-                yield rows(pa.nulls(len(sizes), pa.int64()), pa.array(words.langs, pa.string()), pa.nulls(len(sizes), pa.string()), sizes)
-                here = part["spot"].to_numpy().astype(np.uint64)[words.doc]
-                wanted = np.ones(len(words.hashes) + 1, bool)
-                for level in range(1, longest + 1):
-                    hashes, whole = words.grams(level)
-                    known = whole & bits[slot(hashes, slot_bits)] & bits[second_slot(hashes, slot_bits)]
-                    wanted = known if everywhere else wanted[:-1] & wanted[1:] & known  # all parts of a phrase are there too, but for the second look
-                    own = wanted if everywhere else wanted & (hashes >> np.uint64(8) & np.uint64(SPOTS - 1) == here[: len(hashes)])
-                    at = np.flatnonzero(own)
-                    keys, first = np.unique(hashes[at], return_index=True)
-                    fresh = np.isin(keys, told, invert=True)
-                    at, told = at[first[fresh]], np.union1d(told, keys[fresh]) if len(told) < WAITING else keys
-                    yield rows(pa.array(hashes[at].view(np.int64)), pa.array(words.langs, pa.string()).take(pa.array(words.lang[at])), words.texts(at, level), np.zeros(len(at), np.int64))
-
-    def rows(hashes: pa.Array, lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([hashes, lang, phrase, pa.array(n)], names=["hash", "lang", "phrase", "n"])
-
-    named = table.select("lang", "text", "spot").mapInArrow(run, "hash long, lang string, phrase string, n long")
-    # the hash says which phrase it is; as a key it needs no sort, as the smallest of a group it would
-    return written(named.groupBy("hash", "lang", "phrase").agg(F.sum("n").alias("n")))
+            for row in range(batch.num_rows):
+                words, spot = Slice(batch, row), np.uint64(batch["spot"][row].as_py())
+                langs, owners = batch["langs"][row].values, words.get("owners", np.int32)
+
+                def tell(level: int, at: np.ndarray, hashes: np.ndarray, _: np.ndarray | None = None) -> np.ndarray:
+                    nonlocal told
+                    there = known(bits, hashes)  # all parts of a phrase are there too
+                    own = np.flatnonzero(there & (known(sought, hashes) if missed else hashes >> np.uint64(8) & np.uint64(SPOTS - 1) == spot))  # noqa: B023
+                    keys, first = np.unique(hashes[own], return_index=True)
+                    fresh = np.flatnonzero(np.append(told, 0)[np.searchsorted(told, keys)] != keys) if len(told) else np.arange(len(keys))
+                    if len(fresh):
+                        told = np.union1d(told, keys[fresh]) if len(told) < WAITING else keys
+                        which = at[own[first[fresh]]]
+                        parts = [which] if level == 1 else [words.codes[which + j] for j in range(level)]  # noqa: B023
+                        out.append(pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), langs.take(pa.array(owners[parts[0]])), words.texts(parts)], names=["hash", "lang", "phrase"]))  # noqa: B023
+                    return np.where(there, np.uint8(0), np.uint8(NEVER))
+
+                words.grams(tell(1, np.arange(len(words.hashes)), words.hashes), longest, tell)
+                yield from out
+                out.clear()
+        pa.default_memory_pool().release_unused()
+
+    named = table.select("hashes", "codes", "opens", "owners", "names", "langs", "spot").mapInArrow(run, "hash long, lang string, phrase string")
+    return written(named.distinct())
 
 
 def with_texts(table: DataFrame, found: DataFrame, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, level, f of the phrases found; lang and n, its words)."""
-    some = texts_of(table, found, False, slot_bits)
-    names, sizes = some.where("hash is not null").select("hash", "lang", "phrase"), some.where("hash is null").select("lang", "n")
+    longest, every = found.agg(F.max("level")).first()[0] or 0, packed_bits(found, slot_bits)
+    names = texts_of(table, every, None, longest, slot_bits)
     missed = written(found.join(names, "hash", "left_anti"))
     if not missed.isEmpty():
-        names = names.unionByName(texts_of(table, missed, True, slot_bits).where("hash is not null").select("hash", "lang", "phrase").join(missed, "hash", "left_semi"))
-    return written(found.join(names, "hash").select("lang", "phrase", "level", F.col("n").alias("f"))), sizes
+        more = texts_of(table, every, packed_bits(missed, slot_bits), longest, slot_bits)
+        names = names.unionByName(more.join(missed, "hash", "left_semi"))
+    sizes = table.select(F.explode(F.arrays_zip("langs", "sizes")).alias("of")).groupBy(F.col("of.langs").alias("lang")).agg(F.sum("of.sizes").alias("n"))
+    return written(found.join(names, "hash").select("lang", "phrase", "level", F.col("n").alias("f"))), written(sizes)
 
 
 def scored(phrases: DataFrame, sizes: DataFrame) -> DataFrame:
