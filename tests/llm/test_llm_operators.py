@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, fingerprints, language, licenses, minhash, mixing, packing, quality, rules, substrings, suffixes
+from tidemark.llm import common, fingerprints, language, licenses, minhash, mixing, packing, quality, queries, rules, substrings, suffixes
 
 from brute import brute_components, brute_repeats, low, words
 
@@ -200,6 +200,16 @@ def test_schedule(edge):
     assert sum(len(words(r.text)) for r in rows) == taken
 
 
+def test_query_goes_by_the_schedule(spark, edge, monkeypatch):
+    """op4_mixing counts what the sorted readings have, of rows that repeat an id too."""
+    monkeypatch.setattr(queries, "documents", lambda *_: edge)
+    found = queries.op4_mixing(spark, "")
+    assert "rangepartitioning(position" in found._jdf.queryExecution().executedPlan().toString()
+    wanted = mixing.mix(edge).select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
+    assert found.dtypes == wanted.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
 # licenses
 
 

@@ -129,16 +129,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     return out.select("doc_id", "source", "size", "source_size", "target", "passes", "taken", *(["carry"] if carry else []))
 
 
-def schedule(docs: DataFrame, **options) -> DataFrame:
+def schedule(docs: DataFrame, figures: bool = False, **options) -> DataFrame:
     """The mix as training reads it: the columns of ``docs`` and ``position``, one row per reading, sorted by position.
 
     Rows of one position go by doc_id, and repeated rows of one position and id in any order. A document that is taken in part is cut to its first words (joined by one space); n_chars, if there, follows the text.
+    With ``figures`` also size, source_size and target (none of these may be a column of ``docs``), and after all others a row
+    for each document that isn't read, without text and position.
     """
-    columns = docs.columns
-    takes = mix(docs, carry=columns, **options).select("size", "carry", F.explode("passes").alias("take"))
+    columns, more = docs.columns, ["size", "source_size", "target"] if figures else []
+    readings = (F.explode_outer if figures else F.explode)("passes").alias("take")
+    takes = mix(docs, carry=columns, **options).select("size", "source_size", "target", "carry", readings)
     text = F.col("carry")["text"]
     cut = F.array_join(F.slice(F.split(trimmed(text), f"[{BLANKS}]+"), 1, F.col("take.words").cast("int")), " ")
-    rows = takes.select(*(F.col("carry")[c].alias(c) for c in columns if c != "text"), F.when(F.col("take.words") < F.col("size"), cut).otherwise(text).alias("text"), F.col("take.position").alias("position"))
+    read = F.when(F.col("take.words") < F.col("size"), cut).when(F.col("take").isNotNull(), text).alias("text")
+    rows = takes.select(*(F.col("carry")[c].alias(c) for c in columns if c != "text"), read, F.col("take.position").alias("position"), *more)
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns, "position").orderBy("position", "doc_id")
+    return rows.select(*columns, "position", *more).orderBy(F.col("position").asc_nulls_last(), "doc_id")

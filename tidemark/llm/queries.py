@@ -28,8 +28,10 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    mixed = mixing.mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    readings = mixing.schedule(docs, figures=True)
+    first = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    return readings.groupBy("row").agg(*first, F.sum(mixing.n_words(F.col("text"))).alias("taken"), F.min("position").alias("position")).drop("row")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
