@@ -102,3 +102,9 @@ def test_clean_job_by_brute_force(spark):
         want.add((r["event_id"], r["symbol"], date, next((d for d in calendar if d >= date), None)))
     found = plans.queries()["news_clean_pipeline"](spark, DATA).collect()
     assert {(r.event_id, r.symbol, r.date, r.trading_date) for r in found} == want and len(found) == len(want)
+
+
+def test_texts_are_compared_once(spark):
+    """What the headlines' pass reads is a table, so neither of its two branches compares the texts anew."""
+    plan = news.drop_near_duplicates(view(spark, DATA, "news"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.store import distinct_on
+from ..sources.written import written
 from . import asof, segments
 
 
@@ -94,6 +95,11 @@ def drop_near_previous(items: DataFrame, column: str, ratio: float, keys: tuple[
     return rows.withColumn("_alike", alike).where(~F.col("_close") | (F.coalesce("_alike", F.lit(0.0)) <= ratio)).select(*items.columns)
 
 
+def drop_near_duplicates(items: DataFrame) -> DataFrame:
+    """Drops rows near the one before by text, then of those left by headline. Texts are compared once: what is left is written."""
+    return drop_near_previous(written(drop_near_previous(items, "text", 0.6)), "headline", 0.9)
+
+
 def levenshtein_similarity(column: str) -> Column:
     """1 - edits / longer length against ``_before``, natively; a substitution is one edit."""
     return 1 - F.levenshtein(column, "_before") / F.greatest(F.length(column), F.length("_before"), F.lit(1))
@@ -161,7 +167,7 @@ def clean_job(items: DataFrame, calendar: DataFrame) -> DataFrame:
     """The whole cleaning of a news feed: updates, datelines, exact and near duplicates, session and trading dates."""
     rows = latest_update(items).drop("norm", "update_no").withColumn("text", T.trim_dateline(F.col("text")))
     rows = exact_dedup(rows).withColumn("text", T.clean_text(F.col("text")))
-    rows = drop_near_previous(drop_near_previous(rows, "text", 0.6), "headline", 0.9)
+    rows = written(drop_near_duplicates(rows))  # read twice
     rows = rows.withColumn("date", asof.session_date(F.col("published_at")))
     days = asof.next_trading_day(rows.select("date").distinct(), calendar)
     return rows.join(days, "date", "left")

@@ -50,7 +50,7 @@ def news_exact_dedup(spark, sf_dir):
 @query()
 def news_near_dup(spark, sf_dir):
     items = view(spark, sf_dir, "news")
-    kept = news.drop_near_previous(news.drop_near_previous(items, "text", 0.6), "headline", 0.9)
+    kept = news.drop_near_duplicates(items)
     return kept.select("event_id", "symbol", "published_at")
 
 
