@@ -12,7 +12,10 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,66 +28,100 @@ from . import rangecoder
 from .common import slices, written
 
 #: Ids of a block, and blocks that are coded side by side.
-BLOCK, LANES = 4096, 2048
+BLOCK, SIDE = rangecoder.MOST, 128
 #: Head of a block: what it is, number of ids, CRC-32 of the ids as little-endian unsigned 32-bit values.
-HEAD, KIND = "<4sII", b"IDS1"
+HEAD, KIND = "<4sII", b"IDS2"
 #: Pieces of text, and their ids, that an encoder remembers.
-MOST_PIECES, MOST_IDS = 300_000, 3_000_000
-
-#: How the vocabulary writes a space.
-SPACE = "\u0120"
-BLANK, STOP = np.zeros(256, bool), np.zeros(256, bool)
-BLANK[list(b" \t\n\r")] = True
-STOP[list(b".,;:!?")] = True
+MOST_PIECES, MOST_IDS = 500_000, 5_000_000
+
+#: What a byte can be: white space, white space but a space, punctuation that special tokens don't have, an ASCII letter, a visible
+#: ASCII character, the first byte of U+00C0 to U+07FF, a byte beyond ASCII, one of a letter in ASCII or from U+00C0 to U+017F.
+BLANK, BREAK, STOP, LETTER, VISIBLE, LEAD, TAIL, WORD = (1 << k for k in range(8))
+KINDS = np.zeros(256, np.uint8)
+for _bytes, _kind in (
+    (b" \t\n\r", BLANK), (b"\t\n\r", BREAK), (b".,;:!?#$%&*+()[]{}=/@~^", STOP), ([*range(0x41, 0x5B), *range(0x61, 0x7B)], LETTER | WORD),
+    (range(0x21, 0x7F), VISIBLE), (range(0xC3, 0xE0), LEAD), (range(0x80, 0x100), TAIL), ({*range(0x80, 0xC0), 0xC3, 0xC4, 0xC5} - {0x97, 0xB7}, WORD),  # those of signs
+):
+    KINDS[list(_bytes)] |= np.uint8(_kind)
+#: The character that byte-level vocabularies write for each byte, and what they write for a line end.
+_WRITTEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+CHARACTER = np.zeros(256, "<u4")
+CHARACTER[_WRITTEN] = _WRITTEN
+CHARACTER[[b for b in range(256) if b not in _WRITTEN]] = np.arange(0x100, 0x200 - len(_WRITTEN))
+LINE_END = chr(CHARACTER[10])
 
 FILE_SCHEMA = "file int, block long, n_ids int, number long, place long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 PIECE_SCHEMA = "file int, number long, doc_id long, place long, n_tokens long, start long, length long, crc_share long, ids binary"
 
 
 class Encoder:
-    """Ids of a byte-level BPE tokenizer whose tokens never reach across the start of white space, or from a letter to a stop.
+    """Ids of a byte-level BPE tokenizer whose tokens never reach across the start of white space, or from a letter to punctuation.
 
-    So a text is cut before each blank or line end that follows a visible character, and before each stop that follows
-    an ASCII letter, and each distinct piece is tokenized once. White space after other white space isn't cut at, nor
-    such after a character beyond U+07FF, which might be white space.
+    So a text is cut before each blank or line end that follows a visible character, after such a line end that a visible
+    character follows, and before punctuation that follows a letter up to U+017F, and each distinct piece is tokenized once. White
+    space after other white space isn't cut at, nor such beside a character beyond U+07FF, which might be white space.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)  # takes words of letters, as the vocabulary writes them, a line each
         vocabulary = self.tokenizer.get_vocab()
-        self.opening = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opening[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(LINE_END)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.lengths = np.zeros(0, np.uint16), np.zeros(0, np.int32)
+        self.known: dict[bytes, int] = defaultdict(count().__next__)
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _numbers(self, pieces: pa.Array) -> np.ndarray:
         """Number of each of the distinct pieces; new ones are tokenized."""
-        raw = pieces.cast(pa.binary()).to_pylist()
         if len(self.known) > MOST_PIECES or len(self.flat) > MOST_IDS:
             self.clear()
-        fresh = pieces.filter(pa.array([x not in self.known for x in raw], pa.bool_()))
-        word = pc.match_substring_regex(fresh, r"^ \pL+$")
-        words, others = fresh.filter(word).to_pylist(), fresh.filter(pc.invert(word)).to_pylist()
-        flats, lengths = [self.flat], [self.lengths]
-        for k in range(0, len(words), 50_000):  # a word starts where a token starts with a space, so many go in one text
-            some = words[k : k + 50_000]
-            found = self.tokenizer.encode_batch_fast(["".join(some[j : j + 200]) for j in range(0, len(some), 200)], add_special_tokens=False)
-            flats.append(np.concatenate([np.array(x.ids, np.uint16) for x in found]))
-            lengths.append(np.diff(np.append(np.flatnonzero(self.opening[flats[-1]]), len(flats[-1]))).astype(np.int32))
-            assert len(lengths[-1]) == len(some)
-        for k in range(0, len(others), 4000):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(others[k : k + 4000], add_special_tokens=False)]
-            flats += [np.array(x, np.uint16) for x in found]
-            lengths.append(np.fromiter(map(len, found), np.int32, len(found)))
-        self.known.update(zip((x.encode() for part in (words, others) for x in part), range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        self.flat, self.lengths = np.concatenate(flats), np.concatenate(lengths)
-        return np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
+        before = len(self.known)
+        pieces = pieces.cast(pa.binary())
+        number = np.fromiter(map(self.known.__getitem__, pieces.to_numpy(zero_copy_only=False)), np.int64, len(pieces))
+        fresh = number >= before  # in the order of their numbers
+        if fresh.any():
+            pieces = pieces.filter(pa.array(fresh))
+            offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+            data = np.frombuffer(pieces.buffers()[2], np.uint8)[: offsets[-1]]
+            letter = KINDS[data] & WORD > 0
+            letter[offsets[:-1]] |= data[offsets[:-1]] == 0x20
+            others = np.append(0, np.cumsum(~letter))
+            word = (others[offsets[1:]] == others[offsets[:-1]]) & (data[offsets[1:] - 1] != 0x20)
+            lengths, flats = np.zeros(len(pieces), np.int32), []
+            raw = pieces.to_numpy(zero_copy_only=False)
+            for of_letters, ids_of, most in ((True, self._of_words, 50_000), (False, self._of_others, 4000)):  # the tokenizer's results are many times larger than their ids
+                some, counts = raw[word == of_letters], [np.zeros(0, np.int64)]
+                for k in range(0, len(some), most):
+                    flat, n = ids_of(some[k : k + most].tolist())
+                    flats.append(flat)
+                    counts.append(n)
+                lengths[word == of_letters] = np.concatenate(counts)
+            order = np.argsort(~word, kind="stable")
+            starts = np.empty(len(pieces), np.int64)
+            starts[order] = len(self.flat) + np.cumsum(lengths[order]) - lengths[order]
+            self.flat, self.starts, self.lengths = np.concatenate([self.flat, *flats]), np.append(self.starts, starts), np.append(self.lengths, lengths)
+        return number
+
+    def _of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, and how many each has."""
+        lines = CHARACTER[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-32-le").split(LINE_END)
+        found = self.words.encode_batch_fast([LINE_END.join(lines[k : k + 500]) for k in range(0, len(lines), 500)], add_special_tokens=False)
+        flat = np.array([i for x in found for i in x.ids], np.uint16)
+        ends, until = np.cumsum(list(map(len, words))), np.cumsum(self.sizes[flat])
+        at = np.searchsorted(until, ends)
+        assert (until[at] == ends).all()
+        return flat, np.diff(at, prepend=-1)
+
+    def _of_others(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint16), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -94,10 +131,12 @@ class Encoder:
             return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        before, second = data[:-1], np.append(np.uint8(0), data[:-2])
-        visible = (before >= 0x21) & (before <= 0x7E) | (before >= 0x80) & (second >= 0xC3) & (second <= 0xDF)
-        letter = (before | 0x20) - np.uint8(0x61) < 26
-        cut = np.append(True, BLANK[data[1:]] & visible | STOP[data[1:]] & letter)
+        kinds = KINDS[data]
+        now, before, second = kinds[1:], kinds[:-1], np.append(np.uint8(0), kinds[:-2])
+        blank = (now & BLANK > 0) & ((before & VISIBLE > 0) | (before & TAIL > 0) & (second & LEAD > 0))
+        letter = (before & LETTER > 0) | (before & (LEAD | TAIL | WORD) == TAIL | WORD) & (second & (LEAD | WORD) == LEAD | WORD)
+        cut = np.append(True, blank | (now & STOP > 0) & letter)
+        cut[2:] |= blank[:-1] & (before[1:] & BREAK > 0) & (now[1:] & (VISIBLE | LEAD) > 0)
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         begins = np.flatnonzero(cut)
         pieces = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int32)), pa.py_buffer(data))
@@ -106,11 +145,17 @@ class Encoder:
         lengths = self.lengths[number]
         ends = np.cumsum(lengths, dtype=np.int64)
         places = np.arange(ends[-1], dtype=np.int64)
-        places += np.repeat((np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[number] - (ends - lengths), lengths)
+        places += np.repeat(self.starts[number] - (ends - lengths), lengths)
         until = np.append(0, ends)[np.searchsorted(begins, offsets)]
         return self.flat[places], np.diff(until)
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks that a Python worker runs, so that each finds what earlier ones have tokenized."""
+    return Encoder(path)
+
+
 def _zero_bytes() -> list[np.ndarray]:
     """For each k: what 2^k zero bytes after it do to each bit of a CRC-32 (in the reflected form)."""
     square = lambda m: np.array([np.bitwise_xor.reduce(m[[j for j in range(32) if int(x) >> j & 1]]) for x in m], np.uint32)
@@ -157,7 +202,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, file = encoder_of(tokenizer), TaskContext.get().partitionId()
         ids, first = np.zeros(0, np.uint16), 0  # ids that wait, and the ids of the file before them
         doc_ids, starts, tokens, number = np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # documents that have some of them, and the first one's number
 
@@ -180,7 +225,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
             return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in FILE_SCHEMA.split(", ")])
 
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 found, counts = encoder.encode(part["text"])
                 ends = np.cumsum(counts + 1)
                 whole = np.full(int(ends[-1]), end_id, np.uint16)
@@ -190,11 +235,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
                 starts = np.append(starts, first + len(ids) + ends - (counts + 1))
                 tokens, doc_ids = np.append(tokens, counts + 1), np.append(doc_ids, np.array(part["doc_id"].to_pylist(), object))
                 ids = np.append(ids, whole)
-                if len(ids) >= BLOCK * LANES:
+                if len(ids) >= BLOCK * SIDE:
                     yield rows(last=False)
         if len(ids):
             yield rows(last=True)
-        del encoder
         pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     table = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
@@ -213,8 +257,8 @@ def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, LANES):
-                yield pieces(batch.slice(at, LANES))
+            for at in range(0, batch.num_rows, SIDE):
+                yield pieces(batch.slice(at, SIDE))
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         payloads, lengths = batch["payload"].to_pylist(), batch["n_ids"].to_numpy().astype(np.int64)
