@@ -4,7 +4,8 @@ Every block starts from the same model, so each can be read alone. A block is cu
 side by side and share the block's model. An id is one of four kinds: "what followed the last two ids last time" (order
 2), "what followed the last id" (order 1), an id that the block has had (order 0, by its count where no prediction was
 right), or a new id. The kind's distribution belongs to how often both predictions were right so far and to whether they
-agree, so the orders' shares in the mix are learned. The model learns whenever all lanes have gone twice as far.
+agree, so the orders' shares in the mix are learned. The model learns whenever all lanes have gone twice
+as far, up to a quarter of a lane.
 Only integers are used, and no result depends on the order of equal entries: what is written on one machine reads on any.
 """
 
@@ -14,6 +15,8 @@ import numpy as np
 
 #: Ids of a lane, and the most of a block.
 STRIDE, MOST = 512, 1 << 14
+#: The last step that a model learns after; learning once more, at 256, saves 1.8 % of the bits and costs a tenth of the time.
+LEARNED = 128
 #: Bits of a kind's probability, and of an id's within its kind.
 KIND_BITS, ID_BITS = 10, 16
 BITS = KIND_BITS + ID_BITS
@@ -54,7 +57,8 @@ def _periods(steps: int):
         to = min(steps, learns, at + CHUNK)
         yield at, to, to == learns and to < steps, learns < steps
         at = to
-        learns = 2 * at if at == learns else learns
+        if at == learns:
+            learns = 2 * at if at < LEARNED else steps
 
 
 class Model:

@@ -28,7 +28,7 @@ from . import rangecoder
 from .common import slices, written
 
 #: Ids of a block, and blocks that are coded side by side.
-BLOCK, SIDE = rangecoder.MOST, 128
+BLOCK, SIDE = rangecoder.MOST, 96
 #: Head of a block: what it is, number of ids, CRC-32 of the ids as little-endian unsigned 32-bit values.
 HEAD, KIND = "<4sII", b"IDS2"
 #: Pieces of text, and their ids, that an encoder remembers.
@@ -210,7 +210,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
             nonlocal ids, first, doc_ids, starts, tokens, number
             blocks = -(-len(ids) // BLOCK) if last else len(ids) // BLOCK
             lengths = np.minimum(BLOCK, len(ids) - BLOCK * np.arange(blocks))
-            codes = rangecoder.encode(ids[: lengths.sum()], lengths)
+            codes = [x for k in range(0, blocks, SIDE) for x in rangecoder.encode(ids[k * BLOCK : (k + SIDE) * BLOCK], lengths[k : k + SIDE])]
             raw = ids.astype("<u4")
             heads = [struct.pack(HEAD, KIND, n, zlib.crc32(raw[k * BLOCK : k * BLOCK + n])) for k, n in enumerate(lengths.tolist())]
             low, high = _spans(starts, starts + tokens, first, blocks, first + int(lengths.sum()))
