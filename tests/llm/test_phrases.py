@@ -64,6 +64,35 @@ def test_few_slots_and_few_rows(spark, monkeypatch):
     assert phrases.collocations(df.limit(0)).count() == 0
 
 
+def test_a_task_gives_a_phrase_once(spark, monkeypatch):
+    """What a task has counted is merged, not given each time that enough waits; beyond KEPT it is given in parts."""
+    monkeypatch.setattr(phrases, "WAITING", 50)
+    monkeypatch.setattr(phrases, "SLICE", 500)
+    df = spark.createDataFrame(corpus(), "text string, lang string").coalesce(1)
+    table = phrases.packed_table(df, 1).coalesce(1)
+    assert table.count() > 20
+    found = phrases.scan(table, 0, np.zeros(1 << 4, np.uint8), 5, 1, 4).collect()
+    assert len({(r.hash, r.level) for r in found}) == len(found) > 1000
+    monkeypatch.setattr(phrases, "KEPT", 100)
+    parts = phrases.scan(table, 0, np.zeros(1 << 4, np.uint8), 5, 1, 4)
+    assert parts.count() > len(found)
+    assert sorted(parts.groupBy("hash", "level").sum("n").collect()) == sorted((r.hash, r.level, r.n) for r in found)
+    assert sorted(map(tuple, phrases.collocations(df, threshold=20, cycle=2).collect())) == brute(corpus(), 20)
+
+
+def test_close_hashes_are_told_apart():
+    known = np.array([5, 1 << 63, (1 << 63) + 2, 2**64 - 1], np.uint64)
+    keys = np.array([0, 5, (1 << 63) + 1, (1 << 63) + 2, 2**64 - 2, 2**64 - 1], np.uint64)
+    at, there = phrases.places(known, keys)
+    assert at.tolist() == [0, 0, 2, 2, 3, 3] and there.tolist() == [False, True, False, True, False, True]
+    counts = phrases.Counts()
+    counts.add(known, np.arange(1, 5))
+    counts.merge()
+    counts.add(keys, np.full(6, 10))
+    counts.merge()
+    assert counts.keys.tolist() == sorted({*known.tolist(), *keys.tolist()}) and counts.numbers.tolist() == [10, 11, 2, 10, 13, 10, 14]
+
+
 def test_products_beyond_64_bits(spark):
     schema = "lang string, phrase string, level int, f long"
     f = 3 * 10**15

@@ -34,8 +34,8 @@ LONGEST, THRESHOLD, SHARDS = 5, 100, 2
 SPOTS = 16
 #: Bits of a slot's number; the value of a slot that nothing has reached.
 SLOT_BITS, NEVER = 24, 255
-#: Hashes that wait in a task to be counted together, and rows that it gives at once.
-WAITING, ROWS = 250_000, 50_000
+#: Hashes that wait in a task to be counted together, different ones that it keeps (16 bytes each), and rows that it gives at once.
+WAITING, KEPT, ROWS = 250_000, 3_000_000, 50_000
 #: Bytes of text that a task has as words at once, about.
 SLICE = 1 << 20
 
@@ -174,22 +174,35 @@ def second_slot(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys stand, or would stand, in ascending ones, and which are there."""
+    at = np.searchsorted(known, keys)
+    return at, known[np.minimum(at, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+
+
 class Counts:
-    """Numbers of equal hashes."""
+    """Numbers of equal hashes, in ascending order; what is added waits until it is merged."""
 
     def __init__(self):
-        self.waiting, self.n = [], 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.numbers, self.waiting, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
     def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
         """Of distinct hashes."""
         self.waiting.append((hashes, counts))
         self.n += len(hashes)
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self) -> None:
+        if not self.n:
+            return
         keys, back = np.unique(np.concatenate([x for x, _ in self.waiting]), return_inverse=True)
         counts = np.bincount(back, np.concatenate([n for _, n in self.waiting]), len(keys)).astype(np.int64)
         self.waiting, self.n = [], 0
-        return keys, counts
+        at, there = places(self.keys, keys)
+        self.numbers[at[there]] += counts[there]
+        self.keys, self.numbers = np.insert(self.keys, at[~there], keys[~there]), np.insert(self.numbers, at[~there], counts[~there])
 
 
 def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: int, slot_bits: int = SLOT_BITS) -> DataFrame:
@@ -216,15 +229,18 @@ def scan(shard: DataFrame, step: int, since: np.ndarray, longest: int, cycle: in
                 if longest > 1:
                     words.grams(since[slot(words.hashes, slot_bits)], longest, tell)
                 if sum(counts.n for counts in found.values()) > WAITING:
-                    level = max(found, key=lambda k: found[k].n)
+                    max(found.values(), key=lambda counts: counts.n).merge()
+                if sum(len(counts.keys) for counts in found.values()) > KEPT:
+                    level = max(found, key=lambda k: len(found[k].keys))
                     yield from rows(level, found[level])
         for level, counts in found.items():
-            if counts.n:
-                yield from rows(level, counts)
+            yield from rows(level, counts)
         pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     def rows(level: int, counts: Counts) -> Iterator[pa.RecordBatch]:
-        keys, n = counts.take()
+        counts.merge()
+        keys, n = counts.keys, counts.numbers
+        counts.clear()
         for k in range(0, len(keys), ROWS):
             some = slice(k, k + ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(np.full(len(keys[some]), level), pa.int32()), pa.array(n[some])], names=["hash", "level", "n"])
@@ -252,14 +268,15 @@ def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, c
     """
     spark, table = docs.sparkSession, packed_table(docs, cycle)
     since = np.full(1 << slot_bits, NEVER, np.uint8)
-    state = spark.createDataFrame([], "hash long, level int, n long, begun int, reached boolean")
+    state = spark.range(0).select(F.col("id").alias("hash"), F.lit(0).alias("level"), F.col("id").alias("n"), F.lit(0).alias("begun"), F.lit(False).alias("reached"))
     done, step, last = [], 0, 0
     while step < cycle or step <= last + cycle:
         shard = table.where(F.col("shard") == step % cycle)
         shard = shard.coalesce(max(spark.sparkContext.defaultParallelism, -(-shard.rdd.getNumPartitions() // 2)))  # what two parts share is summed before the shuffle
         fresh = scan(shard, step, since, longest, cycle, slot_bits)
         known = state.unionByName(fresh.select("hash", "level", "n", F.lit(step).alias("begun"), F.lit(False).alias("reached")))
-        summed = known.groupBy("hash", "level").agg(F.sum("n").alias("n"), F.min("begun").alias("begun"), F.max("reached").alias("reached"))
+        # a task's rows are summed already, so they are dealt out as they are: a map of them in the JVM would take ten times the room
+        summed = known.repartition("hash", "level").groupBy("hash", "level").agg(F.sum("n").alias("n"), F.min("begun").alias("begun"), F.max("reached").alias("reached"))
         summed = written(summed.withColumn("now", (F.col("n") >= threshold) & ~F.col("reached")))
         new = summed.where("now")
         slots = packed_slots(new.where(F.col("level") < longest).select(F.shiftrightunsigned("hash", 64 - slot_bits).alias("slot")))
@@ -304,7 +321,7 @@ def texts_of(table: DataFrame, every: bytes, missed: bytes | None, longest: int,
                     there = known(bits, hashes)  # all parts of a phrase are there too
                     own = np.flatnonzero(there & (known(sought, hashes) if missed else hashes >> np.uint64(8) & np.uint64(SPOTS - 1) == spot))  # noqa: B023
                     keys, first = np.unique(hashes[own], return_index=True)
-                    fresh = np.flatnonzero(np.append(told, 0)[np.searchsorted(told, keys)] != keys) if len(told) else np.arange(len(keys))
+                    fresh = np.flatnonzero(~places(told, keys)[1])
                     if len(fresh):
                         told = np.union1d(told, keys[fresh]) if len(told) < WAITING else keys
                         which = at[own[first[fresh]]]
