@@ -80,6 +80,28 @@ def test_a_task_gives_a_phrase_once(spark, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(df, threshold=20, cycle=2).collect())) == brute(corpus(), 20)
 
 
+def test_slices_go_on_in_the_next_batch(spark, monkeypatch):
+    """Spark hands over small batches, whatever the session's setting, and the slices are the same."""
+    monkeypatch.setattr(phrases, "SLICE", 2000)
+    key, records = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([*corpus(), (None, None), ("w1 " * 3000, "en"), ("a b", "en")], "text string, lang string").coalesce(1)
+    before, whole = spark.conf.get(key), sorted(phrases.packed_table(df, 2).collect())
+    assert len(whole) > 10 and spark.conf.get(key) == before
+    spark.conf.set(records, 7)
+    try:
+        assert sorted(phrases.packed_table(df, 2).collect()) == whole
+    finally:
+        spark.conf.unset(records)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    with phrases.small_batches(spark, 1000):
+        assert max(r.n for r in df.mapInArrow(sizes, "n long").collect()) < df.count() // 5
+    assert spark.conf.get(key) == before
+
+
 def test_close_hashes_are_told_apart():
     known = np.array([5, 1 << 63, (1 << 63) + 2, 2**64 - 1], np.uint64)
     keys = np.array([0, 5, (1 << 63) + 1, (1 << 63) + 2, 2**64 - 2, 2**64 - 1], np.uint64)

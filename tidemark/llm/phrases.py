@@ -17,13 +17,14 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, shared_folder, slices, written
@@ -38,6 +39,8 @@ SLOT_BITS, NEVER = 24, 255
 WAITING, KEPT, ROWS = 250_000, 3_000_000, 50_000
 #: Bytes of text that a task has as words at once, about.
 SLICE = 1 << 20
+#: Bytes of rows that Spark hands to a task's Python at once, about; larger buffers stay with the executor when they are free again.
+BATCH = 4 << 20
 
 SEPARATORS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 KIND_OF = np.zeros(256, np.uint8)
@@ -95,23 +98,43 @@ def code_type(distinct: int) -> type:
     return np.uint16 if distinct <= 1 << 16 else np.uint32
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
+    """What runs within it gets batches of about ``size`` bytes; then the session's own setting holds again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def packed_table(docs: DataFrame, cycle: int) -> DataFrame:
     """The words of docs (text, lang) in rows of about SLICE bytes of text each, dealt into shards and spots."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = []
+        for batch in batches:
+            found = [part for one in pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches() for part in slices(one, "text", SLICE)]
+            yield from found[:-1]
+            rest = found[-1:]  # goes on in the next batch
+        yield from rest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                row = packed(part)
-                if row:
-                    yield pa.RecordBatch.from_pylist([row | {"spot": number // cycle % SPOTS, "shard": number % cycle}], schema)
-                    number += 1
+        for part in parts(batches):
+            row = packed(part)
+            if row:
+                yield pa.RecordBatch.from_pylist([row | {"spot": number // cycle % SPOTS, "shard": number % cycle}], schema)
+                number += 1
         pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     schema = pa.schema({**dict.fromkeys(("hashes", "codes", "opens", "owners", "names"), pa.binary()), "langs": pa.list_(pa.string()), "sizes": pa.list_(pa.int64()), "spot": pa.int32(), "shard": pa.int32()})
     types = "hashes binary, codes binary, opens binary, owners binary, names binary, langs array<string>, sizes array<long>, spot int, shard int"
     path = f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, types).write.partitionBy("shard").parquet(path)
+    with small_batches(docs.sparkSession):
+        docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, types).write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(types).parquet(path)
 
 
@@ -277,7 +300,8 @@ def count(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, c
         known = state.unionByName(fresh.select("hash", "level", "n", F.lit(step).alias("begun"), F.lit(False).alias("reached")))
         # a task's rows are summed already, so they are dealt out as they are: a map of them in the JVM would take ten times the room
         summed = known.repartition("hash", "level").groupBy("hash", "level").agg(F.sum("n").alias("n"), F.min("begun").alias("begun"), F.max("reached").alias("reached"))
-        summed = written(summed.withColumn("now", (F.col("n") >= threshold) & ~F.col("reached")))
+        with small_batches(spark):
+            summed = written(summed.withColumn("now", (F.col("n") >= threshold) & ~F.col("reached")))
         new = summed.where("now")
         slots = packed_slots(new.where(F.col("level") < longest).select(F.shiftrightunsigned("hash", 64 - slot_bits).alias("slot")))
         if (since[slots] > step + 1).any():
@@ -335,7 +359,8 @@ def texts_of(table: DataFrame, every: bytes, missed: bytes | None, longest: int,
         pa.default_memory_pool().release_unused()
 
     named = table.select("hashes", "codes", "opens", "owners", "names", "langs", "spot").mapInArrow(run, "hash long, lang string, phrase string")
-    return written(named.distinct())
+    with small_batches(table.sparkSession):
+        return written(named.distinct())
 
 
 def with_texts(table: DataFrame, found: DataFrame, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
