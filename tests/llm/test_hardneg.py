@@ -96,3 +96,12 @@ def test_bounds_hold():
 def test_larger_table(spark, duck):
     sql = llm.HARD_NEGATIVES.replace("FROM embeddings", "FROM '/root/testdata/sf0.1/embeddings.parquet'")
     assert_same(llm.op12_hardneg(spark, "/root/testdata/sf0.1"), duck, sql)
+
+
+def test_nothing_goes_through_the_driver(spark, monkeypatch):
+    """A copy of all anchors for each part is more than their file tells, so no side of a join is broadcast."""
+    monkeypatch.setattr(hardneg, "ROWS", 8)
+    rng = np.random.default_rng(6)
+    df = table(spark, [(k, rng.normal(0, 1, 4).round(2).tolist(), int(rng.integers(3))) for k in range(200)])
+    plan = hardneg.hard_negatives(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

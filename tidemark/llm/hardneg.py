@@ -23,6 +23,8 @@ from .common import ensure_checkpoint_dir, written
 
 #: Reference directions (this many rows are sent to the driver), rows of a block, anchors of a block.
 REFERENCES, ROWS, ANCHORS = 8, 1024, 256
+#: Row blocks of a part, which gets a copy of all anchors, while there are not more parts than shuffle partitions.
+PART = 4
 #: Rows that wait in a task to be put in order of label and angles, and anchor blocks that keep rows in a task.
 WAITING, HELD = 32_768, 64
 #: Radians that bounds of angles are wider by, and the share of the norms that bounds of scores are.
@@ -199,12 +201,15 @@ class Best:
 
 
 def met(anchors: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
-    """Each anchor block with all row blocks, part by part."""
+    """Each anchor block with all row blocks, part by part.
+
+    Spark would take the anchors, a copy for each part, for as small as one copy's file and send them through the driver.
+    """
     left = anchors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = blocks.withColumn("part", F.pmod(F.xxhash64("uids"), F.lit(parts)).cast("int"))
     a = F.struct(F.xxhash64("uids").alias("key"), *(x.split()[0] for x in BLOCK_SCHEMA.split(", "))).alias("a")
     r = F.struct(*(x.split()[0] for x in BLOCK_SCHEMA.split(", "))).alias("r")
-    return left.select("part", a).join(right.select("part", r), "part").select("a", "r")
+    return left.select("part", a).join(right.select("part", r).hint("merge"), "part").select("a", "r")
 
 
 def search(anchors: DataFrame, blocks: DataFrame, parts: int, keep: int, negatives: tuple[int, int] | None) -> DataFrame:
@@ -299,14 +304,14 @@ def hard_negatives(vectors: DataFrame, label: Column | None = None, anchor_every
     directions = references(rows)
     blocks = written(pack(rows.repartitionByRange("label", "vec_id"), directions, ROWS))
     anchors = written(unpack(blocks, anchor_every))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(blocks.count() / PART)))
     few = max(1, math.ceil(anchors.count() / ANCHORS))
     asked = pack(anchors.repartition(few), directions, ANCHORS)
     positive = first(search(asked, blocks, parts, positives, None), positives)
     windows = positive.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("rank", "found_id", "score"))).alias("found"))  # at most ``positives``
     windows = windows.select("uid", F.transform("found", lambda x: F.struct(x["found_id"].alias("positive_id"), x["score"].alias("positive_score"))).alias("windows"))
-    windowed = written(anchors.drop("windows").join(windows, "uid").select(*(x.split()[0] for x in ROW_SCHEMA.split(", ")[:4]), "windows"))
+    windowed = written(anchors.drop("windows").join(windows.hint("merge"), "uid").select(*(x.split()[0] for x in ROW_SCHEMA.split(", ")[:4]), "windows"))
     asked = pack(windowed.repartition(few), directions, ANCHORS)
     chosen = first(search(asked, blocks, parts, negatives, percent), negatives)
-    named = chosen.join(windowed.select("uid", "windows"), "uid")
+    named = chosen.join(windowed.select("uid", "windows").hint("merge"), "uid")
     return named.select("anchor_id", F.col("windows")[F.col("place")]["positive_id"].alias("positive_id"), "rank", F.col("found_id").alias("negative_id"), F.col("windows")[F.col("place")]["positive_score"].alias("positive_score"), F.col("score").alias("negative_score"))
