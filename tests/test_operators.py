@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decisions, text
 from tidemark.operators import asof, classifier, evaluate, graph, memory, neighbours, news, portfolio, returns, rules, shadow
+from tidemark.plans import storage
 from tidemark.sources import event_log, store, tables
 from tidemark.streaming import feeds
 
@@ -190,6 +191,28 @@ def test_csv_and_parquet_sinks(spark, tmp_path):
     assert store.restore(spark, f"{tmp_path}/s", "2026-01-02").count() == 1
 
 
+def test_csv_by_key_has_bounded_files(spark, tmp_path):
+    """Files don't grow with keys, odd keys stay as they are, and one key's rows are read from its bucket."""
+    odd = [None, " A", "A ", "A", 'say "hi",\nplease', "a/b=c", "__HIVE_DEFAULT_PARTITION__"]
+    df = spark.createDataFrame([(f"K{k % 600}", k) for k in range(1200)] + [(key, -k) for k, key in enumerate(odd)], "symbol string, n int")
+    tables.write_csv_by_key(df.repartition(4), f"{tmp_path}/k", "symbol")
+    found = tables.read_csv_by_key(spark, f"{tmp_path}/k", "symbol string, n int", "symbol")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert len(list(tmp_path.rglob("part-*"))) <= tables.BUCKETS
+    for key in odd[1:] + ["K7"]:
+        assert sorted(tables.read_csv_by_key(spark, f"{tmp_path}/k", "symbol string, n int", "symbol", key).collect()) == sorted(df.where(F.col("symbol") == key).collect())
+
+
+def test_export_has_bounded_files(spark, tmp_path, monkeypatch):
+    """More symbols than buckets, each read again."""
+    events = [(k, dt.datetime(2026, 1, 1 + k % 3), k % 500, "view", 1.0) for k in range(1000)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: f"{tmp_path}/shared")
+    found = storage.export_actions(spark, str(tmp_path))
+    assert found.select("symbol").distinct().count() == 500
+    assert len(found.inputFiles()) <= 256
+
+
 def test_event_log_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a", "S", D1, None), ("b", "S", D2, 1.0)], "agent_id string, symbol string, date date, v double")
     event_log.append(event_log.artifacts(rows, "kind", "date", "agent_id", "symbol", "v"), f"{tmp_path}/log")

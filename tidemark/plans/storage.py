@@ -92,8 +92,8 @@ def market_folder(spark, sf_dir):
 def export_actions(spark, sf_dir):
     """Each symbol's action table as CSV, read again."""
     path = f"{shared_folder(spark)}/actions-{uuid.uuid4().hex}"
-    tables.write_csv(view(spark, sf_dir, "decisions").select("symbol", "date", "agent_id", F.col("decision").alias("action")), path, ("symbol",))
-    return tables.read_csv(spark, path, "date date, agent_id string, action string, symbol string").select("symbol", "date", "agent_id", "action")
+    tables.write_csv_by_key(view(spark, sf_dir, "decisions").select("symbol", "date", "agent_id", F.col("decision").alias("action")), path, "symbol")
+    return tables.read_csv_by_key(spark, path, "symbol string, date date, agent_id string, action string", "symbol")
 
 
 @query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")

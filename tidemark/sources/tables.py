@@ -98,7 +98,29 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).csv(path, header=True, escape='"')
+    df.write.mode("overwrite").partitionBy(*partition_by).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+#: Folders of a table by key, however many keys there are.
+BUCKETS = 256
+
+
+def bucket_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def write_csv_by_key(df: DataFrame, path: str, key: str) -> None:
+    """A CSV table with each key's rows next to each other, in one file of the key's bucket, so files don't grow with keys."""
+    dealt = df.withColumn("bucket", bucket_of(F.col(key))).repartition("bucket")
+    write_csv(dealt.sortWithinPartitions("bucket", key), path, ("bucket",))
+
+
+def read_csv_by_key(spark: SparkSession, path: str, schema: str, key: str, value: str | None = None) -> DataFrame:
+    """The table of ``write_csv_by_key``, or only one key's rows, for which the key's bucket is read."""
+    rows = read_csv(spark, path, f"{schema}, bucket int")
+    if value is not None:
+        rows = rows.where((F.col("bucket") == bucket_of(F.lit(value))) & (F.col(key) == value))
+    return rows.drop("bucket")
 
 
 def write_feed(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
