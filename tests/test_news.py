@@ -108,3 +108,28 @@ def test_texts_are_compared_once(spark):
     """What the headlines' pass reads is a table, so neither of its two branches compares the texts anew."""
     plan = news.drop_near_duplicates(view(spark, DATA, "news"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """By text and then by headline: hot and null keys, ties of time, null and empty texts; all columns stay."""
+    rng = random.Random(4)
+    bases = ["".join(rng.choice("abcdefgh é") for _ in range(80)) for _ in range(3)]
+    odd = lambda: rng.choice([None, "", *("".join(rng.choice("xyz") if rng.random() < 0.2 else c for c in rng.choice(bases)) for _ in range(6))])
+    rows = [(f"e{k:03}", rng.choice(["hot", "hot", "b", None]), dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randrange(2000)), odd(), rng.choice(bases)[: rng.randrange(70, 80)], "extra") for k in range(160)]
+    df = spark.createDataFrame(rows, "event_id string, symbol string, published_at timestamp, text string, headline string, segment string").repartition(3)
+    found = news.drop_near_duplicates(df)
+    rows = [r.asDict() for r in df.collect()]
+    want = without_near_previous(without_near_previous(rows, "symbol", "text", 0.6), "symbol", "headline", 0.9)
+    assert found.columns == df.columns and 0 < len(want) < len(rows)
+    assert sorted(map(str, (r.asDict() for r in found.collect()))) == sorted(map(str, want))
+
+
+def test_passes_go_without_texts(spark, monkeypatch):
+    """No pass of the cleaning job sorts or shuffles rows with their texts."""
+    passed = []
+    for place, name in ((news, "distinct_on"), (news.segments, "previous")):
+        plain = getattr(place, name)
+        monkeypatch.setattr(place, name, lambda df, *rest, plain=plain: passed.append(df.columns) or plain(df, *rest))
+    job = news.clean_job(view(spark, DATA, "news"), view(spark, DATA, "bars").select("date").distinct())
+    assert len(passed) == 6 and not any("text" in columns for columns in passed)
+    assert "SortMergeJoin" in job.select("text")._jdf.queryExecution().executedPlan().toString()  # texts aren't broadcast

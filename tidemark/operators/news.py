@@ -26,13 +26,21 @@ def latest_update(items: DataFrame) -> DataFrame:
     return distinct_on(rows, ("symbol", "norm"), F.col("update_no").desc(), F.col("published_at").desc(), F.col("event_id"))
 
 
+def _exact_keys(items: DataFrame) -> DataFrame:
+    """Adds the cleaned body and what rows are equal by, so that the passes can go without texts."""
+    rows = items.withColumn("_cleaned", T.clean_text(F.col("text")))
+    return rows.withColumns({"_body": F.md5(T.without_spaces(F.col("text"))), "_head": T.without_spaces(F.col("headline")), "_clean": F.md5("_cleaned")})
+
+
+def _first_of_equal(rows: DataFrame) -> DataFrame:
+    newest, oldest = (F.col("published_at").desc(), F.col("event_id")), (F.col("published_at"), F.col("event_id"))
+    rows = distinct_on(distinct_on(rows, ("symbol", "_body"), *newest), ("symbol", "_head"), *newest)
+    return distinct_on(rows, ("symbol", "_clean"), *oldest).drop("_body", "_head", "_clean")
+
+
 def exact_dedup(items: DataFrame) -> DataFrame:
     """Keeps the first of equal bodies and of equal headlines (newest first, spaces ignored), then of equal cleaned bodies (oldest first)."""
-    newest, oldest = (F.col("published_at").desc(), F.col("event_id")), (F.col("published_at"), F.col("event_id"))
-    rows = items.withColumn("_body", F.md5(T.without_spaces(F.col("text"))))
-    rows = distinct_on(rows, ("symbol", "_body"), *newest)
-    rows = distinct_on(rows.withColumn("_head", T.without_spaces(F.col("headline"))), ("symbol", "_head"), *newest)
-    return distinct_on(rows.withColumn("_clean", F.md5(T.clean_text(F.col("text")))), ("symbol", "_clean"), *oldest).drop("_body", "_head", "_clean")
+    return _first_of_equal(_exact_keys(items).drop("_cleaned"))
 
 
 def common_length(a: str, b: str, least: float = 0.0) -> int:
@@ -95,9 +103,37 @@ def drop_near_previous(items: DataFrame, column: str, ratio: float, keys: tuple[
     return rows.withColumn("_alike", alike).where(~F.col("_close") | (F.coalesce("_alike", F.lit(0.0)) <= ratio)).select(*items.columns)
 
 
-def drop_near_duplicates(items: DataFrame) -> DataFrame:
+def _numbered(items: DataFrame) -> DataFrame:
+    """The items as a table, each with a number, and with the length and character counts of its text."""
+    return written(items.withColumns({"_row": F.monotonically_increasing_id(), "_n": F.length("text"), "_counts": character_counts(F.col("text"))}))
+
+
+def _drop_near_texts(rows: DataFrame, texts: DataFrame, ratio: float, keys: tuple[str, ...] = ("symbol",), seconds: int = 30 * 86_400) -> DataFrame:
+    """``drop_near_previous`` by text for rows of ``texts`` (see ``_numbered``) that come without it.
+
+    Only numbers, lengths and counts are sorted; the texts of pairs that these don't rule out are then looked up. Texts
+    are longer than their table's file tells, so they are never broadcast.
+    """
+    placed = rows.withColumn("_own", F.struct("_row", "_n", "_counts")).withColumn("segment", segments.span("published_at", seconds))
+    placed = segments.previous(placed, keys, ("published_at", "event_id"), "_own", "_last")
+    n, m = F.col("_n"), F.col("_last._n")
+    may = (2 * F.least(n, m) > ratio * (n + m)) & (2 * common_at_most(F.col("_counts"), F.col("_last._counts")) > ratio * (n + m))
+    pairs = placed.where(may).select("_row", F.col("_last._row").alias("_other"))
+    found = texts.select("_row", "text").hint("merge")  # shuffled once for both sides of a pair
+    own = pairs.join(found, "_row").select(F.col("_row").alias("_own"), F.col("text").alias("_text"), F.col("_other").alias("_row"))
+    close = own.join(found, "_row").where(indel_ratio(F.col("_text"), F.col("text"), ratio) > ratio)
+    return rows.join(close.select(F.col("_own").alias("_row")), "_row", "left_anti")
+
+
+def _drop_near(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Drops rows near the one before by text, then of those left by headline. Texts are compared once: what is left is written."""
-    return drop_near_previous(written(drop_near_previous(items, "text", 0.6)), "headline", 0.9)
+    return drop_near_previous(written(_drop_near_texts(rows.drop("text"), texts, 0.6)), "headline", 0.9)
+
+
+def drop_near_duplicates(items: DataFrame) -> DataFrame:
+    """Drops rows near the one before by text, then of those left by headline."""
+    texts = _numbered(items)
+    return texts.join(_drop_near(texts, texts).select("_row").hint("merge"), "_row", "left_semi").select(*items.columns)
 
 
 def levenshtein_similarity(column: str) -> Column:
@@ -164,10 +200,14 @@ def sentiment(items: DataFrame, lexicon: DataFrame, key: str = "event_id") -> Da
 
 
 def clean_job(items: DataFrame, calendar: DataFrame) -> DataFrame:
-    """The whole cleaning of a news feed: updates, datelines, exact and near duplicates, session and trading dates."""
-    rows = latest_update(items).drop("norm", "update_no").withColumn("text", T.trim_dateline(F.col("text")))
-    rows = exact_dedup(rows).withColumn("text", T.clean_text(F.col("text")))
-    rows = written(drop_near_duplicates(rows))  # read twice
-    rows = rows.withColumn("date", asof.session_date(F.col("published_at")))
+    """The whole cleaning of a news feed: updates, datelines, exact and near duplicates, session and trading dates.
+
+    Cleaned texts are written once; the passes take keys of them, and rows meet their texts again at the end.
+    """
+    texts = _numbered(_exact_keys(items.withColumn("text", T.trim_dateline(F.col("text")))).withColumn("text", F.col("_cleaned")).drop("_cleaned"))
+    rows = latest_update(texts.drop("text")).drop("norm", "update_no")
+    rows = _drop_near(written(_first_of_equal(rows)), texts)  # read twice
+    rows = written(rows.select("_row", asof.session_date(F.col("published_at")).alias("date")))  # read twice
     days = asof.next_trading_day(rows.select("date").distinct(), calendar)
-    return rows.join(days, "date", "left")
+    dated = rows.join(days, "date", "left")
+    return texts.join(dated.hint("merge"), "_row").select("date", *items.columns, "trading_date")
