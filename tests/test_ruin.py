@@ -7,7 +7,7 @@ import pytest
 from compare import assert_same
 
 from tidemark import plans
-from tidemark.operators import portfolio
+from tidemark.operators import portfolio, rules
 from tidemark.plans import portfolios
 
 
@@ -29,3 +29,14 @@ def test_halves_of_the_last_place(spark, duck, tmp_path, close):
     con = duck.cursor()
     con.execute(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert_same(plans.queries()["psychology_state"](spark, str(tmp_path)), con, plans.oracle_sql()["psychology_state"])
+
+
+def test_long_numbers_have_the_digits_of_their_double(spark, duck):
+    """As C's printf writes them: Java has zeros behind a double's shortest digits."""
+    numbers = [sign * 7.7 * 3.0**k + k / 7 for k in range(38) for sign in (1, -1)] + [99999999999.9999, 1e11, 1e14 + 0.03125, -95516354916179.0156, 2.0**53 + 2, math.inf, -math.inf]
+    found = rules.psychology(spark.createDataFrame([(x, -abs(x), 0.5) for x in numbers], "roi double, drawdown double, win_rate double")).collect()
+    for r in found:
+        if r.state == "fear":
+            roi, fall = duck.execute("SELECT printf('%.4f', ?::DOUBLE), printf('%.4f', ?::DOUBLE)", [r.roi, r.drawdown]).fetchall()[0]
+            said = [f"drawdown {fall} is beyond fear threshold"]
+            assert r.reason == "; ".join([f"ROI {roi} is below fear threshold"] * (r.roi <= -0.03) + said)

@@ -10,21 +10,33 @@ from ..functions.decisions import decision_signal, is_valid_decision, normal_dec
 #: Thresholds of greed and fear.
 GREED = {"roi": 0.05, "drawdown": -0.03, "win_rate": 0.55}
 FEAR = {"roi": -0.03, "drawdown": -0.08, "win_rate": 0.45}
+#: From here on a double's shortest digits may end before its fourth place; from there on it is no long.
+LONG, NO_LONG = 1e11, 9.2e18
+
+
+def four_places(x: Column) -> Column:
+    """A number with four places, in the digits that the double has: Java writes zeros behind a double's shortest digits."""
+    long = F.when((F.abs(x) >= LONG) & (F.abs(x) < NO_LONG), x)
+    whole = long.cast("long")
+    digits = F.bround(whole.cast("decimal(38, 18)") + (long - whole).cast("decimal(38, 18)"), 4).cast("decimal(38, 4)").cast("string")
+    return F.when(long.isNotNull(), digits).when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.format_string("%.4f", x))
 
 
 def psychology(states: DataFrame) -> DataFrame:
     """Adds state (fear beats greed beats neutral), risk_attitude and reason from roi, drawdown and win_rate; nulls speak for nothing."""
     roi, fall, wins = F.col("roi"), F.col("drawdown"), F.col("win_rate")
     none = lambda c: F.coalesce(c, F.lit(False))
+    texts = {"ROI": four_places(roi), "drawdown": four_places(fall), "win rate": F.format_string("%.4f", wins)}
+    say = lambda name, how: F.concat(F.lit(f"{name} "), texts[name], F.lit(f" {how}"))
     fears = [
-        (none(roi <= FEAR["roi"]), F.format_string("ROI %.4f is below fear threshold", roi)),
-        (none(fall <= FEAR["drawdown"]), F.format_string("drawdown %.4f is beyond fear threshold", fall)),
-        (none(wins <= FEAR["win_rate"]) & (none(roi < 0) | none(fall < 0)), F.format_string("win rate %.4f is weak", wins)),
+        (none(roi <= FEAR["roi"]), say("ROI", "is below fear threshold")),
+        (none(fall <= FEAR["drawdown"]), say("drawdown", "is beyond fear threshold")),
+        (none(wins <= FEAR["win_rate"]) & (none(roi < 0) | none(fall < 0)), say("win rate", "is weak")),
     ]
     hopes = [
-        (none(roi >= GREED["roi"]), F.format_string("ROI %.4f is above greed threshold", roi)),
-        (none(fall >= GREED["drawdown"]), F.format_string("drawdown %.4f is controlled", fall)),
-        (none(wins >= GREED["win_rate"]), F.format_string("win rate %.4f is strong", wins)),
+        (none(roi >= GREED["roi"]), say("ROI", "is above greed threshold")),
+        (none(fall >= GREED["drawdown"]), say("drawdown", "is controlled")),
+        (none(wins >= GREED["win_rate"]), say("win rate", "is strong")),
     ]
     said = lambda pairs: F.concat_ws("; ", *(F.when(c, text) for c, text in pairs))
     fear = fears[0][0] | fears[1][0] | fears[2][0]
